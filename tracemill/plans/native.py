@@ -1,4 +1,4 @@
-"""The literal-key merge: tokens to records, merged records, summaries, and the rendered tracefile.
+"""The literal-key merge: records, merged records, summaries, and the rendered tracefile.
 
 One grouping by the literal key merges all families at once. Texts that the merge has to choose between (checksums,
 expressions, test names) are part of a first grouping, so that it stays a hash aggregation over fixed-width buffers and
@@ -10,19 +10,16 @@ from __future__ import annotations
 import os
 import shutil
 import sys
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.numbers import NUMBER, saturated_sum, u64
+from tracemill.functions.numbers import NUMBER, saturated_sum
 from tracemill.functions.paths import PathRules
 from tracemill.sources.inputs import InputError, check_regular, expand_lists, stage_stdin
-from tracemill.sources.lcov import SUMMARIES, load_tokens
+from tracemill.sources.lcov import BRDA, DA, DASH, EXCEPTION, EXT, FALLTHROUGH, FN, FNDA, GROUP, MCDC, MCDC_UNREACHABLE, NEW, NUMERIC, SECTION, SENSE, TEXT, TN, UNREACHABLE, load_records
 
-# fixed values: record kinds and flag bits of the record table
-TN, SECTION, GROUP, FN, FNDA, BRDA, MCDC, DA, EXT = range(1, 10)
-NEW, NUMERIC, TEXT, DASH, EXCEPTION, FALLTHROUGH, UNREACHABLE, SENSE, MCDC_UNREACHABLE = 1, 1, 2, 4, 8, 16, 32, 64, 128
 SUMMARY_ORDER = ("fnf", "fnh", "brf", "brh", "mcf", "mch", "lf", "lh")
 
 
@@ -49,69 +46,6 @@ def _zero() -> Column:
     return F.lit(0).cast(NUMBER)
 
 
-def _by_tag(tag: Column, choices: dict[str, Column | str], otherwise: Column) -> Column:
-    result = None
-    for names, value in choices.items():
-        condition = tag.isin(*names.split())
-        result = F.when(condition, value) if result is None else result.when(condition, value)
-    return result.otherwise(otherwise)
-
-
-def parsed_records(tokens: DataFrame, options: Options = Options()) -> DataFrame:
-    """input_id, origin_line (byte position), path, the record fields and ``error``; rows of unselected sources only if they have an error.
-
-    Done in steps, each a projection: the fields of the payload, the texts that must be numbers, the numbers, the records.
-    """
-    tag, payload, none = F.col("tag"), F.col("payload"), F.lit(None).cast("string")
-    tokens = tokens.filter(tag.isNull() | (tag != "!joined"))
-    if not options.functions:
-        tokens = tokens.filter(tag.isNull() | ~tag.isin("FN", "FNDA", "FNL", "FNA"))
-    if not options.branches:
-        tokens = tokens.filter(tag.isNull() | (tag != "BRDA"))
-    # line, markers, block, branch, count: the branch may hold commas
-    branch = F.split(F.regexp_replace(payload, "(?s)^([^,]*),([efU]*)([^,]*),(.*),([^,]*)$", "$1\u0000$2\u0000$3\u0000$4\u0000$5"), "\u0000", -1)
-    limit = _by_tag(tag, {"DA FNA FN": F.lit(3), "FNDA": F.lit(2), "MCDC": F.lit(6)}, F.lit(-1))
-    known = tag.isin("DA", "FNA", "FN", "FNDA", "MCDC", "FNL")
-    fields = F.when(tag == "BRDA", branch).when(known, F.split(payload, ",", limit)).otherwise(F.array(payload))
-    held = F.split("fnl", ",", -1)
-    rows = tokens.select("input_id", "pos", "path", "tn", "tag", "payload", "error", fields.alias("f"), held.alias("held"))
-    get = lambda n: F.get("f", F.lit(n - 1))
-    rows = rows.select("input_id", "pos", "path", "tn", "tag", "payload", "error", F.size("f").alias("n"), *[get(i).alias(f"s{i}") for i in range(1, 7)],
-                       F.get("held", F.lit(0)).alias("h1"), F.get("held", F.lit(1)).alias("h2"), F.get("held", F.lit(2)).alias("h3"))
-    zero = F.lit("0")
-    c = F.col
-    texts = {
-        "ta": _by_tag(tag, {"DA FN BRDA MCDC": c("s1"), "FNL": c("s2"), "FNA": c("h2"), " ".join(sorted(SUMMARIES)): c("payload")}, zero),
-        "tb": _by_tag(tag, {"FNL": F.coalesce("s3", zero), "FNA": F.coalesce("h3", zero), "FN": F.when(c("n") == 3, c("s2")).otherwise(zero), "BRDA": c("s3"), "MCDC": F.regexp_replace("s2", "^U", "")}, zero),
-        "tc": _by_tag(tag, {"FNL FNA": c("s1"), "BRDA": c("s4"), "MCDC": c("s5")}, zero),
-        "tv": _by_tag(tag, {"DA FNA": c("s2"), "FNDA": c("s1"), "BRDA": F.when(c("s5") == "-", zero).otherwise(c("s5")), "MCDC": c("s4")}, zero),
-        "th": F.when(tag == "FNA", c("h1")).otherwise(zero),
-    }
-    text = _by_tag(tag, {"FNA": c("s3"), "FN": F.when(c("n") == 3, c("s3")).otherwise(c("s2")), "FNDA": c("s2"), "BRDA": c("s4"), "MCDC": c("s6"), "SF": F.coalesce("tn", F.lit("")), "DA": F.lit("")}, F.concat(tag, F.lit(":"), payload))
-    extra = _by_tag(tag, {"DA": F.coalesce("s3", F.lit("")), "FN FNDA": c("text")}, F.lit(""))
-    rows = rows.select("*", *[v.alias(k) for k, v in texts.items()], text.alias("text"))
-    numbers = {"a": u64(c("ta")), "b": u64(c("tb")), "c": u64(c("tc")), "value": u64(c("tv")), "h": u64(c("th"))}
-    rows = rows.select("*", *[v.alias(k) for k, v in numbers.items()], extra.alias("extra"))
-
-    textual = (tag == "BRDA") & c("c").isNull()
-    missing = c("a").isNull() | c("b").isNull() | (c("c").isNull() & (tag != "BRDA")) | c("value").isNull() | c("text").isNull() | c("h").isNull()
-    wrong = F.coalesce(_by_tag(tag, {"FNA": c("h") != c("c"), "MCDC": ~c("s3").isin("t", "f"), "BRDA": c("n") != 5}, F.lit(False)), F.lit(True))
-    message = _by_tag(tag, {"FNA": F.lit("invalid FNA record or missing matching FNL"), " ".join(sorted(SUMMARIES)): F.lit("invalid summary record")}, F.concat(F.lit("invalid "), tag, F.lit(" record")))
-    kept = c("path").isNotNull()
-    error = F.coalesce("error", F.when(missing | wrong, message).when((tag == "FNA") & kept & (c("text") == ""), "empty FNA function name"))
-    bit = lambda condition, value: F.when(condition, value).otherwise(0)
-    flags = _by_tag(tag, {"FNL FNA": F.lit(NEW), "BRDA": F.when(textual, TEXT).otherwise(NUMERIC) + bit(c("s5") == "-", DASH) + bit(c("s2").contains("e"), EXCEPTION) + bit(c("s2").contains("f"), FALLTHROUGH) + bit(c("s2").contains("U"), UNREACHABLE),
-                          "MCDC": bit(c("s3") == "t", SENSE) + bit(c("s2").startswith("U"), MCDC_UNREACHABLE)}, F.lit(0))
-    kinds = {"DA": [DA], "BRDA": [BRDA], "FN FNA": [GROUP, FN], "FNDA": [FNDA], "FNL": [GROUP], "MCDC": [MCDC], "SF": [TN, SECTION], " ".join(sorted(SUMMARIES)): []}
-    kind = _by_tag(tag, {k: F.array(*map(F.lit, v)).cast("array<tinyint>") for k, v in kinds.items()}, F.array(F.lit(EXT)).cast("array<tinyint>"))
-    rows = rows.select("input_id", c("pos").alias("origin_line"), "path", F.when(error.isNull(), kind).alias("kinds"), "a", "b", F.coalesce("c", _zero()).alias("c"), "value", "text", "extra", flags.cast("int").alias("flags"), error.alias("error"))
-    rows = rows.filter(c("error").isNotNull() | kept).select("input_id", "origin_line", "path", F.explode_outer("kinds").alias("kind"), "a", "b", "c", "value", "text", "extra", "flags", "error")
-    new = c("flags").bitwiseAND(NEW) != 0
-    own = lambda column, rest: F.when((c("kind") == GROUP) & new | (c("kind") == SECTION), rest).otherwise(c(column)).alias(column)
-    return rows.filter("error IS NOT NULL OR kind IS NOT NULL").select(
-        "input_id", "origin_line", "path", "kind", "a", "b", "c", F.when(c("kind") == GROUP, _zero()).otherwise(c("value")).alias("value"), own("text", F.lit("")), own("extra", F.lit("")), "flags", "error")
-
-
 def merge_records(records: DataFrame) -> DataFrame:
     """One row per literal key: path, kind, a, b, c, name, flags, and the merged measures.
 
@@ -195,15 +129,13 @@ def ordered_lines(merged: DataFrame, summaries: DataFrame) -> DataFrame:
     return rendered_lines(merged, summaries).orderBy(*ORDER).select("line")
 
 
-def diagnostics(tokens: DataFrame, merged: DataFrame, options: Options) -> DataFrame:
-    """Warnings: joined boundaries and unknown records by place, differing checksums and expressions by merged key."""
+def diagnostics(records: DataFrame, merged: DataFrame, options: Options) -> DataFrame:
+    """Warnings: joined boundaries and (on demand) unknown records by place, differing checksums and expressions by merged key."""
     kind, place = F.col("kind"), F.concat_ws(":", "path", F.col("a").cast("string"))
-    joined = tokens.filter("tag = '!joined'").select("input_id", "pos", F.lit("recovered joined end_of_record boundary").alias("message"))
-    known = ("SF", "DA", "BRDA", "FN", "FNDA", "FNL", "FNA", "MCDC", "VER", "!joined", *sorted(SUMMARIES))
-    unknown = tokens.filter(~F.col("tag").isin(*known) & F.col("path").isNotNull() & F.lit(options.warn_unknown)).select("input_id", "pos", F.concat(F.lit("preserved unknown record "), "tag").alias("message"))
+    notes = records.filter(F.col("note").isNotNull() & (F.lit(options.warn_unknown) | ~F.col("note").startswith("preserved"))).select("input_id", "origin_line", F.col("note").alias("message"))
     text = F.when(kind == DA, F.concat(F.lit("checksum mismatch for "), place)).otherwise(F.concat(F.lit("MC/DC expression mismatch for "), place, F.lit(" group "), F.col("b").cast("string"), F.lit(" index "), F.col("c").cast("string")))
-    differing = merged.filter(kind.isin(DA, MCDC) & F.col("conflict")).select(F.lit(None).cast("int").alias("input_id"), F.lit(None).cast("bigint").alias("pos"), text.alias("message"))
-    return joined.unionByName(unknown).unionByName(differing)
+    differing = merged.filter(kind.isin(DA, MCDC) & F.col("conflict")).select(F.lit(None).cast("bigint").alias("input_id"), F.lit(None).cast("bigint").alias("origin_line"), text.alias("message"))
+    return notes.unionByName(differing)
 
 
 def write_ordered(lines: DataFrame, output: str) -> None:
@@ -234,14 +166,16 @@ def write_ordered(lines: DataFrame, output: str) -> None:
 class Merge:
     """A planned merge: its parts are DataFrames, nothing has run yet."""
 
-    tokens: DataFrame
     records: DataFrame
-    options: Options
+    options: Options = field(default_factory=Options)
 
     def __post_init__(self) -> None:
-        self.merged = merge_records(self.records.filter("error IS NULL"))
+        self.merged = merge_records(self.records.filter("kind IS NOT NULL"))
         self.summaries = source_summaries(self.merged)
 
+    def lines(self) -> DataFrame:
+        return ordered_lines(self.merged, self.summaries)
+
     def check(self) -> None:
         """Raise the first error in the order of inputs and positions."""
         first = self.records.filter("error IS NOT NULL").agg(F.min(F.struct("input_id", "origin_line", "error")).alias("e")).collect()[0].e
@@ -251,19 +185,17 @@ class Merge:
             raise TraceError("checksum mismatch")
 
 
-def plan_merge(spark: SparkSession, inputs: list[str], options: Options = Options()) -> Merge:
-    tokens = load_tokens(spark, inputs, options.rules)
-    return Merge(tokens, parsed_records(tokens, options), options)
+def plan_merge(spark: SparkSession, inputs: list[str], options: Options = Options(), **reader: int) -> Merge:
+    return Merge(load_records(spark, inputs, options.rules, options.functions, options.branches, **reader), options)
 
 
 def run(spark: SparkSession, inputs: list[str], output: str, options: Options = Options(), quiet: bool = False, stats: bool = False, stream=None) -> int:
     """Merge tracefiles into one; 0, or raises InputError or TraceError. ``-`` reads standard input or writes standard output."""
     names = stage_stdin(expand_lists(inputs), stream)
     check_regular(names)
-    merge = plan_merge(spark, names, options)
     # read and parsed once for the check, the warnings and the output
-    merge = replace(merge, tokens=merge.tokens.persist())
-    merge = Merge(merge.tokens, parsed_records(merge.tokens, options), options)
+    records = load_records(spark, names, options.rules, options.functions, options.branches).persist()
+    merge = Merge(records, options)
     try:
         try:
             merge.check()
@@ -273,21 +205,17 @@ def run(spark: SparkSession, inputs: list[str], output: str, options: Options =
                     line = f.read(e.pos).count(b"\n") + 1
                 raise TraceError(f"{names[e.input_id]}:{line}: {e}", e.input_id, e.pos) from None
             raise
-        lines = ordered_lines(merge.merged, merge.summaries)
         if output == "-":
-            for row in lines.toLocalIterator():
+            for row in merge.lines().toLocalIterator():
                 sys.stdout.write(row.line + "\n")
         else:
-            write_ordered(lines, output)
+            write_ordered(merge.lines(), output)
         if not quiet:
-            for row in diagnostics(merge.tokens, merge.merged, options).orderBy("input_id", "pos", "message").toLocalIterator():
+            for row in diagnostics(records, merge.merged, options).orderBy("input_id", "origin_line", "message").toLocalIterator():
                 sys.stderr.write(f"tracemill: {row.message}\n")
         if stats:
             t = grand_totals(merge.summaries).collect()[0]
             sys.stderr.write(f"stats LF={t.lf} LH={t.lh} FNF={t.fnf} FNH={t.fnh} BRF={t.brf} BRH={t.brh}\n")
     finally:
-        merge.tokens.unpersist()
+        records.unpersist()
     return 0
-
-
-__all__ = ["InputError", "Merge", "Options", "TraceError", "merge_records", "parsed_records", "plan_merge", "run", "source_summaries"]

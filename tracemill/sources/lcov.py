@@ -1,8 +1,7 @@
-"""A Spark data source for tracefiles: one row per record, with the state of its section.
+"""A Spark data source for tracefiles: one row per parsed record.
 
-The reader does only what is sequential within a file (sections, pending test names, the current function line) and does it
-over whole Arrow columns; fields are parsed by Spark expressions afterwards. Large files are read in ranges that end at the
-ends of sections.
+What is sequential within a file (sections, pending test names, the current function line, the first error) is settled
+where the file is read; rows leave in Arrow batches. Large files are read in ranges that end at the ends of sections.
 """
 
 from __future__ import annotations
@@ -19,7 +18,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tracemill.functions.paths import PathRules
 from tracemill.sources.inputs import byte_ranges
 
-TOKENS = "input_id int, pos bigint, path string, tn string, tag string, payload string, fnl string, error string"
+RECORDS = (
+    "input_id bigint, origin_line bigint, path string, kind tinyint, a decimal(20,0), b decimal(20,0), c decimal(20,0), "
+    "value decimal(20,0), text string, extra string, flags int, error string, note string"
+)
+# fixed values: record kinds and flag bits of the record table
+TN, SECTION, GROUP, FN, FNDA, BRDA, MCDC, DA, EXT = range(1, 10)
+NEW, NUMERIC, TEXT, DASH, EXCEPTION, FALLTHROUGH, UNREACHABLE, SENSE, MCDC_UNREACHABLE = 1, 1, 2, 4, 8, 16, 32, 64, 128
+U64_MAX = 2**64 - 1
 MAX_LINE = 1 << 20
 RANGE_BYTES = 32 << 20
 SUMMARIES = frozenset(("FNF", "FNH", "LF", "LH", "BRF", "BRH", "MCF", "MCH"))
@@ -58,20 +64,105 @@ def read_range(name: str, start: int, end: int, size: int) -> tuple[bytes, int]:
         return f.read(max(0, last - first)), first
 
 
-def tokenize(data: bytes, base: int, input_id: int, rules: PathRules) -> Iterator[tuple]:
-    """Token rows of whole sections. The first error ends the file: its row has only an error."""
-    path = tn = fnl = None
+class Malformed(Exception):
+    """What is wrong with a record."""
+
+
+def number(text: str | None) -> int:
+    """ASCII digits up to 2^64-1, leading zeros allowed."""
+    if text is None or not text.isascii() or not text.isdigit():
+        raise Malformed
+    if len(text) > 19:
+        text = text.lstrip("0") or "0"
+        if len(text) > 20 or int(text) > U64_MAX:
+            raise Malformed
+    return int(text)
+
+
+class Section:
+    """The rows of records within one section: (kind, a, b, c, value, text, extra, flags)."""
+
+    def __init__(self, functions: bool = True, branches: bool = True):
+        self.current: tuple[int, int, int] | None = None
+        skipped = {*(("FN", "FNDA", "FNL", "FNA") if not functions else ()), *(("BRDA",) if not branches else ())}
+        self.parsers = {tag: (self.skip if tag in skipped else getattr(self, tag.lower())) for tag in ("DA", "FN", "FNDA", "FNL", "FNA", "BRDA", "MCDC")}
+
+    def skip(self, fields: str) -> tuple:
+        return ()
+
+    def da(self, fields: str) -> tuple:
+        line, _, rest = fields.partition(",")
+        count, _, checksum = rest.partition(",")
+        return ((DA, number(line), 0, 0, number(count), "", checksum, 0),)
+
+    def fnl(self, fields: str) -> tuple:
+        index, start, end, *_ = *fields.split(","), None, None
+        self.current = number(index), number(start), 0 if end is None else number(end)
+        return ((GROUP, self.current[1], self.current[2], self.current[0], 0, "", "", NEW),)
+
+    def fna(self, fields: str) -> tuple:
+        index, count, name = (*fields.split(",", 2), None, None)[:3]
+        at, hits = number(index), number(count)
+        if name is None or self.current is None or self.current[0] != at:
+            raise Malformed("invalid FNA record or missing matching FNL")
+        _, start, end = self.current
+        return (GROUP, start, end, at, 0, "", "", NEW), (FN, start, end, at, hits, name, "", NEW)
+
+    def fn(self, fields: str) -> tuple:
+        start, *rest = fields.split(",", 2)
+        if not rest:
+            raise Malformed
+        end, name = (number(rest[0]) if len(rest) == 2 else 0), rest[-1]
+        line = number(start)
+        return (GROUP, line, end, 0, 0, name, name, 0), (FN, line, end, 0, 0, name, name, 0)
+
+    def fnda(self, fields: str) -> tuple:
+        count, comma, name = fields.partition(",")
+        if not comma:
+            raise Malformed
+        return ((FNDA, 0, 0, 0, number(count), name, name, 0),)
+
+    def brda(self, fields: str) -> tuple:
+        line, block, rest = (*fields.split(",", 2), "")[:3]
+        branch, comma, count = rest.rpartition(",")
+        if not comma:
+            raise Malformed
+        digits = block.lstrip("efU")
+        marks = block[: len(block) - len(digits)]
+        flags = EXCEPTION * ("e" in marks) | FALLTHROUGH * ("f" in marks) | UNREACHABLE * ("U" in marks)
+        try:
+            third, flags = number(branch), flags | NUMERIC
+        except Malformed:
+            third, flags = 0, flags | TEXT
+        hits = 0 if count == "-" else number(count)
+        return ((BRDA, number(line), number(digits), third, hits, branch, "", flags | DASH * (count == "-")),)
+
+    def mcdc(self, fields: str) -> tuple:
+        parts = fields.split(",", 5)
+        if len(parts) < 6 or parts[2] not in ("t", "f"):
+            raise Malformed
+        line, group, sense, count, index, expression = parts
+        flags = SENSE * (sense == "t") | MCDC_UNREACHABLE * group.startswith("U")
+        return ((MCDC, number(line), number(group.removeprefix("U")), number(index), number(count), expression, "", flags),)
+
+
+def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions: bool = True, branches: bool = True) -> Iterator[tuple]:
+    """Record rows of whole sections. The first error ends the file: its row has only an error.
+
+    Rows of unselected sources are checked but not given. A row with only a note is a warning. ``origin_line`` is a byte position.
+    """
+    path = tn = None
     inside = keep = False
     pos = base
     cache: dict[str, tuple[str, bool]] = {}
-
-    def error(message: str) -> tuple:
-        return (input_id, at, None, None, None, None, None, message)
+    section = Section(functions, branches)
+    blank = (None,) * 8
 
     for raw in data.split(b"\n"):
         at, pos = pos, pos + len(raw) + 1
+        error = None
         if len(raw) > MAX_LINE + (raw[-1:] == b"\r"):
-            yield error("line exceeds 1 MiB")
+            yield (input_id, at, None, *blank, "line exceeds 1 MiB", None)
             return
         if raw[-1:] == b"\r":
             raw = raw[:-1]
@@ -82,50 +173,76 @@ def tokenize(data: bytes, base: int, input_id: int, rules: PathRules) -> Iterato
         except UnicodeDecodeError:
             line = "\0"
         if "\0" in line:
-            yield error("binary or invalid UTF-8 data")
+            yield (input_id, at, None, *blank, "binary or invalid UTF-8 data", None)
             return
         tag, colon, payload = line.partition(":")
-        if inside:
-            if tag == "end_of_recordSF" or tag == "end_of_recordKF":
-                yield (input_id, at, path, None, "!joined", "", None, None)
-                inside, tag = False, tag[-2:]
-            elif line == "end_of_record":
-                inside = False
-                continue
-        elif line == "end_of_record":
-            yield error("end_of_record without SF")
-            return
-        if tag in ("SF", "KF") and colon:
-            if inside:
-                yield error("SF inside an open section")
+        if line == "end_of_record":
+            if not inside:
+                yield (input_id, at, None, *blank, "end_of_record without SF", None)
                 return
-            if payload not in cache:
-                rewritten = rules.rewrite(payload) if payload else ""
+            inside = False
+            continue
+        if inside and tag in ("end_of_recordSF", "end_of_recordKF") and colon:
+            yield (input_id, at, path, *blank, None, "recovered joined end_of_record boundary")
+            inside, tag = False, tag[-2:]
+        if tag in ("SF", "KF") and colon:
+            if payload and payload not in cache:
+                rewritten = rules.rewrite(payload)
                 cache[payload] = (rewritten, bool(rewritten) and rules.selects(rewritten))
-            path, keep = cache[payload]
-            if not path:
-                yield error("empty source path")
+            path, keep = cache.get(payload, ("", False))
+            if inside or not path:
+                yield (input_id, at, None, *blank, "SF inside an open section" if inside else "empty source path", None)
                 return
-            inside, fnl = True, None
+            inside, section.current = True, None
             if keep:
-                yield (input_id, at, path, tn or "", "SF", "", None, None)
+                yield (input_id, at, path, TN, 0, 0, 0, 0, tn or "", "", 0, None, None)
+                yield (input_id, at, path, SECTION, 0, 0, 0, 0, "", "", 0, None, None)
             tn = None
-        elif tag == "TN" and colon and not inside:
-            if tn is not None:
-                yield error("more than one TN before SF")
-                return
-            tn = payload
-        elif not inside:
-            yield error("record outside an SF section")
+            continue
+        if not inside:
+            if tag == "TN" and colon and tn is None:
+                tn = payload
+                continue
+            yield (input_id, at, None, *blank, "more than one TN before SF" if tag == "TN" and colon else "record outside an SF section", None)
             return
-        elif not colon or not tag or tag == "TN":
-            yield error("unrecognized record")
+        parse = section.parsers.get(tag) if colon else None
+        try:
+            if parse is not None:
+                rows = parse(payload)
+                if keep and tag == "FNA" and rows and not rows[1][5]:
+                    raise Malformed("empty FNA function name")
+            elif tag in SUMMARIES and colon:
+                number(payload)
+                continue
+            elif not colon or not tag or tag == "TN":
+                raise Malformed("unrecognized record")
+            else:
+                rows = ((EXT, 0, 0, 0, 0, line, "", 0),)
+                if keep and tag != "VER":
+                    yield (input_id, at, path, *blank, None, f"preserved unknown record {tag}")
+        except Malformed as e:
+            error = str(e) or f"invalid {'summary' if tag in SUMMARIES else tag} record"
+        if error:
+            yield (input_id, at, None, *blank, error, None)
             return
-        else:
-            if tag == "FNL":
-                fnl = payload
-            # rows of unselected sources are still checked, so they come with an empty path
-            yield (input_id, at, path if keep else None, None, tag, payload, fnl if tag == "FNA" else None, None)
+        if keep:
+            for row in rows:
+                yield (input_id, at, path, *row, None, None)
+
+
+def _columns():
+    import pyarrow as pa
+
+    whole = pa.decimal128(20, 0)
+    return [("input_id", pa.int64()), ("origin_line", pa.int64()), ("path", pa.string()), ("kind", pa.int8()), ("a", whole), ("b", whole), ("c", whole), ("value", whole),
+            ("text", pa.string()), ("extra", pa.string()), ("flags", pa.int32()), ("error", pa.string()), ("note", pa.string())]
+
+
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = _columns()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
 
 
 class LcovReader(DataSourceReader):
@@ -135,6 +252,8 @@ class LcovReader(DataSourceReader):
         given = json.loads(options.get("rules", "{}"))
         self.rules = PathRules(tuple(map(tuple, given.get("rebases", ()))), given.get("strip"), tuple(given.get("includes", ())), tuple(given.get("excludes", ())))
 
+        self.functions, self.branches = given.get("functions", True), given.get("branches", True)
+
     def partitions(self) -> list[TraceRange]:
         found = []
         for input_id, name in enumerate(self.names):
@@ -144,22 +263,15 @@ class LcovReader(DataSourceReader):
         return found
 
     def read(self, partition: TraceRange) -> Iterator:
-        import pyarrow as pa
-
         data, base = read_range(partition.name, partition.start, partition.end, os.path.getsize(partition.name))
-        kinds = [("input_id", pa.int32()), ("pos", pa.int64()), *((n, pa.string()) for n in ("path", "tn", "tag", "payload", "fnl", "error"))]
-        schema, rows = pa.schema(kinds), []
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
-
-        for row in tokenize(data, base, partition.input_id, self.rules):
+        rows: list[tuple] = []
+        for row in tokenize(data, base, partition.input_id, self.rules, self.functions, self.branches):
             rows.append(row)
             if len(rows) >= 20_000:
-                yield batch()
+                yield _batch(rows)
                 rows.clear()
         if rows:
-            yield batch()
+            yield _batch(rows)
 
 
 class LcovSource(DataSource):
@@ -170,33 +282,36 @@ class LcovSource(DataSource):
         return "lcov"
 
     def schema(self) -> str:
-        return TOKENS
+        return RECORDS
 
     def reader(self, schema) -> LcovReader:
         return LcovReader(self.options)
 
 
-def load_tokens(spark: SparkSession, names: list[str], rules: PathRules = PathRules(), range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Tokens of the listed files; ``input_id`` is the place in the list. Executors must see the same files."""
+def load_records(spark: SparkSession, names: list[str], rules: PathRules = PathRules(), functions: bool = True, branches: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Records, errors and notes of the listed files; ``input_id`` is the place in the list. Executors must see the same files.
+
+    Families that are switched off are skipped without a look at their fields.
+    """
     if not names:
-        return spark.createDataFrame([], TOKENS)
+        return spark.createDataFrame([], RECORDS)
     spark.dataSource.register(LcovSource)
-    given = json.dumps({"rebases": rules.rebases, "strip": rules.strip, "includes": rules.includes, "excludes": rules.excludes})
+    given = json.dumps({"rebases": rules.rebases, "strip": rules.strip, "includes": rules.includes, "excludes": rules.excludes, "functions": functions, "branches": branches})
     return spark.read.format("lcov").option("inputs", json.dumps([os.path.abspath(n) for n in names])).option("rules", given).option("rangeBytes", str(range_bytes)).load()
 
 
-def tokens_from_table(df: DataFrame, id_col: str = "input_id", body_col: str = "body", rules: PathRules = PathRules()) -> DataFrame:
-    """Tokens of tracefiles held in a column; null bodies are empty files."""
-    import pyarrow as pa
-
-    kinds = [("input_id", pa.int64()), ("pos", pa.int64()), *((n, pa.string()) for n in ("path", "tn", "tag", "payload", "fnl", "error"))]
+def records_from_table(df: DataFrame, id_col: str = "input_id", body_col: str = "body", rules: PathRules = PathRules()) -> DataFrame:
+    """Records of tracefiles held in a column; null and empty bodies are empty files."""
 
     def parse(batches):
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for input_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.extend(tokenize((body or "").encode("utf-8"), 0, input_id, rules))
+                if len(rows) >= 20_000:
+                    yield _batch(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+                yield _batch(rows)
 
-    return df.select(df[id_col].cast("bigint"), df[body_col]).mapInArrow(parse, TOKENS.replace("input_id int", "input_id bigint"))
+    return df.select(df[id_col].cast("bigint"), df[body_col]).mapInArrow(parse, RECORDS)
