@@ -9,8 +9,7 @@ TEXT, CODE, OUTPUT = "text", "code", "output"
 
 _DECODER = json.JSONDecoder(strict=False)
 _CELLS = re.compile(r'"cells"\s*:\s*\[')
-_KIND = re.compile(r'"cell_type"\s*:\s*"(\w+)"')
-_STRING = re.compile(r'"(source|text|text/plain|text/html|text/markdown|evalue)"\s*:\s*"((?:[^"\\]|\\.)*)("?)', re.S)
+_GAP = re.compile(r"[\s,]*")
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]")
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[ \t]*([^\n`]*)$")
 _IN, _OUT = re.compile(r"^In \[[ \d]*\]:"), re.compile(r"^Out(?: ?\[[ \d]*\])?:")
@@ -49,33 +48,55 @@ def _of_cell(cell) -> list[tuple[str, str]]:
     return cells + [(OUTPUT, x) for x in _output_texts(cell.get("outputs"))]
 
 
-def _unescape(text: str) -> str:
-    while text:
+def _completed(rest: str):
+    """The value whose JSON breaks off at the end of ``rest``, closed as it stands; None if it can't be."""
+    stack, in_string, escaped, comma = [], False, False, None
+    for i, c in enumerate(rest):
+        if in_string:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                in_string = False
+        elif c == '"':
+            in_string = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]" and stack:
+            stack.pop()
+        elif c == ",":
+            comma = (i, stack.copy())
+    closers = "".join(reversed(stack))
+    if in_string:
+        rest = re.sub(r"\\(?:u[0-9a-fA-F]{0,3})?$", "", rest) if escaped or re.search(r"\\u[0-9a-fA-F]{0,3}$", rest) else rest
+        rest += '"'
+    attempts = [rest + tail + closers for tail in ("", ":null", "null")]
+    if comma:
+        attempts.append(rest[: comma[0]] + "".join(reversed(comma[1])))
+    for attempt in attempts:
         try:
-            return json.loads(f'"{text}"', strict=False)
-        except ValueError:
-            text = text[:-1]
-    return ""
+            return _DECODER.raw_decode(attempt)[0]
+        except (ValueError, RecursionError):
+            continue
+    return None
 
 
 def _cut_off(text: str) -> list[tuple[str, str]]:
-    """The whole cells of JSON that breaks off, and what strings of its last cell can be read."""
+    """The whole cells of JSON that breaks off, and its last cell as far as it goes."""
     start = _CELLS.search(text)
     if not start:
         return [(TEXT, text)]
     found, at = [], start.end()
     while True:
-        at = re.compile(r"[\s,]*").match(text, at).end()
+        at = _GAP.match(text, at).end()
         try:
             cell, at = _DECODER.raw_decode(text, at)
         except (ValueError, RecursionError):
             break
         found += _of_cell(cell)
-    rest = text[at:]
-    kind = _KIND.search(rest)
-    if rest.startswith("{") and kind:
-        for m in _STRING.finditer(rest):
-            found.append((CODE if kind[1] == "code" else TEXT, _unescape(m[2])) if m[1] == "source" else (OUTPUT, _unescape(m[2])))
+    if text.startswith("{", at):
+        found += _of_cell(_completed(text[at:]))
     return found
 
 
