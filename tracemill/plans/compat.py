@@ -76,16 +76,18 @@ class CompatMerge:
         self.rows = materialize(load_rows(spark, inputs, options.rules, options.families(), options.checksum, options.forget_names), "rows")
         self.problems: list[DataFrame] = [self.rows.filter("problem IS NOT NULL").select(F.col("problem").alias("kind"), "message")]
         self.da = self.rows.filter("family = 'DA'").select("source", "testcase", "input_id", "section", "ordinal", "line", F.col("hits").alias("count"), "checksum")
-        self.alive = self.da.select("source", "input_id").distinct()
-        self.has_da = self.da.select("source", "input_id", "testcase").distinct()
+        self.has_da = materialize(self.da.select("source", "input_id", "testcase").distinct(), "eligible")
+        self.alive = self.has_da.select("source", "input_id").distinct()
         all_inputs = spark.range(len(inputs)).withColumnRenamed("id", "input_id")
         self._note(op.lacking(all_inputs, self.alive, ["input_id"]), None, "empty", "an input has no source with lines")
         self._versions()
         self._conditions()
-        self._functions_by_input()
+        if options.functions:
+            self._functions_by_input()
         self._branches()
         self._output_lines()
-        self._functions_merged()
+        if options.functions:
+            self._functions_merged()
         self._presence()
 
     def _note(self, df: DataFrame, condition: Column | None, kind: str, message: str) -> None:
@@ -117,14 +119,17 @@ class CompatMerge:
         return merged.select(*point, "name", F.explode(both).alias("b")).select(*point, "name", "b.*")
 
     def _conditions(self) -> None:
+        if not self.options.mcdc:
+            self.condition_lines = self.condition_member_lines = self.spark.createDataFrame([], "source string, input_id bigint, testcase string, line decimal(20,0), count decimal(20,0)")
+            return
         rows = op.having(self._family("MCDC"), self.alive, ["source", "input_id"])
         public = op.having(rows, self.has_da, ["source", "input_id", "testcase"])
-        self.master_conditions = self._fold_conditions(rows, ["source", "input_id"], True)
+        self.master_conditions = materialize(self._fold_conditions(rows, ["source", "input_id"], True), "conditions")
         self.conditions = self._fold_conditions(public, ["source", "testcase"], True).withColumn("idx", F.dense_rank().over(Window.partitionBy("source", "testcase", "line", "block").orderBy("idx")) - 1)
         key = ["source", "input_id", "line"]
         reachable = self.master_conditions.withColumn("hits", F.when(~F.col("unreachable"), F.col("hits")))
         lines = op.synthesized_lines(reachable, self.da, key, "hits").withColumn("count", F.col("count").cast(NUMBER))
-        self.condition_lines = lines if self.options.consistency and self.options.mcdc else lines.limit(0)
+        self.condition_lines = lines if self.options.consistency else lines.limit(0)
         self.condition_member_lines = op.members(self.condition_lines, public, key, "testcase")
 
     # -- functions ---------------------------------------------------------------------------------------------------
@@ -139,7 +144,7 @@ class CompatMerge:
         linked = rows.withColumn("place", F.first(place, ignorenulls=True).over(w))
         again = F.col("declares") & ~F.col("place").eqNullSafe(F.struct("line", "stop"))
         second = F.col("declares") & ~F.col("old") & (F.count(place).over(w) > 1)
-        linked = linked.withColumn("again", again).withColumn("second", second)
+        linked = materialize(linked.withColumn("again", again).withColumn("second", second), "linked")
         self._note(linked, ~F.col("declares") & F.col("place").isNull(), "mismatch", "hits of a function that isn't declared")
         self._note(linked, F.col("second"), "format", "a function index is declared twice")
         self._note(linked, F.col("again") & F.col("old"), "inconsistent", "a function is declared again elsewhere")
@@ -157,12 +162,13 @@ class CompatMerge:
         own = own.join(last, owner)
         exempt = F.col("lambda") & ~F.col("hit")
         own = own.withColumn("first", F.when(exempt, F.col("line") + 1).otherwise(F.col("line")).cast(NUMBER))
+        own = materialize(own, "ranges")
         usable = F.col("stop").isNotNull() & (F.col("stop") >= F.col("line")) & (F.lit(not o.consistency) | (F.col("last_line") >= F.col("line"))) & (F.col("first") <= F.col("stop"))
         self._note(own, F.col("stop") < F.col("line"), "inconsistent", "a function ends before it starts")
         self._note(own, F.lit(o.consistency) & (F.col("last_line") < F.col("line")), "inconsistent", "a function starts after the last line")
         if derive:
             self._note(own, F.col("stop").isNull() & _is("source", ENDS_DERIVED), "inconsistent", "the end of a function can't be derived")
-        checked = op.first_hit_in_range(lines, own.filter(usable), owner, "line", "count", "first", "stop")
+        checked = materialize(op.first_hit_in_range(lines, own.filter(usable), owner, "line", "count", "first", "stop"), "checked")
         wrong = F.col("hit") != F.col("first_hit").isNotNull()
         self._note(checked, F.lit(o.consistency) & wrong, "inconsistent", "a function and its lines disagree on having been hit")
         at = lines.select(*owner, F.col("line").alias("first_hit"), F.col("count").alias("addition"))
@@ -209,11 +215,14 @@ class CompatMerge:
             final = final.join(ends, ["source", "testcase", "line"], "left").withColumn("stop", F.coalesce("stop", F.when(_is("source", ENDS_DERIVED), F.col("derived_end")))).drop("derived_end")
         alias = F.min("name").over(Window.partitionBy("source", "testcase", "line"))
         final = final.withColumn("alias", alias).withColumn("idx", F.dense_rank().over(Window.partitionBy("source", "testcase").orderBy("line", "alias", F.asc_nulls_first("stop"))) - 1)
-        self.final_functions, self.ghost_functions = final, ghosts
+        self.final_functions = materialize(final, "final-functions")
 
     # -- branches ----------------------------------------------------------------------------------------------------
 
     def _branches(self) -> None:
+        if not self.options.branches:
+            self.unserialized_lines = self.branch_member_lines = self.spark.createDataFrame([], "source string, input_id bigint, testcase string, line decimal(20,0), count decimal(20,0)")
+            return
         o, origin = self.options, ["input_id", "section"]
         rows = op.having(self._family("BRDA"), self.alive, ["source", "input_id"]).select("source", "testcase", *origin, "ordinal", "line", "block", "kind", "unreachable", "hits", "name")
         block = ["source", "testcase", *origin, "line", "block"]
@@ -222,7 +231,7 @@ class CompatMerge:
         own = ["source", "input_id", "line"]
         present = op.merge_counts(_union(self.da.select(*own, "count"), self.condition_lines.select(*own, "count")), own, limit=I64_MAX)
         points = placed.groupBy(*own, "signature", "occurrence", "position").agg(F.max("hits").alias("hits"))
-        state = op.branch_line_state(present, points, own, "count", "hits")
+        state = materialize(op.branch_line_state(present, points, own, "count", "hits"), "branch-lines")
         testcases = placed.groupBy(*own).agg(F.count_distinct("testcase").alias("testcases"), F.min("testcase").alias("testcase"))
         self._branch_notes(state)
         repaired = state.filter((F.col("state") == "no line") & F.lit(o.consistency)).join(testcases, own).select(*own, "testcase", F.col("repaired").cast(NUMBER).alias("count"), (F.col("testcases") == 1).alias("serialized"))
@@ -256,6 +265,7 @@ class CompatMerge:
             self.lines = self.lines.join(chosen.select(*place, "checksum"), place, "left")
         else:
             self.lines = self.lines.withColumn("checksum", F.lit(None).cast("string"))
+        self.lines = materialize(self.lines, "lines")
 
     def _with_digests(self) -> DataFrame:
         """Lines with their checksum, filled from the source text; for the C family it is verified too."""
@@ -268,9 +278,12 @@ class CompatMerge:
         return joined.withColumn("checksum", F.coalesce("checksum", "digest"))
 
     def _presence(self) -> None:
-        for enabled, rows, what in ((self.options.functions, self.functions, "functions"), (self.options.branches, self.master_branches.filter("NOT unreachable"), "branches"), (self.options.mcdc, self.master_conditions, "conditions")):
+        checks = ((self.options.functions, "functions"), (self.options.branches, "master_branches"), (self.options.mcdc, "master_conditions"))
+        for enabled, what in checks:
             if enabled:
-                self._note(rows.agg(F.count("*").alias("n")), F.col("n") == 0, "empty", f"no {what} in the inputs")
+                rows = getattr(self, what)
+                rows = rows.filter("NOT unreachable") if what == "master_branches" else rows
+                self._note(rows.agg(F.count("*").alias("n")), F.col("n") == 0, "empty", f"no {what.removeprefix('master_')} in the inputs")
         self._note(self.lines.agg(F.count("*").alias("n")), F.col("n") == 0, "empty", "no output")
 
     def problem_kinds(self) -> list[tuple[str, str, int]]:
