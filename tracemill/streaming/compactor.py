@@ -68,7 +68,7 @@ class Compactor:
 
     def folder_source(self, path: str) -> DataFrame:
         """Tracefiles in a folder, one input per file; the id is a 64-bit hash of the file's path."""
-        stream = self.spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", self.files_per_batch).option("recursiveFileLookup", True).text(path)
+        stream = self.spark.readStream.option("maxFilesPerTrigger", self.files_per_batch).text(path, wholetext=True, recursiveFileLookup=True)
         return stream.select(F.xxhash64("_metadata.file_path").alias("input_id"), F.col("value").alias("body"))
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:

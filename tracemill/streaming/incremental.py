@@ -43,7 +43,7 @@ class IncrementalMerge:
 
     def run(self, folder: str) -> None:
         """Take in all tracefiles of a folder that weren't taken in before."""
-        stream = self.spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+        stream = self.spark.readStream.text(folder, wholetext=True, recursiveFileLookup=True)
         named = stream.select(F.xxhash64("_metadata.file_path").alias("input_id"), F.col("value").alias("body"))
         query = named.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
