@@ -17,7 +17,7 @@ from tracemill.functions.numbers import I64_MAX, NUMBER, extension, saturated_su
 from tracemill.functions.paths import PathRules
 from tracemill.operators import coverage as op
 from tracemill.session import materialize
-from tracemill.sources.lenient import load_rows
+from tracemill.sources.lenient import load_rows, rows_from_table
 
 # fixed values: kinds of problems that may be named to be ignored, and extensions with a special treatment
 IGNORABLE = frozenset("inconsistent version mismatch format empty source unused negative".split())
@@ -71,14 +71,18 @@ def _lambda() -> Column:
 
 
 class CompatMerge:
-    def __init__(self, spark: SparkSession, inputs: list[str], options: Options = Options(), source_root: str | None = None):
-        self.spark, self.options, self.inputs = spark, options, inputs
-        self.rows = materialize(load_rows(spark, inputs, options.rules, options.families(), options.checksum, options.forget_names), "rows")
+    """A planned merge of files, or of the (input_id, body) rows of a table."""
+
+    def __init__(self, spark: SparkSession, inputs: list[str] | DataFrame, options: Options = Options()):
+        self.spark, self.options = spark, options
+        reading = (options.rules, options.families(), options.checksum, options.forget_names)
+        rows = load_rows(spark, inputs, *reading) if isinstance(inputs, list) else rows_from_table(inputs, *reading)
+        self.rows = materialize(rows, "rows")
         self.problems: list[DataFrame] = [self.rows.filter("problem IS NOT NULL").select(F.col("problem").alias("kind"), "message")]
         self.da = self.rows.filter("family = 'DA'").select("source", "testcase", "input_id", "section", "ordinal", "line", F.col("hits").alias("count"), "checksum")
         self.has_da = materialize(self.da.select("source", "input_id", "testcase").distinct(), "eligible")
         self.alive = self.has_da.select("source", "input_id").distinct()
-        all_inputs = spark.range(len(inputs)).withColumnRenamed("id", "input_id")
+        all_inputs = spark.range(len(inputs)).withColumnRenamed("id", "input_id") if isinstance(inputs, list) else inputs.select("input_id").distinct()
         self._note(op.lacking(all_inputs, self.alive, ["input_id"]), None, "empty", "an input has no source with lines")
         self._versions()
         self._conditions()

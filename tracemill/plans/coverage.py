@@ -378,3 +378,29 @@ def parse_count(spark, d):
 @query("SELECT event_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before > value")
 def order_check(spark, d):
     return op.out_of_order(table(spark, d, "events"), ["user_id"], "event_id", "value").select("event_id")
+
+
+def compat_lines(spark, d):
+    """Lines of the testcase-preserving merge of the tracefiles in ``shards``."""
+    from tracemill.plans.compat import CompatMerge, Options
+
+    plan = CompatMerge(spark, table(spark, d, "shards"), Options(functions=False, keep_going=True))
+    return plan.lines.select("source", "testcase", F.col("line").cast("bigint").alias("line"), F.col("count").cast("bigint").alias("count"))
+
+
+def compat_render(spark, d):
+    """The whole testcase-preserving merge of ``shards``, as ordered lines."""
+    from tracemill.plans.compat import CompatMerge, Options
+
+    return CompatMerge(spark, table(spark, d, "shards"), Options(branches=True, keep_going=True)).ordered()
+
+
+QUERIES |= {f.__name__: f for f in (compat_lines, compat_render)}
+ORACLE["compat_lines"] = r"""WITH parts AS (SELECT input_id, unnest(string_split(chr(10) || replace(body, chr(13), ''), chr(10) || 'TN:')) AS part FROM shards),
+l AS (SELECT regexp_extract(part, '^([^
+]*)
+', 1) AS testcase, regexp_extract(part, '
+[SK]F:([^
+]*)
+', 1) AS source, unnest(string_split(part, chr(10))) AS x FROM parts)
+SELECT source, testcase, CAST(string_split(x[4:], ',')[1] AS BIGINT) AS line, sum(CAST(string_split(x[4:], ',')[2] AS BIGINT))::BIGINT AS count FROM l WHERE x[1:3] = 'DA:' GROUP BY ALL"""

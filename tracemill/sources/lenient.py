@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -199,27 +200,33 @@ def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[st
         yield {"input_id": input_id, "section": section, "ordinal": 1 << 60, "problem": "format", "message": "the last section isn't closed"}
 
 
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    wholes, longs = ("line", "stop", "block", "idx", "hits"), ("input_id", "section", "ordinal")
+    kinds = {n: pa.int64() if n in longs else pa.bool_() if n == "unreachable" else pa.decimal128(20, 0) if n in wholes else pa.string() for n in _NAMES}
+    while part := list(itertools.islice(rows, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in part], k) for n, k in kinds.items()], list(kinds))
+
+
 def load_rows(spark: SparkSession, inputs: list[str], rules: PathRules, families: frozenset[str], keep_sums: bool = False, forget: bool = False) -> DataFrame:
     """Rows of all inputs; gzip by extension; an input named twice counts twice. Files must be visible to the executors."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {n: pa.int64() if n in ("input_id", "section", "ordinal") else pa.bool_() if n == "unreachable" else pa.decimal128(20, 0) if n in ("line", "stop", "block", "idx", "hits") else pa.string() for n in _NAMES}
-
-        def batch(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in kinds.items()], list(kinds))
-
         for part in batches:
             for input_id, path in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 with (gzip.open if path.lower().endswith(".gz") else open)(path, "rb") as f:
                     data = f.read()
-                rows: list[dict] = []
-                for row in rows_of(data, input_id, rules, families, keep_sums, forget):
-                    rows.append(row)
-                    if len(rows) >= 20_000:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
+                yield from _batches(rows_of(data, input_id, rules, families, keep_sums, forget))
 
     names = spark.createDataFrame(list(enumerate(inputs)), "input_id bigint, path string")
     return names.repartition(max(1, min(len(inputs), 10_000)), "input_id").mapInArrow(read, ROWS)
+
+
+def rows_from_table(df: DataFrame, rules: PathRules, families: frozenset[str], keep_sums: bool = False, forget: bool = False) -> DataFrame:
+    """Rows of tracefiles held in a table with input_id and body; null bodies are empty files."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            bodies = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            yield from _batches(row for input_id, body in bodies for row in rows_of((body or "").encode(), input_id, rules, families, keep_sums, forget))
+
+    return df.select(df["input_id"].cast("bigint"), df["body"]).mapInArrow(read, ROWS)
