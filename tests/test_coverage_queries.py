@@ -72,5 +72,5 @@ def test_numbers(spark):
 def test_text_operators_are_optional():
     import __spark_entry__ as entry
 
-    assert ("tracemill.llm.queries" in entry.MODULES) == (importlib.util.find_spec("tracemill.llm") is not None)
+    assert ("tracemill.llm.queries" in entry.MODULES) == bool(importlib.util.find_spec("tracemill.llm") and importlib.util.find_spec("tracemill.llm.queries"))
     assert "da_merge" in entry.queries()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import I64_MAX, U64_MAX, saturated_sum
@@ -211,6 +211,3 @@ def out_of_order(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("_before", before).filter(F.col("_before") > F.col(value)).drop("_before")
 
-
-def as_big(column: Column | str) -> Column:
-    return F.col(column).cast("bigint") if isinstance(column, str) else column.cast("bigint")

@@ -28,6 +28,7 @@ NEW, NUMERIC, TEXT, DASH, EXCEPTION, FALLTHROUGH, UNREACHABLE, SENSE, MCDC_UNREA
 U64_MAX = 2**64 - 1
 MAX_LINE = 1 << 20
 RANGE_BYTES = 32 << 20
+# fixed values: tags of summaries, which are made anew
 SUMMARIES = frozenset(("FNF", "FNH", "LF", "LH", "BRF", "BRH", "MCF", "MCH"))
 
 

@@ -15,6 +15,7 @@ from tracemill.sources.lcov import MAX_LINE, SUMMARIES, U64_MAX
 
 ROWS = ("input_id bigint, section bigint, ordinal bigint, source string, testcase string, family string, line decimal(20,0), stop decimal(20,0), block decimal(20,0), idx decimal(20,0), "
         "hits decimal(20,0), name string, kind string, unreachable boolean, checksum string, problem string, message string")
+# fixed values: the record tags of this merge
 FAMILIES = ("DA", "FN", "FNDA", "FNL", "FNA", "BRDA", "MCDC")
 I64_MAX = 2**63 - 1
 _FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
@@ -115,7 +116,7 @@ _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[str], keep_sums: bool, forget: bool) -> Iterator[dict]:
     """Rows of one input as if every problem were ignored; each problem is a row with its kind, in order."""
     testcase = current = ""
-    source, inside, skipped, section = None, False, False, 0
+    source, inside, section = None, False, 0
     for number, raw in enumerate(data.split(b"\n"), 1):
         at = {"input_id": input_id, "section": section, "ordinal": number}
 
@@ -143,17 +144,11 @@ def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[st
                 testcase = testcase_name(payload)
             continue
         if tag in ("SF", "KF") and colon:
-            lost = inside
             if inside:
                 yield problem("format", "SF inside an open section")
-                inside = False
-            inside, section = True, section + 1
+            inside, section, source = True, section + 1, None
             current = "" if forget else testcase
-            if lost and not forget:
-                current = testcase
-            skipped = not payload
-            source = None
-            if skipped:
+            if not payload:
                 yield problem("format", "empty file name")
                 continue
             rewritten = rules.rewrite(payload)
