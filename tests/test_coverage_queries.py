@@ -69,6 +69,22 @@ def test_numbers(spark):
     assert [r.e for r in spark.createDataFrame([("/a/b.c",), ("x.tar.gz",), ("/.hid",), ("no",)], "t string").select(extension(F.col("t")).alias("e")).collect()] == ["c", "gz", "", ""]
 
 
+COUNTS = {"9223372036854775806": 2**63 - 2, "9223372036854775807": 2**63 - 1, "9223372036854775808": 2**63 - 1, "18446744073709551616": 2**63 - 1, "0" * 30 + "12": 12, "+" + "9" * 60: 2**63 - 1, "9" * 400: 2**63 - 1,
+          "9223372036854774784.0": 2**63 - 1024, "9223372036854775808.0": 2**63 - 1, "1e18": 10**18, "1e30": 2**63 - 1, "1e-30": 0, "-1e30": 0, "1e999": None, "0.000000000000000000001": 0, "": None, "-": None, "x": None}
+
+
+def test_counts_of_any_length(spark, tmp_path):
+    import duckdb
+
+    texts = list(COUNTS)
+    spark.createDataFrame([(i, f"1,1,0,v,0,{t},x") for i, t in enumerate(texts)] + [(98, "1,2"), (99, None)], "row_id bigint, raw string").coalesce(1).write.parquet(f"{tmp_path}/branch_rows.parquet")
+    got = {r.row_id: (r.hits, r.value) for r in coverage.QUERIES["parse_count_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(COUNTS.items()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW branch_rows AS SELECT * FROM '{tmp_path}/branch_rows.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(coverage.ORACLE["parse_count_all"]).fetchall()} == got
+
+
 def test_text_operators_are_optional():
     import __spark_entry__ as entry
 

@@ -37,7 +37,7 @@ def lenient_count(text: Column) -> Column:
     floating = text.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
     number = text.try_cast("double")
     finite = floating & number.isNotNull() & (F.abs(number) <= F.lit(1.7976931348623157e308))
-    truncated = F.when(number >= F.lit(9.223372036854775e18), limit).otherwise(F.floor(number).cast(NUMBER))
+    truncated = F.when(number >= F.lit(9.223372036854775808e18), limit).otherwise(F.floor(number).cast(NUMBER))
     value = F.when(whole, exact).when(finite & (number <= 0), F.lit(0).cast(NUMBER)).when(finite, truncated)
     error = F.when(whole, F.lit(None).cast("string")).when(finite, F.when(number < 0, "negative")).otherwise("format")
     return F.struct(value.alias("value"), error.alias("error"))

@@ -375,6 +375,16 @@ def parse_count(spark, d):
     return rows.select("row_id", "hits", numbers.lenient_count(F.col("hits"))["value"].cast("bigint").alias("value"))
 
 
+@query(r"""SELECT row_id, hits, CASE WHEN regexp_full_match(hits, '[+]?[0-9]+') THEN CASE WHEN length(digits) > 19 THEN 9223372036854775807 ELSE least(CAST(digits AS HUGEINT), 9223372036854775807)::BIGINT END
+ WHEN isfinite(number) THEN CASE WHEN number >= 9223372036854775808::DOUBLE THEN 9223372036854775807 ELSE CAST(greatest(trunc(number), 0) AS BIGINT) END END AS value
+ FROM (SELECT row_id, hits, CASE WHEN regexp_full_match(hits, '[+]?[0-9]+') THEN regexp_replace(ltrim(hits, '+'), '^0+([0-9])', '\1') END AS digits,
+  CASE WHEN regexp_full_match(hits, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(hits AS DOUBLE) END AS number FROM (SELECT row_id, string_split(raw, ',')[6] AS hits FROM branch_rows)) WHERE hits IS NOT NULL""")
+def parse_count_all(spark, d):
+    """The lenient count of every sixth field, of any length and exponent."""
+    rows = table(spark, d, "branch_rows").select("row_id", F.get(F.split("raw", ","), F.lit(5)).alias("hits")).filter("hits IS NOT NULL")
+    return rows.select("row_id", "hits", numbers.lenient_count(F.col("hits"))["value"].cast("bigint").alias("value"))
+
+
 @query("SELECT event_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before > value")
 def order_check(spark, d):
     return op.out_of_order(table(spark, d, "events"), ["user_id"], "event_id", "value").select("event_id")
