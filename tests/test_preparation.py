@@ -33,6 +33,28 @@ def test_rejected_rows(spark):
     assert rejects.parse_delimited(spark.createDataFrame([], "row_id bigint, raw string")).count() == 0
 
 
+HITS = {"-": None, "0": "0", "007": "7", "+5": "5", ".5": "0", "5.": "5", "2.9": "2", "1e3": "1000", "+2.5E1": "25", "123456789012345678901e-3": "123456789012345680", "9007199254740993": "9007199254740993", "9223372036854774784.0": str(2**63 - 1024),
+        "9223372036854775806": str(2**63 - 2), "9223372036854775807": str(2**63 - 1), "9223372036854775808": str(2**63 - 1), "18446744073709551616": str(2**63 - 1), "1e30": str(2**63 - 1), "9" * 60: str(2**63 - 1), "+" + "0" * 60 + "4": "4"}
+
+
+def test_loaded_rows_keep_their_hits(spark, tmp_path):
+    import duckdb
+
+    from tracemill.plans import preparation
+
+    rows = [(i, f"1,2,0,v,0,{hits},x") for i, hits in enumerate(HITS)] + [(98, "1,2,0,v,0,1e999,x"), (99, '1,2,0,v,1,"3","y"')]
+    spark.createDataFrame(rows, "row_id bigint, raw string").coalesce(1).write.parquet(f"{tmp_path}/branch_rows.parquet")
+    loaded = preparation.QUERIES["p1_records"](spark, str(tmp_path))
+    got = {r.row_id: r for r in loaded.collect()}
+    assert {i: r.hits for i, r in got.items()} == dict(enumerate(HITS.values())) | {99: "3"}
+    assert [i for i, r in got.items() if r.no_hits] == [0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW branch_rows AS SELECT * FROM '{tmp_path}/branch_rows.parquet/*.parquet'")
+    cur = con.execute(preparation.ORACLE["p1_records"])
+    assert [x[0] for x in cur.description] == loaded.columns
+    assert {r[0]: r for r in cur.fetchall()} == {i: tuple(r) for i, r in got.items()}
+
+
 SHARDS = [
     (1, "TN:a\nSF:/x\nDA:1,1\nDA:2,0\nLF:2\nLH:1\nend_of_record\n"), (2, "# c\r\nTN:a\r\nKF:/x\r\nDA:2,0\r\n\r\nDA:1,1\r\nend_of_record"), (3, "TN:a\nSF:/x\nDA:1,1\nDA:1,1\nDA:2,0\nend_of_record\n"),
     (4, "TN:b\nSF:/x\nDA:1,1\nDA:2,0\nend_of_record\n"), (5, None), (6, ""), (7, "SF:/e\nend_of_record\nTN:a\nSF:/x\nDA:1,1\nDA:2,0\nend_of_record\n"), (8, "SF:/e\nLF:3\n"), (9, "SF:/e\n"), (9, "SF:/e\n")]
