@@ -56,3 +56,22 @@ def test_arriving_shards(spark, tmp_path):
     once = native.plan_merge(spark, [str(folder / f"{k}.info") for k in range(3)])
     lines = lambda m: [r.line for r in native.ordered_lines(m, native.source_summaries(m)).collect()]
     assert lines(stream.merged()) == lines(once.merged)
+
+
+def test_malformed_shard_is_not_taken_in(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = IncrementalMerge(spark, str(tmp_path / "out"))
+    good, mended = "SF:/a.c\nDA:1,1\nend_of_record\n", "SF:/b.c\nDA:1,2\nDA:2,3\nend_of_record\n"
+    (folder / "0.info").write_text(good)
+    stream.run(str(folder))
+    (folder / "1.info").write_text(mended.replace("DA:2,3", "DA:2,x"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="1.info:3: invalid DA"):
+            stream.run(str(folder))
+        assert {r.path for r in stream.merged().collect()} == {"/a.c"}
+    (folder / "1.info").write_text(mended)
+    stream.run(str(folder))
+    once = native.plan_merge(spark, [str(folder / f"{k}.info") for k in range(2)])
+    lines = lambda m: [r.line for r in native.ordered_lines(m, native.source_summaries(m)).collect()]
+    assert lines(stream.merged()) == lines(once.merged)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.plans.native import merge_records
+from tracemill.plans.native import Merge, TraceError, merge_records
 from tracemill.sources.lcov import records_from_table
 
 _RECORDS = "path string, kind tinyint, a decimal(20,0), b decimal(20,0), c decimal(20,0), value decimal(20,0), text string, extra string, flags int"
@@ -38,13 +38,25 @@ class IncrementalMerge:
         self.spark, self.out = spark, out.rstrip("/")
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        merged = merge_records(records_from_table(batch).filter("kind IS NOT NULL"))
-        as_records(merged).write.mode("overwrite").parquet(f"{self.out}/batches/batch_id={batch_id}")
+        """Merge a batch, or raise TraceError for a malformed file and write nothing: the batch is tried again once the file is mended."""
+        # parsed once for the check and the merge
+        records = records_from_table(batch).persist()
+        try:
+            merge = Merge(records)
+            try:
+                merge.check()
+            except TraceError as e:
+                file = batch.filter(F.col("input_id") == e.input_id).select("file", "body").first()
+                line = file.body.encode("utf-8")[: e.pos].count(b"\n") + 1
+                raise TraceError(f"{file.file}:{line}: {e}", e.input_id, e.pos) from None
+            as_records(merge.merged).write.mode("overwrite").parquet(f"{self.out}/batches/batch_id={batch_id}")
+        finally:
+            records.unpersist()
 
     def run(self, folder: str) -> None:
         """Take in all tracefiles of a folder that weren't taken in before."""
         stream = self.spark.readStream.text(folder, wholetext=True, recursiveFileLookup=True)
-        named = stream.select(F.xxhash64("_metadata.file_path").alias("input_id"), F.col("value").alias("body"))
+        named = stream.select(F.xxhash64("_metadata.file_path").alias("input_id"), F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
         query = named.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
 
