@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import numbers, paths
 from tracemill.operators import coverage as op
 from tracemill.plans import native
-from tracemill.session import table
+from tracemill.session import materialize, table
 
 LINES = """SELECT concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 3 AS BIGINT) AS input_id,
  l_orderkey AS section, CAST(l_linenumber + 7 * (l_orderkey % 9) AS BIGINT) AS line, CASE WHEN l_discount < 0.03 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS count,
@@ -199,6 +199,42 @@ ORACLE["lcov_roundtrip"] = r"""WITH l AS (SELECT unnest(string_split(replace(bod
 SELECT string_split(x, ':')[1] AS tag, count(*) AS n, sum(CAST(CASE WHEN x[1:3] = 'DA:' THEN string_split(x, ',')[2] ELSE string_split(x[6:], ',')[1] END AS BIGINT))::BIGINT AS hits FROM l WHERE x[1:3] = 'DA:' OR x[1:5] = 'FNDA:' GROUP BY 1"""
 
 
+_TAGS = {1: "TN", 2: "SF", 3: "group", 4: "FN", 5: "FNDA", 6: "BRDA", 7: "MCDC", 8: "DA", 9: "other"}
+
+
+def lcov_roundtrip_all(spark, d):
+    """Records of the tracefiles in ``shards``, and those parsed again from the lines of their merge, by kind.
+
+    ``n`` counts named TN rows only; ``hits`` is null for kinds without a count. BRDA rows with ``-`` and malformed lines are kinds of their own.
+    """
+    from tracemill.sources.lcov import records_from_table
+
+    records = materialize(records_from_table(table(spark, d, "shards")), "roundtrip")
+    merged = native.merge_records(records.filter("kind IS NOT NULL"))
+    line = F.struct(*native.ORDER[1:], "line")
+    ordered = native.rendered_lines(merged, native.source_summaries(merged)).groupBy("path").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    again = records_from_table(ordered.select(F.xxhash64("path").alias("input_id"), F.concat(F.array_join("lines.line", "\n"), F.lit("\n")).alias("body")))
+    kind = F.col("kind")
+    dash = (kind == 6) & (F.col("flags").bitwiseAND(native.DASH) != 0)
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in _TAGS.items() for x in pair]), kind.cast("int"))
+    tag = F.when(F.col("error").isNotNull(), "error").when(dash, "BRDA-").otherwise(named)
+    both = records.withColumn("side", F.lit("shards")).unionByName(again.withColumn("side", F.lit("rendered")))
+    counted = both.filter("error IS NOT NULL OR (kind IS NOT NULL AND NOT (kind = 1 AND text = ''))")
+    hits = F.when(kind.isin(5, 6, 7, 8) & ~dash, F.col("value"))
+    return counted.groupBy("side", tag.alias("tag")).agg(F.count("*").alias("n"), F.sum(hits).cast("string").alias("hits"))
+
+
+QUERIES["lcov_roundtrip_all"] = lcov_roundtrip_all
+ORACLE["lcov_roundtrip_all"] = r"""WITH l AS (SELECT input_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT input_id, string_split(replace(body, chr(13), ''), chr(10)) AS ls FROM shards)),
+w AS (SELECT x, string_split(x, ':')[1] AS tag, last_value(CASE WHEN x[1:3] IN ('SF:', 'KF:') THEN x[4:] END IGNORE NULLS) OVER f AS section, lead(x[4:]) OVER f AS coming FROM l WHERE x <> '' AND x[1] <> '#' WINDOW f AS (PARTITION BY input_id ORDER BY i)),
+r AS (SELECT section AS path, tag, CASE tag WHEN 'DA' THEN string_split(x[4:], ',')[1] WHEN 'FNDA' THEN regexp_replace(x[6:], '^[^,]*,', '') ELSE regexp_replace(x[6:], ',[^,]*$', '') END AS key,
+  TRY_CAST(CASE tag WHEN 'DA' THEN string_split(x[4:], ',')[2] WHEN 'FNDA' THEN string_split(x[6:], ',')[1] ELSE regexp_extract(x, ',([^,]*)$', 1) END AS HUGEINT) AS value FROM w WHERE tag IN ('DA', 'FNDA', 'BRDA')
+ UNION ALL SELECT section, unnest(['FN', 'group']), x[4:], NULL FROM w WHERE tag = 'FN' UNION ALL SELECT section, 'SF', '', NULL FROM w WHERE tag IN ('SF', 'KF') UNION ALL SELECT coming, 'TN', x[4:], NULL FROM w WHERE tag = 'TN' AND x <> 'TN:'),
+m AS (SELECT path, tag, key, sum(value) AS value FROM r GROUP BY ALL),
+s AS (SELECT 'shards' AS side, tag, value FROM r UNION ALL SELECT 'rendered', tag, value FROM m WHERE tag <> 'TN' UNION ALL SELECT 'rendered', 'TN', NULL FROM m WHERE tag = 'TN' GROUP BY path HAVING count(*) = 1)
+SELECT side, CASE WHEN tag = 'BRDA' AND value IS NULL THEN 'BRDA-' ELSE tag END AS tag, count(*) AS n, CAST(CAST(sum(value) AS HUGEINT) AS VARCHAR) AS hits FROM s GROUP BY 1, 2"""
+
+
 def _paths(spark, d):
     return _sql(spark, d, PATHS, "documents")
 
