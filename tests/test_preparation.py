@@ -154,6 +154,18 @@ def test_drift(spark):
     assert drift.changes(df.limit(0)).count() == 0 and drift.consistent(df.limit(0)).count() == 0
 
 
+def test_every_rename_is_found(spark):
+    # a, b -> c, d agree alike in all four pairs; p, q -> r, s: r's best partner q goes to s, which leaves p for r
+    before = [{"section_id": k, "a": True, "b": True, "p": "v" if k < 2 else None, "q": "v"} for k in range(3)]
+    after = [{"section_id": k, "c": True, "d": True, "r": "v" if k < 2 else None, "s": "v"} for k in range(3)]
+    import json
+
+    rows = [(1, seq, "f", k, json.dumps(body)) for seq, bodies in ((1, before), (2, after), (3, after)) for k, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "feed_id int, file_seq int, file_name string, row_no int, body string")
+    got = {(r.file_seq, r.field, r.change, r.old_field) for r in drift.changes(df).collect()}
+    assert got == {(2, "d", "renamed", "b"), (2, "c", "renamed", "a"), (2, "s", "renamed", "q"), (2, "r", "renamed", "p")}
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_split_record_round_trip(seed):
     rng = random.Random(seed)

@@ -104,10 +104,11 @@ def changes(rows: DataFrame) -> DataFrame:
     old_values = placed.withColumn("pos", F.col("pos") + 1).join(candidates.select("feed_id", "pos", F.col("old").alias("field")).distinct(), at, "left_semi").select("feed_id", "pos", "section", F.col("field").alias("old"), F.col("value").alias("old_value"))
     pairs = new_values.join(candidates, ["feed_id", "pos", "new"]).join(old_values, ["feed_id", "pos", "section", "old"])
     fits = pairs.groupBy("feed_id", "pos", "old", "new").agg(F.count_if(F.col("old_value") == F.col("new_value")).alias("agree"), F.count("*").alias("n")).filter("agree = n")
-    # each name once: the best of both its rows and columns; ties are settled by name. Few fields change at a file.
-    rank = F.struct(F.col("agree"), F.col("new"), F.col("old"))
-    chosen = fits.withColumn("best_new", F.max(rank).over(Window.partitionBy("feed_id", "pos", "new"))).withColumn("best_old", F.max(rank).over(Window.partitionBy("feed_id", "pos", "old")))
-    renamed = chosen.filter((F.col("best_new") == rank) & (F.col("best_old") == rank)).select("feed_id", "pos", F.col("new").alias("field"), F.col("old").alias("old_field"))
+    # the best first, each name once; ties are settled by name. Few fields change at a file.
+    ranked = fits.groupBy("feed_id", "pos").agg(F.sort_array(F.collect_list(F.struct("agree", "new", "old")), asc=False).alias("fits"))
+    none_yet = F.slice("fits", 1, 0)
+    taken = F.reduce("fits", none_yet, lambda done, x: F.when(F.exists(done, lambda y: (y["new"] == x["new"]) | (y["old"] == x["old"])), done).otherwise(F.concat(done, F.array(x))))
+    renamed = ranked.select("feed_id", "pos", F.explode(taken).alias("r")).select("feed_id", "pos", F.col("r.new").alias("field"), F.col("r.old").alias("old_field"))
     renamed = materialize(renamed, "renamed")
 
     none = F.lit(None).cast("string")
