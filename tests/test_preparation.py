@@ -1,6 +1,7 @@
 """Operators of data preparation on small tables: nulls, empty and long values, ties, repeats, clashing columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,97 @@ def test_rejected_rows(spark):
     assert rejects.parse_delimited(spark.createDataFrame([], "row_id bigint, raw string")).count() == 0
 
 
+_FIELD = re.compile(r'"((?:[^"]|"")*)"(?=,|\Z)|([^",]*)(?=,|\Z)', re.S)
+_HITS = re.compile(r"\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+_DIGITS = re.compile(r"[0-9]+")
+def split_record(raw):
+    """The unquoted fields of one record, or None if its quoting is broken."""
+    out, at = [], 0
+    while True:
+        m = _FIELD.match(raw, at)
+        if m is None:
+            return None
+        out.append(m[2] if m[1] is None else m[1].replace('""', '"'))
+        at = m.end()
+        if at == len(raw):
+            return out
+        at += 1
+
+
+def _number(text, least):
+    if not _DIGITS.fullmatch(text):
+        return None
+    digits = text.lstrip("0") or "0"
+    if len(digits) > 20 or not least <= int(digits) <= 2**64 - 1:
+        return None
+    return digits
+
+
+def _hits(text):
+    if text == "-":
+        return True, None
+    m = _HITS.fullmatch(text)
+    if not m:
+        return False, None
+    if m[2] is None and "." not in m[1]:
+        digits = m[1].lstrip("0") or "0"
+        if len(digits) > 308 and float(digits) == float("inf"):
+            return False, None
+        return True, str(min(int(digits), (2**63 - 1))) if len(digits) < 20 else str((2**63 - 1))
+    number = float(text)
+    if number == float("inf"):
+        return False, None
+    return True, str(min(int(number), (2**63 - 1)))
+
+
+def by_the_rule(raw):
+    """(reason, typed values) of one record, character by character; the reason is None for a valid record."""
+    if not raw:
+        return "columns", None
+    fields = split_record(raw)
+    if fields is None:
+        return "quoting", None
+    if len(fields) != 7:
+        return "columns", None
+    line_no, line, block = _number(fields[0], 1), _number(fields[1], 1), _number(fields[2], 0)
+    good, hits = _hits(fields[5])
+    checks = (line_no is not None, line is not None, block is not None, fields[3] in ("v", "e", "f"),
+              fields[4] in ("0", "1"), good, fields[6] != "")
+    if not all(checks):
+        return "value", None
+    return None, (line_no, line, block, fields[3], fields[4] == "1", hits, fields[6])
+
+
+def random_record(rng):
+    numbers = ["1", "007", "0", "18446744073709551615", "18446744073709551616", "1e3", "+1", "1.0", " 1", "0x1", ""]
+    fields = [rng.choice(numbers), rng.choice(numbers), rng.choice(numbers), rng.choice("vefV"), rng.choice(["0", "1", "2", "true"]),
+              rng.choice(["-", "1.5", "1e3", ".5", "5.", "+4", "1e309", "9" * 400, "-1", "1 ", "nan", "", "07"]), rng.choice(["x", "", 'say "no"', "a, b", "a\nb", "é", " ", "-", "'", "\\N", "~"])]
+    if rng.random() < 0.6:
+        fields[:6] = ["3", "4", "0", "v", "1", rng.choice(["-", "12", "1e2"])]
+    raw = ",".join('"' + f.replace('"', '""') + '"' if rng.random() < 0.2 else f for f in fields)
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        at = rng.randrange(len(raw) + 1)
+        raw = raw[:at] + rng.choice(['"', ",", "\n", "\r", "é", "\x00", "\x01", "~", "𝄞", " ", ""]) + raw[at + rng.randrange(2):]
+    return raw
+
+
+def test_rejected_rows_by_brute_force(spark):
+    rng = random.Random(11)
+    raws = [random_record(rng) for _ in range(20_000)] + ["".join(rng.choice('",\n~é1v') for _ in range(rng.randrange(20))) for _ in range(5_000)]
+    got = rejects.parse_delimited(spark.createDataFrame(list(enumerate(raws)), "row_id bigint, raw string").repartition(3)).collect()
+    assert len(got) == len(raws) and all(r.lenient is False for r in got if r.reason is None)
+    for r in got:
+        values = None if r.reason else tuple(str(r[c]) if c in ("line_no", "line", "block", "hits") and r[c] is not None else r[c] for c in rejects.FIELDS)
+        assert (r.reason, values) == by_the_rule(raws[r.row_id]), raws[r.row_id]
+
+
+def test_reasons_come_from_the_reject_tables(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "1,2,0,v,0,1,x,y"), (2, "1,2,0,v,0,1,x")], "row_id bigint, raw string")
+    monkeypatch.setattr(rejects, "_JOIN", rejects._JOIN.replace("FROM reject_errors", "FROM reject_errors WHERE false"))
+    with pytest.raises(Exception, match="neither loaded nor rejected"):
+        list(rejects.parse_batches(rows.toArrow().to_batches()))
+
+
 HITS = {"-": None, "0": "0", "007": "7", "+5": "5", ".5": "0", "5.": "5", "2.9": "2", "1e3": "1000", "+2.5E1": "25", "123456789012345678901e-3": "123456789012345680", "9007199254740993": "9007199254740993", "9223372036854774784.0": str(2**63 - 1024),
         "9223372036854775806": str(2**63 - 2), "9223372036854775807": str(2**63 - 1), "9223372036854775808": str(2**63 - 1), "18446744073709551616": str(2**63 - 1), "1e30": str(2**63 - 1), "9" * 60: str(2**63 - 1), "+" + "0" * 60 + "4": "4"}
 
@@ -44,13 +136,13 @@ def test_loaded_rows_keep_their_hits(spark, tmp_path):
 
     rows = [(i, f"1,2,0,v,0,{hits},x") for i, hits in enumerate(HITS)] + [(98, "1,2,0,v,0,1e999,x"), (99, '1,2,0,v,1,"3","y"')]
     spark.createDataFrame(rows, "row_id bigint, raw string").coalesce(1).write.parquet(f"{tmp_path}/branch_rows.parquet")
-    loaded = preparation.QUERIES["p1_records"](spark, str(tmp_path))
+    loaded = preparation.QUERIES["p1_branch_records"](spark, str(tmp_path))
     got = {r.row_id: r for r in loaded.collect()}
     assert {i: r.hits for i, r in got.items()} == dict(enumerate(HITS.values())) | {99: "3"}
     assert [i for i, r in got.items() if r.no_hits] == [0]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW branch_rows AS SELECT * FROM '{tmp_path}/branch_rows.parquet/*.parquet'")
-    cur = con.execute(preparation.ORACLE["p1_records"])
+    cur = con.execute(preparation.ORACLE["p1_branch_records"])
     assert [x[0] for x in cur.description] == loaded.columns
     assert {r[0]: r for r in cur.fetchall()} == {i: tuple(r) for i, r in got.items()}
 
@@ -172,4 +264,4 @@ def test_split_record_round_trip(seed):
     for _ in range(3000):
         fields = ["".join(rng.choice('a",\n\r é') for _ in range(rng.randrange(5))) for _ in range(rng.randrange(1, 5))]
         raw = ",".join('"' + f.replace('"', '""') + '"' if '"' in f or "," in f or rng.random() < 0.3 else f for f in fields)
-        assert rejects.split_record(raw) == fields
+        assert split_record(raw) == fields

@@ -17,13 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_branch_records(spark: SparkSession, d: str) -> DataFrame:
-    good = rejects.parse_delimited(table(spark, d, "branch_rows")).filter("reason IS NULL")
-    numbers = [F.col(c).cast("string").alias(c) for c in ("line_no", "line", "block")]
-    return good.select("row_id", *numbers, "kind", "unreachable", F.col("hits").isNull().alias("no_hits"), "expression")
-
-
-def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    """The valid branch rows whole: the fields of ``p1_branch_records`` and the hit count, null for ``-``."""
+    """The valid branch rows with all their fields; ``hits`` is null for ``-``."""
     good = rejects.parse_delimited(table(spark, d, "branch_rows")).filter("reason IS NULL")
     numbers = {c: F.col(c).cast("string") for c in ("line_no", "line", "block", "hits")}
     return good.withColumns(numbers).withColumn("no_hits", F.col("hits").isNull()).select("row_id", "line_no", "line", "block", "kind", "unreachable", "hits", "no_hits", "expression")
@@ -86,7 +80,7 @@ def p5_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_branch_records, p1_records, p1_reasons, p2_found, p2_sections, p3_found, p3_profile, p3_ranges, p4_found, p4_values, p5_found, p5_lifespans, p5_sections)}
+    p1_found, p1_branch_records, p1_reasons, p2_found, p2_sections, p3_found, p3_profile, p3_ranges, p4_found, p4_values, p5_found, p5_lifespans, p5_sections)}
 
 _QUOTED = r'''"(?:[^"]|"")*"'''
 _FIELD = rf'''(?:{_QUOTED}|[^",]*)'''
@@ -132,8 +126,7 @@ q AS (SELECT path, min(value) FILTER (upto >= greatest(1, ceil(total * 50 / 100.
 """
 ORACLE = {
     "p1_found": _P1 + "SELECT row_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p1_branch_records": _P1 + "SELECT row_id, CAST(CAST('0' || ltrim(f1, '0') AS HUGEINT) AS VARCHAR) AS line_no, CAST(CAST('0' || ltrim(f2, '0') AS HUGEINT) AS VARCHAR) AS line, CAST(CAST('0' || ltrim(f3, '0') AS HUGEINT) AS VARCHAR) AS block, f4 AS kind, f5 = '1' AS unreachable, f6 = '-' AS no_hits, f7 AS expression FROM judged WHERE reason IS NULL",
-    "p1_records": _P1 + rf"""SELECT row_id, {", ".join(f"CAST(CAST('0' || ltrim(f{i}, '0') AS HUGEINT) AS VARCHAR) AS {c}" for i, c in ((1, "line_no"), (2, "line"), (3, "block")))}, f4 AS kind, f5 = '1' AS unreachable,
+    "p1_branch_records": _P1 + rf"""SELECT row_id, {", ".join(f"CAST(CAST('0' || ltrim(f{i}, '0') AS HUGEINT) AS VARCHAR) AS {c}" for i, c in ((1, "line_no"), (2, "line"), (3, "block")))}, f4 AS kind, f5 = '1' AS unreachable,
 CASE WHEN f6 = '-' THEN NULL WHEN regexp_full_match(f6, '\+?[0-9]+') THEN CASE WHEN length(ltrim(f6, '+0')) > 19 THEN '9223372036854775807' ELSE CAST(least(CAST('0' || ltrim(f6, '+0') AS HUGEINT), 9223372036854775807) AS VARCHAR) END
  WHEN CAST(f6 AS DOUBLE) >= 9223372036854775808::DOUBLE THEN '9223372036854775807' ELSE CAST(CAST(trunc(CAST(f6 AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS hits, f6 = '-' AS no_hits, f7 AS expression FROM judged WHERE reason IS NULL""",
     "p1_reasons": _P1 + "SELECT coalesce(reason, 'loaded') AS outcome, count(*) AS n FROM judged GROUP BY 1",
