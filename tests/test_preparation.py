@@ -187,8 +187,10 @@ def test_heavy_keys(spark):
         n = len(values)
         counts = {v: values.count(v) for v in values}
         expected[key] = (sum(k == key for k, _ in rows), len(counts), min(v for v in counts if counts[v] == max(counts.values())), *[values[max(1, -(-n * p // 100)) - 1] for p in (50, 90, 99)])
-    for limit in (10_000, 5):
-        got = heavy.profile(df, "path", "value", window_limit=limit).collect()
+    for pieces in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", pieces)
+        got = heavy.profile(df, "path", "value").collect()
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
         assert {r.key: (r.n_rows, r.n_distinct, int(r.mode), int(r.p50), int(r.p90), int(r.p99)) for r in got} == expected
     splitters = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, "é"), (2, None), (None, "b")], "plan_id int, splitter string")
     found = heavy.with_ranges(heavy.heavy_keys(heavy.compress(df, "path", "value"), 30), splitters).collect()

@@ -7,15 +7,11 @@ reducers as its distinct values only, spread over all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import materialize
 
-DIGIT = 65_536
-#: Keys with more distinct values than this find their percentiles digit by digit instead of in one ordered window.
-WINDOW_LIMIT = 20_000
-
 
 def compress(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, weight): how often each value occurs under each key; null keys and null values are kept."""
@@ -28,8 +24,10 @@ def key_weights(weighted: DataFrame) -> DataFrame:
 
 def heavy_keys(weighted: DataFrame, percent: int = 1) -> DataFrame:
     """Non-null keys with at least ``percent`` percent of all rows, rows with a null key counted in the total."""
-    total = weighted.agg(F.sum("weight").alias("total")).scalar()
-    return key_weights(weighted).filter(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= total * percent))
+    # written, so that keys and total come from one reading of the rows
+    keys = materialize(key_weights(weighted), "key-weights")
+    total = keys.agg(F.sum("n_rows").alias("total")).scalar()
+    return keys.filter(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= total * percent))
 
 
 def plan_ranges(splitters: DataFrame) -> DataFrame:
@@ -44,51 +42,37 @@ def with_ranges(keys: DataFrame, splitters: DataFrame) -> DataFrame:
     return each.select("*", F.col("plan.plan_id").alias("plan_id"), F.size(F.filter("plan.bounds", lambda b: b <= F.col("key"))).alias("range_no")).drop("plan")
 
 
-def _digits(value: Column) -> list[Column]:
-    """Four base-65536 digits, the most significant first, of a decimal(20,0) below 2^64."""
-    return [F.floor(value / F.lit(DIGIT**p)).cast("decimal(20,0)") % F.lit(DIGIT) for p in (3, 2, 1, 0)]
-
-
-def profile(df: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 90, 99), window_limit: int = WINDOW_LIMIT) -> DataFrame:
+def profile(df: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """Per key: n_rows, n_null, n_distinct, mode (the smallest of the most frequent) and discrete percentiles pNN.
 
     ``value`` holds whole numbers from 0 to 2^64-1 or null; nulls count in n_rows and n_null only. The percentile p is the
     smallest value whose cumulated weight reaches p % of the non-null rows. Null keys form a key of their own. A key without
-    non-null values has null percentiles and mode. Keys with more than ``window_limit`` distinct values are searched digit by
-    digit (four grouped passes over at most 65,536 digits each), so no task has to order all values of a key.
+    non-null values has null percentiles and mode. The weighted values are cut into ranges of (key, value), so a key with most values
+    is spread over many of them; the weight before a range comes from the sums of the ranges, and no task orders all values of a key.
     """
-    weighted = materialize(compress(df.select(key, F.col(value).cast("decimal(20,0)").alias(value)), key, value), "weighted")
-    known = weighted.filter("value IS NOT NULL")
-    stats = weighted.groupBy("key").agg(
-        F.sum("weight").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("weight"))), F.lit(0)).alias("n_null"),
+    compressed = compress(df.select(key, F.col(value).cast("decimal(20,0)").alias(value)), key, value)
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(materialize(compressed, "weighted").repartitionByRange(pieces, "key", "value").withColumn("piece", F.spark_partition_id()), "ranges")
+    by_piece = ranged.groupBy("key", "piece").agg(
+        F.sum("weight").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("weight"))), F.lit(0)).alias("nulls"),
         F.count("value").alias("n_distinct"),
         F.max(F.when(F.col("value").isNotNull(), F.struct(F.col("weight"), (-F.col("value")).alias("negative")))).alias("top"),
     )
+    by_piece = materialize(by_piece, "pieces")
+    stats = by_piece.groupBy("key").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), F.sum("n_distinct").alias("n_distinct"), F.max("top").alias("top"))
     stats = stats.select("key", "n_rows", "n_null", "n_distinct", (-F.col("top.negative")).cast("decimal(20,0)").alias("mode"))
-    targets = stats.filter("n_distinct > 0").select("key", "n_distinct", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.ceil((F.col("n_rows") - F.col("n_null")) * p / F.lit(100)).cast("bigint").alias("rank")) for p in percents])).alias("t"))
-    targets = materialize(targets.select("key", "n_distinct", "t.p", F.greatest("t.rank", F.lit(1)).alias("rank")), "targets")
-
-    small = targets.filter(F.col("n_distinct") <= window_limit).groupBy("key").agg(F.collect_list(F.struct("p", "rank")).alias("ts"))
-    order = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = known.select(F.col("key").alias("k"), "value", "weight").join(small, F.col("k").eqNullSafe(F.col("key"))).withColumn("upto", F.sum("weight").over(order))
+    earlier = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("rows") - F.col("nulls")
+    whole = Window.partitionBy("key")
+    ranks = [F.struct(F.lit(p).alias("p"), F.greatest(F.ceil(F.col("known") * p / F.lit(100)), F.lit(1)).cast("bigint").alias("rank")) for p in percents]
+    targets = by_piece.select("key", "piece", F.coalesce(F.sum(known).over(earlier), F.lit(0)).alias("before"), known.alias("own"), F.sum(known).over(whole).alias("known")).withColumn("t", F.explode(F.array(*ranks)))
+    # each rank is looked for in the one range that holds it
+    targets = targets.filter((F.col("t.rank") > F.col("before")) & (F.col("t.rank") <= F.col("before") + F.col("own"))).groupBy("key", "piece", "before").agg(F.collect_list("t").alias("ts"))
+    targets = targets.select(F.col("key").alias("k"), F.col("piece").alias("at"), "before", "ts")
+    order = Window.partitionBy("key", "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.filter("value IS NOT NULL").join(targets, F.col("key").eqNullSafe(F.col("k")) & (F.col("piece") == F.col("at"))).withColumn("upto", F.col("before") + F.sum("weight").over(order))
     hit = F.filter("ts", lambda t: (t["rank"] <= F.col("upto")) & (t["rank"] > F.col("upto") - F.col("weight")))
     found = ranked.select("key", "value", F.explode(F.transform(hit, lambda t: t["p"])).alias("p"))
-
-    state = targets.filter(F.col("n_distinct") > window_limit).select("key", "p", "rank", F.lit(0).cast("decimal(20,0)").alias("prefix"))
-    digits = _digits(F.col("value"))
-    for level in range(4):
-        head = F.floor(F.col("value") / F.lit(DIGIT ** (4 - level))) if level else F.lit(0)
-        rows = known.select(F.col("key").alias("k"), head.cast("decimal(20,0)").alias("head"), digits[level].alias("digit"), "weight")
-        searched = state.select("key", "prefix").distinct()
-        rows = rows.join(searched, F.col("k").eqNullSafe(F.col("key")) & (F.col("head") == F.col("prefix")), "left_semi")
-        grouped = rows.groupBy("k", "head", "digit").agg(F.sum("weight").alias("weight"))
-        cum = Window.partitionBy("k", "head").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-        cumulated = grouped.withColumn("upto", F.sum("weight").over(cum))
-        state = state.join(cumulated, F.col("key").eqNullSafe(F.col("k")) & (F.col("prefix") == F.col("head")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("weight")))
-        state = state.select("key", "p", (F.col("rank") - (F.col("upto") - F.col("weight"))).alias("rank"), (F.col("prefix") * DIGIT + F.col("digit")).cast("decimal(20,0)").alias("prefix"))
-        state = materialize(state, f"digit{level}")
-    found = found.unionByName(state.select("key", F.col("prefix").alias("value"), "p"))
     wide = found.groupBy("key").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in percents])
     return stats.join(wide.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left").drop("k")
