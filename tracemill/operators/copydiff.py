@@ -1,25 +1,25 @@
 """Differences between two copies of a table by content-defined chunking.
 
-Both copies are sorted by key into the same ranges. Within a range each copy is cut where a rolling hash over its last keys
-meets a condition, so that the same rows give the same chunks again after an inserted or missing row. Chunks whose
+Both copies fall into the same buckets by key and are sorted by key within them. A copy is cut where a rolling hash over its last
+keys meets a condition, so that the same rows give the same chunks again after an inserted or missing row. Chunks whose
 fingerprints occur on both sides are equal and are dropped by anti-joins on the fingerprint alone; only the rows of the
 chunks left over are compared field by field.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import materialize
 
-#: Keys in the rolling hash, mean rows in a chunk (a power of two), and the length at which a chunk is cut in any case.
-ROLL, MEAN, LONGEST = 3, 32, 512
-CHUNK_SCHEMA = "copy tinyint, fingerprint binary, n_rows int, row_hashes array<bigint>"
+#: Keys in the rolling hash, and the mean number of rows in a chunk.
+ROLL, MEAN = 3, 32
+#: Sorted buckets per shuffle partition; a window buffers one bucket of one copy.
+BUCKETS = 8
 
 
 def latest(df: DataFrame, keys: Sequence[str], measures: Sequence[str], version: str) -> DataFrame:
@@ -32,78 +32,37 @@ def latest(df: DataFrame, keys: Sequence[str], measures: Sequence[str], version:
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_newest.{m}").alias(m) for m in measures])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts one sorted range; per copy a chunk is carried on from batch to batch until the condition ends it."""
-    import hashlib
-
-    import numpy as np
-
-    multiplier = np.uint64(0x9E3779B97F4A7C15)
-    tails = {0: np.empty(0, np.uint64), 1: np.empty(0, np.uint64)}
-    open_rows: dict[int, np.ndarray] = {0: np.empty(0, np.int64), 1: np.empty(0, np.int64)}
-    schema = pa.schema([("copy", pa.int8()), ("fingerprint", pa.binary()), ("n_rows", pa.int32()), ("row_hashes", pa.list_(pa.int64()))])
-
-    def emit(copy: int, pieces: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([
-            pa.array([copy] * len(pieces), pa.int8()),
-            pa.array([hashlib.blake2b(p.tobytes(), digest_size=16).digest() for p in pieces], pa.binary()),
-            pa.array([len(p) for p in pieces], pa.int32()),
-            pa.array([p.tolist() for p in pieces], pa.list_(pa.int64())),
-        ], schema=schema)
-
-    for batch in batches:
-        side = batch.column(0).to_numpy(zero_copy_only=False)
-        keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        rows = batch.column(2).to_numpy(zero_copy_only=False)
-        for copy in (0, 1):
-            mine = side == copy
-            own, hashes = keys[mine], rows[mine]
-            if not len(own):
-                continue
-            known = np.concatenate([tails[copy], own])
-            rolling = np.zeros(len(own), np.uint64)
-            for back in range(ROLL):
-                at = len(known) - len(own) - back
-                part = known[max(at, 0):len(known) - back]
-                rolling[len(own) - len(part):] += part * multiplier ** np.uint64(back + 1)
-            tails[copy] = known[-(ROLL - 1):]
-            cuts = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
-            before = len(open_rows[copy])
-            hashes = np.concatenate([open_rows[copy], hashes])
-            pieces, start = [], 0
-            for cut in (cuts + before).tolist():
-                while cut - start > LONGEST:
-                    pieces.append(hashes[start:start + LONGEST])
-                    start += LONGEST
-                pieces.append(hashes[start:cut])
-                start = cut
-            while len(hashes) - start > LONGEST:
-                pieces.append(hashes[start:start + LONGEST])
-                start += LONGEST
-            open_rows[copy] = hashes[start:]
-            if pieces:
-                yield emit(copy, pieces)
-    for copy in (0, 1):
-        if len(open_rows[copy]):
-            yield emit(copy, [open_rows[copy]])
-
-
-def _tagged(df: DataFrame, copy: int, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+def _tagged(df: DataFrame, copy: int, keys: Sequence[str], measures: Sequence[str], buckets: int) -> DataFrame:
+    """Rows with their copy, bucket, key hash and two independent 64-bit hashes of the whole row."""
     null_marks = F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in (*keys, *measures)])
-    return df.select(F.lit(copy).cast("tinyint").alias("_copy"), *keys, *measures, F.xxhash64(*keys).alias("_key_hash"), F.xxhash64(*keys, *measures, null_marks).alias("_row_hash"))
+    key_hash, row = F.xxhash64(*keys), F.struct(null_marks, *keys, *measures)
+    return df.select(F.lit(copy).cast("tinyint").alias("_copy"), *keys, *measures, F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).alias("_bucket"),
+                     key_hash.alias("_key"), F.xxhash64(F.lit("one"), row).alias("_one"), F.xxhash64(F.lit("two"), row).alias("_two"))
+
+
+def chunked(a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Rows of both copies with the number of their chunk within copy and bucket."""
+    partitions = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = _tagged(a, 0, keys, measures, partitions * BUCKETS).unionByName(_tagged(b, 1, keys, measures, partitions * BUCKETS))
+    in_order = Window.partitionBy("_bucket", "_copy").orderBy(*keys)
+    # wrapping products of the last keys' hashes; the first rows of a bucket roll over fewer keys in both copies alike
+    rolling = reduce(Column.bitwiseXOR, [F.shiftleft(F.coalesce(F.lag("_key", back).over(in_order) if back else F.col("_key"), F.lit(0)), 7 * back) for back in range(ROLL)])
+    placed = both.withColumn("_cut", F.when(F.pmod(F.xxhash64(rolling), F.lit(MEAN)) == 0, 1).otherwise(0))
+    # the row that meets the condition ends its chunk
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("_chunk", F.coalesce(F.sum("_cut").over(before), F.lit(0))).drop("_cut", "_key")
 
 
 def differing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """The rows of both copies (unique by key in each) that lie in chunks without a match; every differing row is among them."""
-    both = materialize(_tagged(a, 0, keys, measures).unionByName(_tagged(b, 1, keys, measures)), "copies")
-    partitions = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ranges = both.select("_copy", "_key_hash", "_row_hash", *keys).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys, "_copy")
-    chunks = materialize(sorted_ranges.select("_copy", "_key_hash", "_row_hash").mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
-    prints = chunks.select("copy", "fingerprint", "n_rows")
-    same = ["fingerprint", "n_rows"]
-    only = prints.filter("copy = 0").join(prints.filter("copy = 1"), same, "left_anti").unionByName(prints.filter("copy = 1").join(prints.filter("copy = 0"), same, "left_anti"))
-    left = chunks.join(only, ["copy", *same], "left_semi").select(F.col("copy").alias("_copy"), F.explode("row_hashes").alias("_row_hash"))
-    return both.join(left.distinct(), ["_copy", "_row_hash"], "left_semi")
+    rows = materialize(chunked(a, b, keys, measures), "chunks")
+    place, same = ["_copy", "_bucket", "_chunk"], ["_bucket", "_one", "_two", "n"]
+    # keys are unique within a copy, so the exclusive ors of their rows' hashes tell sets of rows apart
+    prints = rows.groupBy(*place).agg(F.bit_xor("_one").alias("_one"), F.bit_xor("_two").alias("_two"), F.count("*").alias("n"))
+    prints = materialize(prints, "prints")
+    sides = [prints.filter(F.col("_copy") == k) for k in (0, 1)]
+    only = reduce(DataFrame.unionByName, [mine.join(other, same, "left_anti").select(*place) for mine, other in (sides, sides[::-1])])
+    return rows.join(only, place, "left_semi").select("_copy", *keys, *measures)
 
 
 def copy_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str], version: str) -> DataFrame:
