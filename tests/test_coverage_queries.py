@@ -37,7 +37,7 @@ def test_same_as_sql(spark, con, name):
 
 def test_every_query_but_the_unordered_has_sql():
     assert set(coverage.QUERIES) - set(coverage.ORACLE) == {"lcov_render", "compat_render"}
-    assert set(preparation.QUERIES) - set(preparation.ORACLE) == {"p5_sections"}
+    assert set(preparation.QUERIES) == set(preparation.ORACLE)
 
 
 def test_edges(spark):

@@ -260,6 +260,27 @@ def test_every_rename_is_found(spark):
     assert got == {(2, "d", "renamed", "b"), (2, "c", "renamed", "a"), (2, "s", "renamed", "q"), (2, "r", "renamed", "p")}
 
 
+def test_consistent_table(spark):
+    import json
+
+    big = 2**60 + 1
+    feeds = {
+        1: [[{"section_id": 1, "lines": 3}], [{"section_id": 1, "n": 3}], [{"section_id": 1, "m": 3}, {"section_id": 2, "m": big}], [{"section_id": 2, "m": big, "lines": 7, "x": [1]}, {"section_id": 3, "m": 7, "lines": 7}]],
+        2: [[{"section_id": 1, "n": 5, "modern": "maybe"}], [{"section_id": 1, "n": "6", "modern": "No", "source": "s"}]],
+        3: [[{"section_id": 1, "a": "q", "version": 1.5}], [{"section_id": 1, "b": "q", "version": None}], [{"section_id": "x", "b": "r"}]],
+    }
+    rows = [(feed, seq, "f", k, json.dumps(body)) for feed, files in feeds.items() for seq, bodies in enumerate(files, 1) for k, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows + rows[:3], "feed_id int, file_seq int, file_name string, row_no int, body string")
+    got = {(r.feed_id, r.file_seq, r.row_no): r for r in drift.consistent(df).collect()}
+    assert len(got) == len(rows)
+    # lines -> n -> m in feed 1 only; two different values of one field are a failure and are kept
+    assert [int(got[1, k, 0].lines) for k in (1, 2, 3)] == [3, 3, 3] and int(got[1, 3, 1].lines) == big
+    both = got[1, 4, 0]
+    assert (both.lines, both.failed, [tuple(e) for e in both.extra]) == (None, "lines", [("lines", str(big)), ("lines", "7"), ("x", "[1]")]) and int(got[1, 4, 1].lines) == 7
+    assert got[2, 1, 0].lines is None and [tuple(e) for e in got[2, 1, 0].extra] == [("modern", '"maybe"'), ("n", "5")] and got[2, 1, 0].failed == "modern" and got[2, 2, 0].modern is False and got[2, 2, 0].source == "s"
+    assert [[tuple(e) for e in got[3, k, 0].extra][-1] for k in (1, 2, 3)] == [("a", '"q"'), ("a", '"q"'), ("section_id", '"x"')] and got[3, 1, 0].version == "1.5" and got[3, 3, 0].failed == "section_id"
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_split_record_round_trip(seed):
     rng = random.Random(seed)

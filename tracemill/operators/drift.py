@@ -2,8 +2,8 @@
 
 The lifespan catalogue holds one row per feed, file, field and type (what the footers of columnar files would hold). ``lag``
 over a feed's files and islands of neighbouring files give where a (field, type) starts and ends; starts and endings at the
-same file are matched into renames by the values of the sections both files hold; an alias table built from the renames
-generates the casts of the consistent table.
+same file are matched into renames by the values of the sections both files hold. Renames chain the lives of a field in its feed
+together, and the alias table made from the chains generates the casts of the consistent table.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.session import materialize
 
 #: Fields with a fixed meaning in the consistent table: name and type.
-CANONICAL = {"modern": "boolean", "version": "string", "family": "string", "testcase": "string", "lines": "double"}
-#: Distinct rename edges the alias table may have; they are pairs of field names, not rows.
-MAX_ALIAS_EDGES = 10_000
+CANONICAL = {"modern": "boolean", "version": "string", "family": "string", "testcase": "string", "lines": "decimal(38,9)"}
 
 
 def json_type(kind: Column, text: Column) -> Column:
@@ -32,20 +30,18 @@ def json_type(kind: Column, text: Column) -> Column:
     )
 
 
-def field_values(rows: DataFrame) -> DataFrame:
-    """One row per feed, file, section row and named field: section, field, type (null for JSON null) and value as JSON text.
+def _objects(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows whose body is a JSON object, with it as the variant ``v``."""
+    parsed = rows.select("feed_id", "file_seq", *more, F.try_parse_json("body").alias("v"))
+    return parsed.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
 
-    Rows repeated in full count once. Bodies that aren't a JSON object are left out here and reported by ``unreadable``.
-    """
-    body = F.try_parse_json("body")
-    once = rows.select("feed_id", "file_seq", "row_no", "body").distinct().withColumn("v", body).filter("v IS NOT NULL AND startswith(schema_of_variant(v), 'OBJECT')")
-    once.createOrReplaceTempView("_drift_rows")
-    exploded = once.sparkSession.sql(
-        """SELECT feed_id, file_seq, row_no, try_variant_get(v, '$.section_id', 'string') AS section, e.key AS field,
-                  schema_of_variant(e.value) AS kind, to_json(e.value) AS value
-           FROM _drift_rows, LATERAL variant_explode(v) AS e"""
-    )
-    return exploded.select("feed_id", "file_seq", "row_no", "section", "field", json_type(F.col("kind"), F.col("value")).alias("type"), F.when(F.col("kind") != "VOID", F.col("value")).alias("value"))
+
+def _fields(objects: DataFrame, *more: str) -> DataFrame:
+    """One row per named field of an object: ``field``, ``type`` and the variant ``item``."""
+    each = objects.select("feed_id", "file_seq", *more, F.explode(F.expr("map_entries(CAST(v AS MAP<STRING, VARIANT>))")).alias("e")).select("feed_id", "file_seq", *more, F.col("e.key").alias("field"), F.col("e.value").alias("item"))
+    # a JSON null comes out of the map as a null
+    kind = F.coalesce(F.schema_of_variant("item"), F.lit("VOID"))
+    return each.withColumn("type", json_type(kind, F.to_json("item")))
 
 
 def unreadable(rows: DataFrame) -> DataFrame:
@@ -54,14 +50,30 @@ def unreadable(rows: DataFrame) -> DataFrame:
     return rows.filter(v.isNull() | ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))).select("feed_id", "file_seq", "row_no", "body")
 
 
-def catalogue(values: DataFrame) -> DataFrame:
+def catalogue(rows: DataFrame) -> DataFrame:
     """feed_id, file_seq, field, type: a file has a field if a row names it; integers beside numbers make it a number.
 
-    Other mixtures are joined with ``|`` in alphabetical order; a field that is null throughout has a null type.
+    Other mixtures are joined with ``|`` in alphabetical order; a field that is null throughout has a null type. Bodies that
+    aren't a JSON object are left out here and reported by ``unreadable``. One pass that combines before its shuffle.
     """
     types = F.array_sort(F.collect_set("type"))
     merged = F.when(F.array_contains(types, "number"), F.filter(types, lambda t: t != "integer")).otherwise(types)
-    return values.groupBy("feed_id", "file_seq", "field").agg(merged.alias("t")).select("feed_id", "file_seq", "field", F.when(F.size("t") > 0, F.array_join("t", "|")).alias("type"))
+    named = _fields(_objects(rows)).groupBy("feed_id", "file_seq", "field").agg(merged.alias("t"))
+    return named.select("feed_id", "file_seq", "field", F.when(F.size("t") > 0, F.array_join("t", "|")).alias("type"))
+
+
+def _ordinals(rows: DataFrame) -> DataFrame:
+    """The files of each feed with their place in its order of ``file_seq``, also where a number is missing."""
+    files = rows.select("feed_id", "file_seq").filter("feed_id IS NOT NULL AND file_seq IS NOT NULL").distinct()
+    return files.withColumn("pos", F.row_number().over(Window.partitionBy("feed_id").orderBy("file_seq")))
+
+
+def _islands(placed: DataFrame, *by: str) -> DataFrame:
+    """Runs of neighbouring files: ``by``, first_seq, last_seq, files, first_pos, to_pos."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    marked = placed.withColumn("before", F.lag("pos").over(w)).withColumn("island", F.sum(F.when(F.col("before") == F.col("pos") - 1, 0).otherwise(1)).over(w))
+    spans = marked.groupBy(*by, "island").agg(F.min("file_seq").alias("first_seq"), F.max("file_seq").alias("last_seq"), F.count("*").alias("files"), F.min("pos").alias("first_pos"), F.max("pos").alias("to_pos"))
+    return spans.drop("island")
 
 
 def lifespans(columns: DataFrame, files: DataFrame) -> DataFrame:
@@ -69,27 +81,40 @@ def lifespans(columns: DataFrame, files: DataFrame) -> DataFrame:
 
     Neighbours are files next to each other in the feed's order of ``file_seq``, also where a number is missing.
     """
-    ordinal = files.select("feed_id", "file_seq").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("feed_id").orderBy("file_seq")))
+    ordinal = _ordinals(files)
     last = ordinal.groupBy("feed_id").agg(F.max("pos").alias("last_pos"))
-    w = Window.partitionBy("feed_id", "field", "type").orderBy("pos")
-    placed = columns.join(ordinal, ["feed_id", "file_seq"]).withColumn("before", F.lag("pos").over(w))
-    islands = placed.withColumn("island", F.sum(F.when(F.col("before") == F.col("pos") - 1, 0).otherwise(1)).over(w))
-    spans = islands.groupBy("feed_id", "field", "type", "island").agg(F.min("file_seq").alias("first_seq"), F.max("file_seq").alias("last_seq"), F.count("*").alias("files"), F.min("pos").alias("first_pos"), F.max("pos").alias("to_pos"))
+    spans = _islands(columns.join(ordinal, ["feed_id", "file_seq"]), "feed_id", "field", "type")
     return spans.join(last, "feed_id").select("feed_id", "field", "type", "first_seq", "last_seq", "files", (F.col("first_pos") == 1).alias("open_start"), (F.col("to_pos") == F.col("last_pos")).alias("open_end"), "first_pos", "to_pos")
 
 
-def changes(rows: DataFrame) -> DataFrame:
+def _agreeing(rows: DataFrame, candidates: DataFrame, ordinal: DataFrame) -> DataFrame:
+    """feed_id, pos, old, new, agree: candidate pairs whose values are the same in every section with both, one at least.
+
+    Only the files around a candidate are read again, and of them only the candidate fields.
+    """
+    sides = [candidates.select("feed_id", "pos", (F.col("pos") - back).alias("at"), F.col(name).alias("field"), F.lit(name).alias("side")) for name, back in (("new", 0), ("old", 1))]
+    wanted = sides[0].unionByName(sides[1]).distinct().join(ordinal.select("feed_id", F.col("pos").alias("at"), "file_seq"), ["feed_id", "at"])
+    wanted = materialize(wanted.select("feed_id", "file_seq", "field", "pos", "side"), "wanted")
+    near = rows.join(wanted.select("feed_id", "file_seq").distinct(), ["feed_id", "file_seq"], "left_semi")
+    values = _fields(_objects(near).withColumn("section", F.expr("try_variant_get(v, '$.section_id', 'string')")).filter("section IS NOT NULL"), "section").filter("type IS NOT NULL")
+    values = values.select("feed_id", "file_seq", "field", "section", F.to_json("item").alias("value")).join(wanted, ["feed_id", "file_seq", "field"])
+    values = materialize(values.select("feed_id", "pos", "side", "field", "section", "value").distinct(), "values")
+    new, old = (values.filter(F.col("side") == side).select("feed_id", "pos", "section", F.col("field").alias(side), F.col("value").alias(f"{side}_value")) for side in ("new", "old"))
+    pairs = new.join(candidates, ["feed_id", "pos", "new"]).join(old, ["feed_id", "pos", "section", "old"])
+    return pairs.groupBy("feed_id", "pos", "old", "new").agg(F.count_if(F.col("old_value") == F.col("new_value")).alias("agree"), F.count("*").alias("n")).filter("agree = n")
+
+
+def changes(rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """feed_id, file_seq, field, change, old_field: every change of a file against the one before it in its feed.
 
     ``added``, ``removed`` and ``renamed`` fields and ``retyped`` ones (both types known). A rename needs the same type and, in
     every section of both files with non-null values for both names, the same value, with one such section at least. If
     several names fit, the pair with the most agreeing sections is taken first, then by name, and each name is used once.
+    Rows repeated in full change nothing. ``columns`` is the catalogue of ``rows``, if it has been made already.
     """
-    values = materialize(field_values(rows), "values")
-    files = rows.select("feed_id", "file_seq").filter("feed_id IS NOT NULL AND file_seq IS NOT NULL").distinct()
-    columns = catalogue(values)
-    spans = materialize(lifespans(columns, files), "lifespans")
-    ordinal = materialize(files.withColumn("pos", F.row_number().over(Window.partitionBy("feed_id").orderBy("file_seq"))), "ordinals")
+    columns = materialize(catalogue(rows), "catalogue") if columns is None else columns
+    ordinal = materialize(_ordinals(rows), "ordinals")
+    spans = materialize(lifespans(columns, ordinal), "lifespans")
 
     starts = spans.filter("NOT open_start").select("feed_id", F.col("first_pos").alias("pos"), "field", "type")
     ends = spans.filter("NOT open_end").select("feed_id", (F.col("to_pos") + 1).alias("pos"), "field", "type")
@@ -99,11 +124,7 @@ def changes(rows: DataFrame) -> DataFrame:
     going = ends.join(starts.select(*at), at, "left_anti")
 
     candidates = coming.filter("type IS NOT NULL").select("feed_id", "pos", F.col("field").alias("new"), "type").join(going.select("feed_id", "pos", F.col("field").alias("old"), "type"), ["feed_id", "pos", "type"])
-    placed = values.filter("section IS NOT NULL AND value IS NOT NULL").join(ordinal, ["feed_id", "file_seq"])
-    new_values = placed.join(candidates.select("feed_id", "pos", F.col("new").alias("field")).distinct(), at, "left_semi").select("feed_id", "pos", "section", F.col("field").alias("new"), F.col("value").alias("new_value"))
-    old_values = placed.withColumn("pos", F.col("pos") + 1).join(candidates.select("feed_id", "pos", F.col("old").alias("field")).distinct(), at, "left_semi").select("feed_id", "pos", "section", F.col("field").alias("old"), F.col("value").alias("old_value"))
-    pairs = new_values.join(candidates, ["feed_id", "pos", "new"]).join(old_values, ["feed_id", "pos", "section", "old"])
-    fits = pairs.groupBy("feed_id", "pos", "old", "new").agg(F.count_if(F.col("old_value") == F.col("new_value")).alias("agree"), F.count("*").alias("n")).filter("agree = n")
+    fits = _agreeing(rows, materialize(candidates, "candidates"), ordinal)
     # the best first, each name once; ties are settled by name. Few fields change at a file.
     ranked = fits.groupBy("feed_id", "pos").agg(F.sort_array(F.collect_list(F.struct("agree", "new", "old")), asc=False).alias("fits"))
     none_yet = F.slice("fits", 1, 0)
@@ -123,24 +144,37 @@ def changes(rows: DataFrame) -> DataFrame:
     return log.join(ordinal, ["feed_id", "pos"]).select("feed_id", "file_seq", "field", "change", "old_field")
 
 
-def alias_table(log: DataFrame) -> dict[str, str]:
-    """field -> canonical name, from the renames of all feeds.
+def _chained(frame):
+    """The lives of one feed's renamed fields with the name of their chain; lives are few, whatever the rows of the feed."""
+    canonical = set(CANONICAL)
+    lives = {(r.field, r.first_pos): r for r in frame[frame.kind == "life"].itertuples()}
+    ending = {(field, r.to_pos): (field, first) for (field, first), r in lives.items()}
+    after = {ending[r.old_field, r.first_pos - 1]: (r.field, r.first_pos) for r in frame[frame.kind == "renamed"].itertuples()}
+    rows = []
+    for root in lives.keys() - set(after.values()):
+        chain = [root]
+        while chain[-1] in after:
+            chain.append(after[chain[-1]])
+        name = next((field for field, _ in chain if field in canonical), root[0])
+        rows += [(lives[x].feed_id, x[0], lives[x].first_pos, lives[x].to_pos, name) for x in chain if x[0] not in canonical and x[0] != name]
+    return type(frame)(rows, columns=["feed_id", "field", "first_pos", "to_pos", "name"])
 
-    Names linked by renames form a group; its canonical name is the one in ``CANONICAL``, else the first in byte order. A link
-    that would join two canonical names is left out. Only distinct pairs of names reach the driver, up to a checked bound.
+
+def aliases(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """feed_id, file_seq, aliases (map of field to name): the files with fields that go by another name.
+
+    Renames chain the lives of a field within its feed. The chain's name is the first of its names that is in ``CANONICAL``, else its first
+    name; a field with a canonical name keeps it. Feeds don't affect each other, and a name outside the chain's files isn't affected.
     """
-    edges = log.filter("change = 'renamed'").groupBy("old_field", "field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "old_field", "field").limit(MAX_ALIAS_EDGES + 1).collect()
-    if len(edges) > MAX_ALIAS_EDGES:
-        raise ValueError(f"more than {MAX_ALIAS_EDGES} different renames")
-    group: dict[str, set[str]] = {name: {name} for name in CANONICAL}
-    for old, new, _ in edges:
-        a, b = group.setdefault(old, {old}), group.setdefault(new, {new})
-        if a is b or len((a | b) & CANONICAL.keys()) > 1:
-            continue
-        a |= b
-        for name in b:
-            group[name] = a
-    return {name: min(names & CANONICAL.keys() or names) for name, names in group.items()}
+    ordinal = materialize(_ordinals(rows), "ordinals")
+    lives = _islands(columns.join(ordinal, ["feed_id", "file_seq"]), "feed_id", "field").select("feed_id", "field", F.col("first_pos").cast("bigint"), F.col("to_pos").cast("bigint"), F.lit(None).cast("string").alias("old_field"), F.lit("life").alias("kind"))
+    renamed = changes(rows, columns).filter("change = 'renamed'").join(ordinal, ["feed_id", "file_seq"]).select("feed_id", "field", F.col("pos").cast("bigint").alias("first_pos"), F.lit(None).cast("bigint").alias("to_pos"), "old_field", F.lit("renamed").alias("kind"))
+    renamed = materialize(renamed, "renames")
+    touched = renamed.select("feed_id", F.explode(F.array("field", "old_field")).alias("field")).distinct()
+    nodes = lives.join(touched, ["feed_id", "field"], "left_semi").unionByName(renamed)
+    named = nodes.groupBy("feed_id").applyInPandas(_chained, "feed_id int, field string, first_pos bigint, to_pos bigint, name string")
+    spread = named.join(ordinal, "feed_id").filter("pos BETWEEN first_pos AND to_pos")
+    return spread.groupBy("feed_id", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("aliases"))
 
 
 def _cast(value: Column, kind: str) -> Column:
@@ -148,30 +182,29 @@ def _cast(value: Column, kind: str) -> Column:
     if kind == "boolean":
         word = F.lower(F.trim(text))
         return F.when(word.isin("true", "yes", "on", "1", "y", "t"), True).when(word.isin("false", "no", "off", "0", "n", "f"), False)
-    if kind == "double":
-        return text.try_cast("double")
-    return text
+    return text if kind == "string" else text.try_cast(kind)
 
 
 def consistent(rows: DataFrame) -> DataFrame:
     """Every section row once, in one schema: feed_id, file_seq, row_no, section_id, source, the canonical fields, extra, failed.
 
-    Values of aliased names are cast to the canonical field's type. ``failed`` names the canonical fields whose value couldn't be
-    cast; all other fields are in ``extra`` (a JSON list of name and value) under their canonical name. Rows repeated in full count once.
+    Values of aliased names (see ``aliases``) are cast to the canonical field's type. ``failed`` names, in the order of ``CANONICAL``, the
+    fields whose value couldn't be cast or that got different values under several names; those values are in ``extra`` then,
+    like all other fields, as (name, value as JSON text) in order. Rows repeated in full count once; unreadable bodies are left out.
     """
-    values = field_values(rows)
-    aliases = alias_table(changes(rows))
-    pairs = [x for old, new in sorted(aliases.items()) if old != new for x in (F.lit(old), F.lit(new))]
-    name = F.coalesce(F.element_at(F.create_map(*pairs), F.col("field")), F.col("field")) if pairs else F.col("field")
-    named = values.withColumn("name", name)
-    key = ["feed_id", "file_seq", "row_no"]
-    wide = named.groupBy(*key).agg(
-        F.max(F.when(F.col("name") == "section_id", F.col("value"))).alias("section_id"),
-        F.max(F.when(F.col("name") == "source", F.col("value"))).alias("source"),
-        *[F.max(F.when(F.col("name") == c, F.col("value"))).alias(f"_{c}") for c in CANONICAL],
-        F.array_sort(F.collect_list(F.when(~F.col("name").isin("section_id", "source", *CANONICAL) & F.col("value").isNotNull(), F.struct("name", "value")))).alias("_rest"),
-    )
-    casts = {c: _cast(F.col(f"_{c}"), kind) for c, kind in CANONICAL.items()}
-    failed = F.filter(F.array(*[F.when(F.col(f"_{c}").isNotNull() & cast.isNull(), F.lit(c)) for c, cast in casts.items()]), lambda x: x.isNotNull())
-    extra = F.to_json("_rest")
-    return wide.select(*key, F.col("section_id").try_cast("bigint").alias("section_id"), _cast(F.col("source"), "string").alias("source"), *[cast.alias(c) for c, cast in casts.items()], extra.alias("extra"), F.array_join(failed, ",").alias("failed"))
+    columns = materialize(catalogue(rows), "catalogue")
+    renamed = aliases(rows, columns)
+    once = _objects(rows.select("feed_id", "file_seq", "row_no", "body").distinct(), "row_no")
+    known = once.join(renamed, ["feed_id", "file_seq"], "left")
+    entries = F.expr("map_entries(CAST(v AS MAP<STRING, VARIANT>))")
+    name = lambda e: F.coalesce(F.when(F.col("aliases").isNotNull(), F.element_at("aliases", e["key"])), e["key"])
+    named = known.withColumn("_all", F.filter(F.transform(entries, lambda e: F.struct(name(e).alias("name"), F.to_json(e["value"]).alias("value"))), lambda e: e["value"].isNotNull() & (e["value"] != "null")))
+    of = lambda c: F.array_distinct(F.transform(F.filter("_all", lambda e: e["name"] == c), lambda e: e["value"]))
+    texts = {c: of(c) for c in ("section_id", "source", *CANONICAL)}
+    wide = named.select("feed_id", "file_seq", "row_no", "_all", *[texts[c].alias(f"_{c}") for c in texts])
+    single = lambda c: F.when(F.size(f"_{c}") == 1, F.get(f"_{c}", F.lit(0)))
+    kinds = {"section_id": "bigint", "source": "string"} | CANONICAL
+    wide = wide.withColumns({c: _cast(single(c), kind) for c, kind in kinds.items()})
+    wide = wide.withColumn("_failed", F.filter(F.array(*[F.when((F.size(f"_{c}") > 0) & F.col(c).isNull(), F.lit(c)) for c in kinds]), lambda x: x.isNotNull()))
+    extra = F.array_sort(F.filter("_all", lambda e: ~e["name"].isin(*kinds) | F.array_contains("_failed", e["name"])))
+    return wide.select("feed_id", "file_seq", "row_no", *kinds, extra.alias("extra"), F.array_join("_failed", ",").alias("failed"))

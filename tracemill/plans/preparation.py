@@ -71,12 +71,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "section_rows")
-    spans = drift.lifespans(drift.catalogue(drift.field_values(rows)), rows.select("feed_id", "file_seq"))
+    spans = drift.lifespans(drift.catalogue(rows), rows.select("feed_id", "file_seq"))
     return spans.select("feed_id", "field", "type", "first_seq", "last_seq", "files")
 
 
 def p5_sections(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(table(spark, d, "section_rows"))
+    """One consistent table of all sections; fields beside the canonical ones as ``name=JSON`` in ``extra``."""
+    rows = drift.consistent(table(spark, d, "section_rows"))
+    extra = F.array_join(F.transform("extra", lambda e: F.concat(e["name"], F.lit("="), e["value"])), ";")
+    return rows.withColumns({"lines": F.col("lines").cast("string"), "extra": extra})
 
 
 QUERIES = {f.__name__: f for f in (
@@ -111,12 +114,44 @@ d AS (SELECT build_id, path, 'only_a' AS field, NULL::VARCHAR AS value_a, NULL::
 UNION ALL SELECT build_id, path, 'only_b', NULL, NULL FROM b ANTI JOIN a USING (build_id, path) UNION ALL {_P4_FIELDS})
 """
 _P5 = """
-WITH once AS (SELECT DISTINCT feed_id, file_seq, row_no, body FROM section_rows),
+WITH RECURSIVE once AS (SELECT DISTINCT feed_id, file_seq, row_no, body FROM section_rows),
 vals AS (SELECT feed_id, file_seq, body ->> 'section_id' AS section, unnest(json_keys(body)) AS field, body FROM once),
 typed AS (SELECT feed_id, file_seq, section, field, json_extract(body, '$."' || field || '"') AS v FROM vals),
 kinds AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' END AS type FROM typed),
 cat AS (SELECT feed_id, file_seq, field, CASE WHEN bool_or(type = 'number') AND bool_or(type = 'integer') AND count(DISTINCT type) = 2 THEN 'number' ELSE string_agg(DISTINCT type, '|') END AS type FROM kinds GROUP BY ALL)
 """
+_RENAMED = """, files AS (SELECT feed_id, file_seq, lag(file_seq) OVER (PARTITION BY feed_id ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed_id, file_seq FROM section_rows)),
+moved AS (SELECT f.feed_id, f.file_seq, f.prev FROM files f WHERE f.prev IS NOT NULL),
+coming AS (SELECT m.feed_id, m.file_seq, m.prev, c.field, c.type FROM moved m JOIN cat c ON c.feed_id = m.feed_id AND c.file_seq = m.file_seq ANTI JOIN cat o ON o.feed_id = m.feed_id AND o.file_seq = m.prev AND o.field = c.field),
+going AS (SELECT m.feed_id, m.file_seq, m.prev, c.field, c.type FROM moved m JOIN cat c ON c.feed_id = m.feed_id AND c.file_seq = m.prev ANTI JOIN cat o ON o.feed_id = m.feed_id AND o.file_seq = m.file_seq AND o.field = c.field),
+fits AS (SELECT n.feed_id, n.file_seq, n.field AS new, g.field AS old, count(*) AS agree FROM coming n JOIN going g ON g.feed_id = n.feed_id AND g.file_seq = n.file_seq AND g.type = n.type
+  JOIN kinds x ON x.feed_id = n.feed_id AND x.file_seq = n.file_seq AND x.field = n.field AND x.type IS NOT NULL
+  JOIN kinds y ON y.feed_id = n.feed_id AND y.file_seq = n.prev AND y.field = g.field AND y.type IS NOT NULL AND y.section = x.section GROUP BY 1, 2, 3, 4 HAVING bool_and(CAST(x.v AS VARCHAR) = CAST(y.v AS VARCHAR))),
+picked AS (SELECT feed_id, file_seq, rest[1:0] AS taken, rest FROM (SELECT feed_id, file_seq, list({'agree': agree, 'new': new, 'old': old} ORDER BY agree DESC, new DESC, old DESC) AS rest FROM fits GROUP BY 1, 2)
+  UNION ALL SELECT feed_id, file_seq, list_append(taken, rest[1]), list_filter(rest[2:], lambda x: x.new <> rest[1].new AND x.old <> rest[1].old) FROM picked WHERE len(rest) > 0),
+renamed AS (SELECT feed_id, file_seq, t.new AS new, t.old AS old FROM (SELECT feed_id, file_seq, unnest(taken) AS t FROM picked WHERE len(rest) = 0))
+"""
+_CANONICAL = "'modern', 'version', 'family', 'testcase', 'lines'"
+_TEXT = "CASE WHEN {c}[1] = '\"' THEN {c}::JSON ->> '$' ELSE {c} END"
+_LINEAGE = f""", places AS (SELECT feed_id, file_seq, row_number() OVER (PARTITION BY feed_id ORDER BY file_seq) AS pos FROM (SELECT DISTINCT feed_id, file_seq FROM section_rows)),
+held AS (SELECT c.feed_id, p.pos, c.field FROM cat c JOIN places p USING (feed_id, file_seq)), moves AS (SELECT r.feed_id, p.pos, r.new, r.old FROM renamed r JOIN places p USING (feed_id, file_seq)),
+lives AS (SELECT h.feed_id, h.pos, h.field, concat(h.field, '@', h.pos) AS life FROM held h ANTI JOIN held b ON b.feed_id = h.feed_id AND b.field = h.field AND b.pos = h.pos - 1 ANTI JOIN moves m ON m.feed_id = h.feed_id AND m.pos = h.pos AND m.new = h.field
+  UNION ALL SELECT l.feed_id, l.pos + 1, h.field, l.life FROM lives l JOIN held h ON h.feed_id = l.feed_id AND h.pos = l.pos + 1
+   LEFT JOIN moves m ON m.feed_id = l.feed_id AND m.pos = l.pos + 1 AND m.old = l.field WHERE h.field = coalesce(m.new, l.field)),
+names AS (SELECT feed_id, life, coalesce(arg_min(field, pos) FILTER (field IN ({_CANONICAL})), arg_min(field, pos)) AS name FROM lives GROUP BY 1, 2),
+fielded AS (SELECT o.feed_id, o.file_seq, o.row_no, unnest(json_keys(o.body)) AS field, o.body FROM once o),
+named AS (SELECT f.feed_id, f.file_seq, f.row_no, CASE WHEN f.field IN ({_CANONICAL}) THEN f.field ELSE n.name END AS name, CAST(json_extract(f.body, '$."' || f.field || '"') AS VARCHAR) AS value
+  FROM fielded f JOIN places p USING (feed_id, file_seq) JOIN lives l ON l.feed_id = f.feed_id AND l.pos = p.pos AND l.field = f.field JOIN names n ON n.feed_id = l.feed_id AND n.life = l.life),
+valued AS (SELECT * FROM named WHERE value <> 'null'),
+wide AS (SELECT r.feed_id, r.file_seq, r.row_no, {", ".join(f"CASE WHEN count(DISTINCT value) FILTER (name = '{c}') = 1 THEN min(value) FILTER (name = '{c}') END AS t_{c}, count(value) FILTER (name = '{c}') AS n_{c}" for c in ("section_id", "source", "modern", "version", "family", "testcase", "lines"))}
+  FROM once r LEFT JOIN valued v USING (feed_id, file_seq, row_no) GROUP BY ALL),
+casts AS (SELECT feed_id, file_seq, row_no, TRY_CAST({_TEXT.format(c="t_section_id")} AS BIGINT) AS section_id, {", ".join(f"{_TEXT.format(c='t_' + c)} AS {c}" for c in ("source", "version", "family", "testcase"))},
+  CASE WHEN lower(trim({_TEXT.format(c="t_modern")})) IN ('true', 'yes', 'on', '1', 'y', 't') THEN true WHEN lower(trim({_TEXT.format(c="t_modern")})) IN ('false', 'no', 'off', '0', 'n', 'f') THEN false END AS modern,
+  TRY_CAST({_TEXT.format(c="t_lines")} AS DECIMAL(38,9)) AS lines, {", ".join(f"n_{c}" for c in ("section_id", "source", "modern", "version", "family", "testcase", "lines"))} FROM wide),
+judged AS (SELECT *, list_filter([{", ".join(f"CASE WHEN n_{c} > 0 AND {c} IS NULL THEN '{c}' END" for c in ("section_id", "source", "modern", "version", "family", "testcase", "lines"))}], lambda x: x IS NOT NULL) AS bad FROM casts)
+SELECT j.feed_id, j.file_seq, j.row_no, j.section_id, j.source, j.modern, j.version, j.family, j.testcase, CAST(j.lines AS VARCHAR) AS lines,
+ coalesce((SELECT string_agg(v.name || '=' || v.value, ';' ORDER BY v.name, v.value) FROM valued v WHERE v.feed_id = j.feed_id AND v.file_seq = j.file_seq AND v.row_no = j.row_no
+  AND (v.name NOT IN ('section_id', 'source', {_CANONICAL}) OR list_contains(j.bad, v.name))), '') AS extra, array_to_string(j.bad, ',') AS failed FROM judged j"""
 _P3_CUM = """
 WITH w AS (SELECT path, value, count(*) AS weight FROM records GROUP BY ALL),
 c AS (SELECT *, sum(weight) OVER (PARTITION BY path ORDER BY value) AS upto, sum(weight) OVER (PARTITION BY path) AS total FROM w WHERE value IS NOT NULL),
@@ -142,16 +177,9 @@ SELECT plan_id, len(list_filter(coalesce(b, []), lambda x: x <= path))::INTEGER
     "p5_lifespans": _P5 + """, placed AS (SELECT *, dense_rank() OVER (PARTITION BY feed_id ORDER BY file_seq) AS pos FROM cat),
 marked AS (SELECT *, pos - row_number() OVER (PARTITION BY feed_id, field, type ORDER BY pos) AS island FROM placed)
 SELECT feed_id, field, type, min(file_seq) AS first_seq, max(file_seq) AS last_seq, count(*) AS files FROM marked GROUP BY feed_id, field, type, island""",
-    "p5_found": _P5 + """, files AS (SELECT feed_id, file_seq, lag(file_seq) OVER (PARTITION BY feed_id ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed_id, file_seq FROM section_rows)),
-moved AS (SELECT f.feed_id, f.file_seq, f.prev FROM files f WHERE f.prev IS NOT NULL),
-coming AS (SELECT m.feed_id, m.file_seq, m.prev, c.field, c.type FROM moved m JOIN cat c ON c.feed_id = m.feed_id AND c.file_seq = m.file_seq ANTI JOIN cat o ON o.feed_id = m.feed_id AND o.file_seq = m.prev AND o.field = c.field),
-going AS (SELECT m.feed_id, m.file_seq, m.prev, c.field, c.type FROM moved m JOIN cat c ON c.feed_id = m.feed_id AND c.file_seq = m.prev ANTI JOIN cat o ON o.feed_id = m.feed_id AND o.file_seq = m.file_seq AND o.field = c.field),
-fits AS (SELECT n.feed_id, n.file_seq, n.field AS new, g.field AS old, count(*) AS agree FROM coming n JOIN going g ON g.feed_id = n.feed_id AND g.file_seq = n.file_seq AND g.type = n.type
-  JOIN kinds x ON x.feed_id = n.feed_id AND x.file_seq = n.file_seq AND x.field = n.field AND x.type IS NOT NULL
-  JOIN kinds y ON y.feed_id = n.feed_id AND y.file_seq = n.prev AND y.field = g.field AND y.type IS NOT NULL AND y.section = x.section GROUP BY 1, 2, 3, 4 HAVING bool_and(CAST(x.v AS VARCHAR) = CAST(y.v AS VARCHAR))),
-renamed AS (SELECT * FROM (SELECT *, max((agree, new, old)) OVER (PARTITION BY feed_id, file_seq, new) AS bn, max((agree, new, old)) OVER (PARTITION BY feed_id, file_seq, old) AS bo FROM fits) WHERE bn = (agree, new, old) AND bo = (agree, new, old))
-SELECT feed_id, file_seq, field, 'added' AS change FROM coming ANTI JOIN renamed r ON r.feed_id = coming.feed_id AND r.file_seq = coming.file_seq AND r.new = coming.field
+    "p5_found": _P5 + _RENAMED + """SELECT feed_id, file_seq, field, 'added' AS change FROM coming ANTI JOIN renamed r ON r.feed_id = coming.feed_id AND r.file_seq = coming.file_seq AND r.new = coming.field
 UNION ALL SELECT feed_id, file_seq, field, 'removed' FROM going ANTI JOIN renamed r ON r.feed_id = going.feed_id AND r.file_seq = going.file_seq AND r.old = going.field
 UNION ALL SELECT feed_id, file_seq, new, 'renamed' FROM renamed
 UNION ALL SELECT m.feed_id, m.file_seq, c.field, 'retyped' FROM moved m JOIN cat c ON c.feed_id = m.feed_id AND c.file_seq = m.file_seq JOIN cat o ON o.feed_id = m.feed_id AND o.file_seq = m.prev AND o.field = c.field WHERE o.type <> c.type""",
+    "p5_sections": _P5 + _RENAMED + _LINEAGE,
 }
