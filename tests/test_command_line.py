@@ -58,6 +58,23 @@ def test_arriving_shards(spark, tmp_path):
     assert lines(stream.merged()) == lines(once.merged)
 
 
+def test_conflicts_within_a_batch_stay(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = IncrementalMerge(spark, str(tmp_path / "out"))
+    rows = "DA:1,3,{0}\nMCDC:1,1,t,1,0,{0}\n{1}end_of_record\n"
+    (folder / "0.info").write_text("".join("TN:" + t + "\nSF:/a.c\n" + rows.format(t, "X:same\n" * 3) for t in "pqr"))
+    stream.run(str(folder))
+    (folder / "1.info").write_text("TN:p\nSF:/a.c\n" + rows.format("p", ""))
+    stream.run(str(folder))
+    once = native.plan_merge(spark, [str(folder / f"{k}.info") for k in range(2)])
+    whole = lambda m: sorted(map(str, m.collect()))
+    assert whole(stream.merged()) == whole(once.merged)
+    got = {r.kind: (r.chosen, r.most, r.conflict, r.copies) for r in stream.merged().collect()}
+    assert got[8] == got[7] == ("p", "r", True, 4) and got[1][2] and got[9][3] == 9
+    assert sum(r.line == "X:same" for r in native.ordered_lines(once.merged, once.summaries).collect()) == 9
+
+
 def test_malformed_shard_is_not_taken_in(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

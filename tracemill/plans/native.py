@@ -20,6 +20,8 @@ from tracemill.functions.paths import PathRules
 from tracemill.sources.inputs import InputError, check_regular, expand_lists, stage_stdin
 from tracemill.sources.lcov import BRDA, DA, DASH, EXCEPTION, EXT, FALLTHROUGH, FN, FNDA, GROUP, MCDC, MCDC_UNREACHABLE, NEW, NUMERIC, SECTION, SENSE, TEXT, TN, UNREACHABLE, load_records
 
+#: Copies of an extension row made at a time.
+COPIES = 4096
 SUMMARY_ORDER = ("fnf", "fnh", "brf", "brh", "mcf", "mch", "lf", "lh")
 
 
@@ -50,8 +52,9 @@ def merge_records(records: DataFrame) -> DataFrame:
     """One row per literal key: path, kind, a, b, c, name, flags, and the merged measures.
 
     ``name`` is the textual part of a key (function name, textual branch, extension row). ``value`` is the saturating sum of counts, null
-    where every branch count is ``-``; ``copies`` how many rows met (extension rows are kept that often); ``text`` and ``extra`` are the
-    least in byte order (expressions, non-empty checksums, test names with '' as a name); ``conflict`` tells whether they differed.
+    where every branch count is ``-``; ``copies`` how many rows met (extension rows are kept that often; a column ``copies`` of the
+    records says how many a row stands for); ``chosen`` and ``most`` are the least and the greatest in byte order of the texts that
+    aren't part of the key (expressions, non-empty checksums, test names with '' as a name); ``conflict`` tells whether they differ.
     Rows with a null path belong to no source and are left out; null numbers count as 0, null texts as ''.
     """
     kind, flags = F.col("kind"), F.coalesce("flags", F.lit(0))
@@ -64,11 +67,11 @@ def merge_records(records: DataFrame) -> DataFrame:
     third = F.when((kind == BRDA) & ~numeric, _zero()).otherwise(number("c"))
     counted = F.when((kind == BRDA) & (flags.bitwiseAND(DASH) != 0), F.lit(None).cast(NUMBER)).otherwise(number("value"))
     keys = ["path", "kind", "a", "b", "c", "name", "flags"]
-    rows = records.filter("path IS NOT NULL").select("path", kind, number("a").alias("a"), number("b").alias("b"), third.cast(NUMBER).alias("c"), name.alias("name"), kept_bits.cast("int").alias("flags"), chosen.alias("chosen"), counted.alias("value"))
-    first = rows.groupBy(*keys, "chosen").agg(saturated_sum(F.col("value")).alias("value"), F.count(F.lit(1)).alias("copies"))
+    rows = records.filter("path IS NOT NULL").select("path", kind, number("a").alias("a"), number("b").alias("b"), third.cast(NUMBER).alias("c"), name.alias("name"), kept_bits.cast("int").alias("flags"), chosen.alias("chosen"), counted.alias("value"), (F.col("copies") if "copies" in records.columns else F.lit(1)).alias("copies"))
+    first = rows.groupBy(*keys, "chosen").agg(saturated_sum(F.col("value")).alias("value"), F.sum("copies").alias("copies"))
     full = F.when((kind != DA) | (F.col("chosen") != ""), F.col("chosen"))
-    merged = first.groupBy(*keys).agg(saturated_sum(F.col("value")).alias("value"), F.sum("copies").alias("copies"), F.min(full).alias("least"), (F.min(full) != F.max(full)).alias("conflict"))
-    return merged.select(*keys, "value", "copies", F.coalesce("least", F.lit("")).alias("chosen"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    merged = first.groupBy(*keys).agg(saturated_sum(F.col("value")).alias("value"), F.sum("copies").alias("copies"), F.min(full).alias("least"), F.max(full).alias("most"))
+    return merged.select(*keys, "value", "copies", F.coalesce("least", F.lit("")).alias("chosen"), F.coalesce("most", F.lit("")).alias("most"), F.coalesce(F.col("least") != F.col("most"), F.lit(False)).alias("conflict"))
 
 
 def source_summaries(merged: DataFrame) -> DataFrame:
@@ -115,7 +118,9 @@ def rendered_lines(merged: DataFrame, summaries: DataFrame) -> DataFrame:
     rank = F.when(kind == TN, 0).when(kind == SECTION, 1).when(new, 3).when(kind.isin(GROUP, FN), 4).when(kind == FNDA, 5).when(kind == DA, 6).when(kind == BRDA, 7).when(kind == MCDC, 8).otherwise(9)
     body = merged.select("path", rank.alias("rank"), "a", "b", F.when(kind == BRDA, F.when(bit(NUMERIC), 0).otherwise(1).cast(NUMBER)).otherwise(F.col("c")).alias("k1"),
                          F.when(kind == BRDA, F.col("c")).when((kind == FN) & new, 1).otherwise(0).cast(NUMBER).alias("k2"), "name", "flags", line.alias("line"), F.when(kind == EXT, F.col("copies")).otherwise(1).alias("copies"))
-    body = body.filter("line IS NOT NULL").withColumn("line", F.explode(F.array_repeat("line", F.col("copies").cast("int")))).drop("copies")
+    # repeated in two steps, so that no array grows with the copies of a row that stands in every input
+    body = body.filter("line IS NOT NULL").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))))
+    body = body.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies") - F.col("_block") * COPIES, F.lit(COPIES)).cast("int")))).drop("copies", "_block", "_copy")
     ending = F.concat_ws("\n", *[F.concat(F.lit(f"{c.upper()}:"), F.col(c).cast("string")) for c in SUMMARY_ORDER], F.lit("end_of_record"))
     zero = _zero()
     tail = summaries.select("path", F.lit(10).alias("rank"), zero.alias("a"), zero.alias("b"), zero.alias("k1"), zero.alias("k2"), F.lit("").alias("name"), F.lit(0).alias("flags"), ending.alias("line"))

@@ -1,6 +1,6 @@
 """Literal-key merge of shards that keep arriving.
 
-Sums of counts, least texts and distinct keys don't depend on the order of arrival, so each batch of new files is merged on its
+Sums of counts, least and greatest texts and distinct keys don't depend on the order of arrival, so each batch of new files is merged on its
 own, written under its batch id (a retry replaces it), and the merged state is the merge of the batches.
 """
 
@@ -12,25 +12,24 @@ from pyspark.sql import functions as F
 from tracemill.plans.native import Merge, TraceError, merge_records
 from tracemill.sources.lcov import records_from_table
 
-_RECORDS = "path string, kind tinyint, a decimal(20,0), b decimal(20,0), c decimal(20,0), value decimal(20,0), text string, extra string, flags int"
+_RECORDS = "path string, kind tinyint, a decimal(20,0), b decimal(20,0), c decimal(20,0), value decimal(20,0), text string, extra string, flags int, copies bigint"
 
 
 def as_records(merged: DataFrame) -> DataFrame:
     """Merged rows in the shape of records again, so that merging them with others gives what merging all at once gives.
 
-    Extension rows come out as often as they met; a null branch count becomes the dash flag.
+    ``copies`` says how many rows a row stands for; a null branch count becomes the dash flag. Of differing texts the least and the
+    greatest are kept, the second in a row without hits, so that later batches still see the conflict.
     """
     kind, c = F.col("kind"), F.col
-    copies = F.when(kind == 9, c("copies")).otherwise(1).cast("int")
     dash = (kind == 6) & c("value").isNull()
-    conflicting = (kind == 1) & c("conflict")
-    text = F.when(kind.isin(4, 5, 9) | ((kind == 6) & (c("flags").bitwiseAND(1) == 0)), c("name")).when(kind.isin(1, 7), c("chosen")).otherwise("")
-    extra = F.when(kind == 8, c("chosen")).when((kind == 3) & (c("flags").bitwiseAND(1) == 0), c("name")).otherwise("")
-    rows = merged.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    # differing names stay different: the least one and the empty one
-    names = F.when(conflicting & (c("chosen") != ""), F.array(text, F.lit(""))).when(conflicting, F.array(text, F.lit("\u0000"))).otherwise(F.array(text))
-    rows = rows.withColumn("_text", F.explode(names))
-    return rows.select("path", "kind", "a", "b", "c", F.coalesce("value", F.lit(0)).cast("decimal(20,0)").alias("value"), c("_text").alias("text"), extra.alias("extra"), (c("flags") + F.when(dash, 4).otherwise(0)).cast("int").alias("flags"))
+    one = F.array(F.struct(c("chosen").alias("text"), c("value"), c("copies")))
+    two = F.array(F.struct(c("chosen").alias("text"), c("value"), (c("copies") - 1).alias("copies")), F.struct(c("most").alias("text"), F.lit(0).cast("decimal(20,0)").alias("value"), F.lit(1).cast("bigint").alias("copies")))
+    rows = merged.withColumn("_r", F.explode(F.when(c("conflict"), two).otherwise(one)))
+    text = F.when(kind.isin(4, 5, 9) | ((kind == 6) & (c("flags").bitwiseAND(1) == 0)), c("name")).when(kind.isin(1, 7), c("_r.text")).otherwise("")
+    extra = F.when(kind == 8, c("_r.text")).when((kind == 3) & (c("flags").bitwiseAND(1) == 0), c("name")).otherwise("")
+    return rows.select("path", "kind", "a", "b", "c", F.coalesce("_r.value", F.lit(0)).cast("decimal(20,0)").alias("value"), text.alias("text"), extra.alias("extra"),
+                       (c("flags") + F.when(dash, 4).otherwise(0)).cast("int").alias("flags"), c("_r.copies").cast("bigint").alias("copies"))
 
 
 class IncrementalMerge:
