@@ -107,13 +107,30 @@ def test_leaks(spark, monkeypatch):
     docs += [(60, None, "md"), (61, "", "md"), (62, "straße é w1", None), (62, "straße é w1", None), (63, "x " * 50_000, "md")]
     frames = spark.createDataFrame(docs, "doc_id bigint, text string, nb_format string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
     expected = brute_force(items, docs)
-    for block in (500_000, 20):
-        monkeypatch.setattr(leakage, "BLOCK_WORDS", block)
+    for block in (8 << 20, 400):
+        monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
         got = [tuple(r) for r in leakage.leaked(*frames).collect()]
         assert len(got) == len(expected) and set(got) == expected
     assert leakage.leaked(frames[0], frames[1].limit(0)).count() == 0 and leakage.leaked(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_leaks_of_repetitive_texts():
+    import numpy as np
+
+    rng = random.Random(9)
+    some = lambda n: [rng.choice("abc") for _ in range(n)]
+    for _ in range(40):
+        items = [(k, some(rng.choice([1, 3, 6, 11, 12, 13, 40]))) for k in range(12)]
+        texts = [some(rng.randrange(80)) + (rng.choice(items)[1] * rng.randrange(3)) for _ in range(6)]
+        index = leakage.ContainmentIndex(items)
+        margin, ids, owners = [0] * leakage.PASSAGE, [], []
+        for k, text in enumerate(texts):
+            ids += [index.ids.get(w, 0) for w in text] + [0]
+            owners += [k] * (len(text) + 1)
+        got = index.search(np.array(margin + ids + margin, np.int32), np.array([-1] * len(margin) + owners + [len(texts)] * len(margin)))
+        assert got == brute_force([(k, " ".join(own)) for k, own in items], [(k, " ".join(text), None) for k, text in enumerate(texts)])
+
+
 def test_levels_of_anchors_held_out(spark):
     import os
 
