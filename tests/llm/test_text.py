@@ -149,10 +149,39 @@ def test_levels_of_anchors_held_out(spark):
 
 
 def test_prose():
-    english = "We compared the river with the garden and drew a line. It was early and the chart was empty."
-    german = "Wenn die Spalte leer ist, zeigt die Zeile nichts. Danach liest die Woche jede Messung."
-    words, sentences, mine, other = reading.prose(f"# Title\n\n{english}\n\n{german}\n\n```python\nthe = is\n```\n\n![x](data:image/png;base64,AAAA)", "md")
-    assert len(words) == 1 and sentences == [2] and mine > 0 and other > 0
+    text = "# Title\n\nWe compared the river. It was early.\n\nWenn die Spalte leer ist, zeigt die Zeile nichts.\n\n```python\nthe = is\n```\n\n![x](data:image/png;base64,AAAA) <b " + "x" * 5000 + ">"
+    assert [(" ".join(w), n) for w, n in reading.prose(text, "md")] == [("we compared the river it was early", 2), ("wenn die spalte leer ist zeigt die zeile nichts", 1)]
     for odd in ODD:
         reading.prose(odd, "md")
-    assert reading.prose(None, "md") == ([], [], 0, 0)
+    assert reading.prose(None, "md") == []
+
+
+def test_languages_are_told_apart():
+    english = "we compared the river with the garden and drew a line|it was early and the chart was empty|they read the table before the rain".split("|")
+    german = "wenn die spalte leer ist zeigt die zeile nichts|danach liest die woche jede messung und schreibt sie auf|der garten war leer und die tabelle auch".split("|")
+    texts = lambda x: [t.split() for t in x]
+    # a label that misleads, and one that is spelled otherwise
+    model = reading.fit_languages([("en", texts(english)), ("de", texts(german)), ("de", texts(english[:1])), ("eng", texts(english[1:]))], texts(english))
+    assert model.own[model.best(texts(["the garden was empty and they drew it", "die tabelle ist leer und der garten auch", "表は空です 次の行を読む"]))].tolist() == [True, False, False]
+    alone = reading.fit_languages([], texts(english))
+    assert alone.own[alone.best(texts(["the river was early", "次の行を読む"]))].tolist() == [True, False]
+
+
+def test_ranks_beyond_the_broadcast_words(spark, monkeypatch):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 4, 45]))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([5, 50, 400])]) for _ in range(60)) + "." for _ in range(80)]
+    docs = spark.createDataFrame([(k % 70, t + "\n\n" + texts[k - 1], "none") for k, t in enumerate(texts)] + [(99, None, "md"), (98, "", "md"), (97, "x", "md")], "doc_id bigint, text string, nb_format string")
+    anchors = spark.createDataFrame([(t, k % 2 + 1) for k, t in enumerate(texts[:20])], "text string, level int")
+    got = [sorted(map(tuple, reading.reading_levels(docs, anchors).collect()))]
+    for words in (30, 0):
+        monkeypatch.setattr(reading, "HEAD_WORDS", words)
+        got.append(sorted(map(tuple, reading.reading_levels(docs, anchors).collect())))
+    assert len(got[0]) == 80 and got[0] == got[1] == got[2]
+    counts = {}
+    for t in texts:
+        for w in t.rstrip(".").split() * 2:
+            counts[w] = counts.get(w, 0) + 1
+    rank = {w: sum(m >= n for m in counts.values()) for w, n in counts.items()}
+    expected = sorted((k % 70, sorted(rank[w] for w in (t + texts[k - 1]).replace(".", " ").split())[95]) for k, t in enumerate(texts))
+    assert sorted((r[0], r[3]) for r in got[0]) == expected

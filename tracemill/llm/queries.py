@@ -35,9 +35,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus by level: documents and words of prose."""
+    """The corpus by level: documents, words of prose, and the mean coverage rank of a document."""
     levels = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_anchors"))
-    return levels.groupBy("level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+    return levels.groupBy("level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.avg("coverage").alias("coverage"))
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_suites, p8_found, p8_profile)}
