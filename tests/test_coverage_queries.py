@@ -1,6 +1,6 @@
 """Coverage operators: the registered queries against their SQL on the smallest tables, and edge rows by hand."""
 
-import importlib.util
+import importlib
 import os
 
 import pytest
@@ -101,5 +101,16 @@ def test_round_trip_counts_every_kind(spark, tmp_path):
 def test_text_operators_are_optional():
     import __spark_entry__ as entry
 
-    assert ("tracemill.llm.queries" in entry.MODULES) == bool(importlib.util.find_spec("tracemill.llm") and importlib.util.find_spec("tracemill.llm.queries"))
-    assert "da_merge" in entry.queries()
+    assert "da_merge" in entry.queries() and ("p6_ids" in entry.queries()) == ("tracemill.llm.queries" in entry.MODULES)
+
+
+def test_text_operators_that_fail_to_import_are_left_out(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "tracemill.llm.queries", None)
+    again = importlib.reload(entry)
+    assert "tracemill.llm.queries" not in again.MODULES and "da_merge" in again.queries()
+    monkeypatch.undo()
+    importlib.reload(entry)

@@ -153,27 +153,67 @@ SHARDS = [
 
 
 def test_compaction(spark, tmp_path):
-    path = str(tmp_path / "shards")
-    spark.createDataFrame(SHARDS, "input_id bigint, body string").repartition(4).write.parquet(path)
+    files = str(tmp_path / "files")
+    assert compactor.write_files(spark.createDataFrame(SHARDS, "input_id bigint, body string").repartition(4), files) == 10
+    assert compactor.write_files(spark.createDataFrame(SHARDS[:3], "input_id bigint, body string"), files) == 3
+    assert len(list((tmp_path / "files").glob("*/*.info"))) == 9
+    named = F.regexp_extract("_metadata.file_name", "^([0-9]+)[.]", 1).cast("bigint")
     one = compactor.Compactor(spark, str(tmp_path / "out"), files_per_batch=2)
-    one.run(one.table_source(path))
-    pairs = sorted(tuple(r) for r in compactor.shared_pairs(one.members()).collect())
-    assert pairs == [(1, 2), (1, 7), (2, 7), (7, 8), (7, 9), (8, 9)]
-    assert one.sections().count() == 4
+    one.run(one.folder_source(files, named))
+    expected = [(1, 2), (1, 7), (2, 7), (7, 8), (7, 9), (8, 9)]
+    pairs = lambda c: sorted(tuple(r) for r in compactor.shared_pairs(c.members()).collect())
+    assert pairs(one) == expected and one.sections().count() == 4
+    batches = len(one.sizes())
+    assert batches >= 4
     # nothing new: nothing is read or written again; a batch written twice replaces itself
-    one.run(one.table_source(path))
-    one.write_batch(spark.read.parquet(path), 7)
-    one.write_batch(spark.read.parquet(path), 7)
+    one.run(one.folder_source(files, named))
+    again = spark.createDataFrame(SHARDS[:2], "input_id bigint, body string")
+    one.write_batch(again, batches)
+    one.write_batch(again, batches)
     assert one.sections().count() == 4 and one.members().count() == 8
-    folder = tmp_path / "files" / "deep"
-    folder.mkdir(parents=True)
-    for k, body in SHARDS[:4]:
-        (folder / f"{k}.info").write_text(body, newline="")
+    # one file is left, and later batches still see what it holds
+    one.consolidate()
+    assert [n for _, n in one.sizes()] == [1] and [n for _, n in one.sizes("members")] == [1]
+    assert one.sections().count() == 4 and pairs(one) == expected
+    (tmp_path / "files" / "0" / "50.info").write_text("TN:a\nSF:/x\nDA:2,0\nDA:1,1\nend_of_record\nSF:/new\nend_of_record\n")
+    one.run(one.folder_source(files, named))
+    one.consolidate()
+    assert one.sections().count() == 5 and len(one.sizes()) == 1 and (1, 50) in pairs(one)
     two = compactor.Compactor(spark, str(tmp_path / "out2"))
-    two.run(two.folder_source(str(tmp_path / "files")))
-    assert two.sections().count() == 3 and compactor.shared_pairs(two.members()).count() == 1
+    two.run(two.folder_source(files))
+    assert two.sections().count() == 5
     three = compactor.Compactor(spark, str(tmp_path / "out3"))
     assert three.sections().count() == 0 and compactor.shared_pairs(three.members()).count() == 0
+    assert compactor.compact_table(spark, spark.createDataFrame([], "input_id bigint, body string, path int")).members().count() == 0
+
+
+def test_compacted_files_have_the_target_size(spark, tmp_path):
+    rng = random.Random(8)
+    shards = [(k, f"SF:/p{k % 100}\n" + "".join(f"DA:{rng.randrange(10**6)},{rng.randrange(10**6)}\n" for _ in range(60)) + "end_of_record\n") for k in range(1200)]
+    compactor.write_files(spark.createDataFrame(shards, "input_id bigint, body string"), str(tmp_path / "files"))
+    target = 64 << 10
+    one = compactor.Compactor(spark, str(tmp_path / "out"), target_bytes=target, files_per_batch=150)
+    one.run(one.folder_source(str(tmp_path / "files")))
+    one.consolidate()
+    total, files = (sum(x) for x in zip(*one.sizes()))
+    assert one.sections().count() == 1200 and total / target <= files <= 2 * total / target + 1
+    sizes = [p.stat().st_size for p in (tmp_path / "out" / "sections").glob("*/part-*")]
+    assert len(sizes) == files and max(sizes) < 2 * target
+
+
+def test_links_of_hot_sections(spark, monkeypatch):
+    rng = random.Random(6)
+    # one section in most inputs, a large class of copies, and rare sections
+    held = {k: {"hot"} if k < 40 else {x for x in ["hot"] if rng.random() < 0.7} | {f"s{rng.randrange(30)}" for _ in range(rng.randrange(3))} for k in range(120)}
+    members = spark.createDataFrame([(k, s) for k, own in held.items() for s in own], "input_id bigint, section_id string")
+    expected = {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    for block in (1024, 7):
+        monkeypatch.setattr(compactor, "BLOCK", block)
+        got = [tuple(r) for r in compactor.shared_pairs(members).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        links = {r.input_id: (r.class_id, r.size, r.links) for r in compactor.linked_inputs(members).collect()}
+        same = {k: [j for j in held if held[j] == held[k]] for k in held}
+        assert links == {k: (min(same[k]), len(same[k]), sum(k in p for p in expected)) for k in held if held[k]}
 
 
 def test_heavy_keys(spark):

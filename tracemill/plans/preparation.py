@@ -27,13 +27,22 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return rejects.parse_delimited(table(spark, d, "branch_rows")).groupBy(F.coalesce("reason", F.lit("loaded")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def _compacted(spark: SparkSession, d: str) -> compactor.Compactor:
+    return compactor.compact_table(spark, table(spark, d, "shards"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return compactor.shared_pairs(compactor.compact_table(spark, f"{d}/shards.parquet").members())
+    return compactor.shared_pairs(_compacted(spark, d).members())
 
 
 def p2_sections(spark: SparkSession, d: str) -> DataFrame:
     """The compacted sections themselves, each once."""
-    return compactor.compact_table(spark, f"{d}/shards.parquet").sections().select("tn", "path", F.array_join("rows", "\n").alias("body"))
+    return _compacted(spark, d).sections().select("tn", "path", F.array_join("rows", "\n").alias("body"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs with sections: their class of identical inputs, and with how many others they share a section."""
+    return compactor.linked_inputs(_compacted(spark, d).members())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +92,7 @@ def p5_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_branch_records, p1_reasons, p2_found, p2_sections, p3_found, p3_profile, p3_ranges, p4_found, p4_values, p5_found, p5_lifespans, p5_sections)}
+    p1_found, p1_branch_records, p1_reasons, p2_found, p2_sections, p2_classes, p3_found, p3_profile, p3_ranges, p4_found, p4_values, p5_found, p5_lifespans, p5_sections)}
 
 _QUOTED = r'''"(?:[^"]|"")*"'''
 _FIELD = rf'''(?:{_QUOTED}|[^",]*)'''
@@ -166,6 +175,9 @@ CASE WHEN f6 = '-' THEN NULL WHEN regexp_full_match(f6, '\+?[0-9]+') THEN CASE W
  WHEN CAST(f6 AS DOUBLE) >= 9223372036854775808::DOUBLE THEN '9223372036854775807' ELSE CAST(CAST(trunc(CAST(f6 AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS hits, f6 = '-' AS no_hits, f7 AS expression FROM judged WHERE reason IS NULL""",
     "p1_reasons": _P1 + "SELECT coalesce(reason, 'loaded') AS outcome, count(*) AS n FROM judged GROUP BY 1",
     "p2_found": _P2 + "SELECT DISTINCT a.input_id AS input_a, b.input_id AS input_b FROM sections a JOIN sections b ON a.tn = b.tn AND a.path = b.path AND a.body = b.body AND a.input_id < b.input_id",
+    "p2_classes": _P2 + """, held AS (SELECT DISTINCT input_id, md5(concat_ws(chr(30), tn, path, body)) AS section FROM sections), sets AS (SELECT input_id, list_sort(list(section)) AS own FROM held GROUP BY 1),
+links AS (SELECT a.input_id, count(DISTINCT b.input_id) - 1 AS links FROM held a JOIN held b USING (section) GROUP BY 1)
+SELECT s.input_id, min(s.input_id) OVER (PARTITION BY own) AS class_id, count(*) OVER (PARTITION BY own) AS size, len(own) AS sections, links FROM sets s JOIN links USING (input_id)""",
     "p2_sections": _P2 + "SELECT DISTINCT tn, path, body FROM sections",
     "p3_found": """SELECT p.plan_id, (SELECT count(DISTINCT s.splitter) FROM splitters s WHERE s.plan_id = p.plan_id AND s.splitter <= h.path)::INTEGER AS range_no, h.path
 FROM (SELECT path FROM records WHERE path IS NOT NULL GROUP BY path HAVING count(*) * 100 >= (SELECT count(*) FROM records)) h, (SELECT DISTINCT plan_id FROM splitters) p""",

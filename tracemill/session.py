@@ -57,10 +57,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's file systems, for listing and deleting on the driver."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, found = hadoop_path(spark, path)
+    fs.delete(found, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the tables written below the shared folder; results that still read them become unreadable."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tracemill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, f"{shared_root(spark)}/tracemill")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,22 @@
 """Compaction of many tiny tracefiles into few well-sized files by a checkpointed stream.
 
 Every file is discovered once (the stream's checkpoint), the available files form batches, and each batch is written
-under its batch id in overwrite mode, so a retried batch replaces what it had written and never doubles it.
+under its batch id in overwrite mode, so a retried batch replaces what it had written and never doubles it. Finished batches
+are merged into runs of well-sized files.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.session import scratch_path
+from tracemill.session import delete_path, hadoop_path, scratch_path
 
 SUMMARY_TAGS = "FNF|FNH|BRF|BRH|MCF|MCH|LF|LH"
 _MARK = "\u0001\u001e\u0001"
@@ -47,79 +54,195 @@ def section_rows(shards: DataFrame) -> DataFrame:
     return one.select("input_id", F.md5(key).alias("section_id"), "tn", "path", "rows")
 
 
+#: Folders that ``write_files`` spreads its files over.
+FOLDERS = 64
+#: Inputs of a section, or of a class, that are paired in one key of a join; larger groups are cut into blocks of this size.
+BLOCK = 1024
+#: What opening a small file counts for when files are packed into read tasks.
+OPEN_COST = 64 << 10
+SECTION, MEMBER = "section_id string, tn string, path string, rows array<string>", "input_id bigint, section_id string"
+
+
+def _filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder) if ":" in folder else "file://" + folder)
+
+
+def write_files(shards: DataFrame, folder: str, id_col: str = "input_id", body_col: str = "body") -> int:
+    """Write each body of a table to a file ``<folder>/<n>/<id>.info`` from the workers and tell how many there are.
+
+    Null and empty bodies are empty files. A task that runs again writes the same files again. Ids are unique; rows without one share
+    the file ``none``.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = _filesystem(folder)
+        made = set()
+        for batch in batches:
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{base}/{(k or 0) % FOLDERS}"
+                if place not in made:
+                    filesystem.create_dir(place, recursive=True)
+                    made.add(place)
+                with filesystem.open_output_stream(f"{place}/{'none' if k is None else k}.info") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    # a table of tiny bodies comes in few large splits; creating files is worth more tasks
+    spread = shards.select(F.col(id_col).cast("bigint"), F.col(body_col).cast("string")).repartition(4 * shards.sparkSession.sparkContext.defaultParallelism)
+    written = spread.mapInArrow(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class Compactor:
     """Streams tracefiles into ``<out>/sections`` (each section once) and ``<out>/members`` (which input holds which).
 
     ``target_bytes`` is the size aimed at for a written file; ``files_per_batch`` bounds how many discovered files a batch takes.
-    Both tables are partitioned by ``batch_id``. Restarting with the same ``out`` continues where the checkpoint ends.
+    Both tables have a folder per batch, ``batch=n``, or per run of merged batches, ``batch=first-last``. Restarting with the same
+    ``out`` continues where the checkpoint ends.
     """
 
-    def __init__(self, spark: SparkSession, out: str, target_bytes: int = 128 << 20, files_per_batch: int = 100_000):
+    def __init__(self, spark: SparkSession, out: str, target_bytes: int = 128 << 20, files_per_batch: int = 25_000):
         self.spark, self.out, self.target_bytes, self.files_per_batch = spark, out.rstrip("/"), target_bytes, files_per_batch
 
-    def table_source(self, path: str) -> DataFrame:
-        """Files of a Parquet table with ``input_id`` and ``body``."""
-        schema = self.spark.read.parquet(path).select("input_id", "body").schema
-        file = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).isFile():
-            # a stream takes a single file only as a pattern
-            path = f"{path.rpartition('/')[0]}/{{{file.getName()}}}"
-        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(path)
-
-    def folder_source(self, path: str) -> DataFrame:
-        """Tracefiles in a folder, one input per file; the id is a 64-bit hash of the file's path."""
+    def folder_source(self, path: str, input_id: Column | None = None) -> DataFrame:
+        """Tracefiles in a folder, one input per file; the id is a 64-bit hash of the file's path unless one is given."""
         stream = self.spark.readStream.option("maxFilesPerTrigger", self.files_per_batch).text(path, wholetext=True, recursiveFileLookup=True)
-        return stream.select(F.xxhash64("_metadata.file_path").alias("input_id"), F.col("value").alias("body"))
+        return stream.select((F.xxhash64("_metadata.file_path") if input_id is None else input_id).alias("input_id"), F.col("value").alias("body"))
+
+    def _folders(self, name: str) -> list[tuple[int, int, str, int, int]]:
+        """(first, last, path, bytes, files) of the finished folders of a table, without those whose batches a run has taken over."""
+        fs, path = hadoop_path(self.spark, f"{self.out}/{name}")
+        found = []
+        for status in fs.listStatus(path) if fs.exists(path) else ():
+            m = re.fullmatch(r"batch=(\d+)(?:-(\d+))?", status.getPath().getName())
+            files = list(fs.listStatus(status.getPath())) if m else []
+            if any(f.getPath().getName() == "_SUCCESS" for f in files):
+                data = [f.getLen() for f in files if f.getPath().getName().startswith("part-")]
+                found.append((int(m[1]), int(m[2] or m[1]), str(status.getPath()), sum(data), len(data)))
+        runs = [(a, b) for a, b, *_ in found if b > a]
+        return sorted(x for x in found if not any(a <= x[0] and x[1] <= b and (a, b) != (x[0], x[1]) for a, b in runs))
+
+    def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        folders = [path for _, last, path, _, _ in self._folders(name) if before is None or last < before]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         session.conf.set("spark.sql.adaptive.enabled", "true")
         session.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(self.target_bytes))
         rows = section_rows(batch)
-        staged = f"{self.out}/staged/batch_id={batch_id}"
+        staged = f"{self.out}/staged/batch={batch_id}"
         rows.write.mode("overwrite").parquet(staged)
         rows = session.read.schema(rows.schema).parquet(staged)
-        rows.select("input_id", "section_id").distinct().hint("rebalance").write.mode("overwrite").parquet(f"{self.out}/members/batch_id={batch_id}")
+        rows.select("input_id", "section_id").distinct().hint("rebalance").write.mode("overwrite").parquet(f"{self.out}/members/batch={batch_id}")
         first = rows.dropDuplicates(["section_id"]).select("section_id", "tn", "path", "rows")
-        if batch_id > 0:
-            earlier = session.read.schema("section_id string, batch_id bigint").option("basePath", f"{self.out}/sections").parquet(f"{self.out}/sections")
-            first = first.join(earlier.filter(F.col("batch_id") < batch_id).select("section_id"), "section_id", "left_anti")
-        first.hint("rebalance").write.mode("overwrite").parquet(f"{self.out}/sections/batch_id={batch_id}")
-        hadoop = session.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-        hadoop.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        earlier = self._read("sections", SECTION, before=batch_id).select("section_id")
+        # of all earlier sections only those that occur again are shuffled: the batch is the small side
+        again = earlier.join(rows.select("section_id").distinct(), "section_id", "left_semi")
+        first.join(again, "section_id", "left_anti").hint("rebalance").write.mode("overwrite").parquet(f"{self.out}/sections/batch={batch_id}")
+        delete_path(session, staged)
 
     def run(self, source: DataFrame) -> None:
         """Process everything available, then stop."""
-        query = source.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        # tiny files are packed by the thousand into a task, for listing as for reading
+        tasks = 4 * self.spark.sparkContext.defaultParallelism
+        settings = {"spark.sql.files.openCostInBytes": str(OPEN_COST), "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks)}
+        before = {key: self.spark.conf.get(key) for key in settings}
+        try:
+            for key, value in settings.items():
+                self.spark.conf.set(key, value)
+            query = source.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.out}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.out}/{name}")
+    def consolidate(self) -> None:
+        """Merge neighbouring folders below the target size into runs, so that few well-sized files are left.
+
+        A folder is rewritten only while it is smaller than the target; the run is read once it is complete, and what it took over is then removed.
+        """
+        for name, schema, key in (("sections", SECTION, "section_id"), ("members", MEMBER, "input_id")):
+            group: list[tuple[int, int, str, int, int]] = []
+            for folder in [*self._folders(name), None]:
+                if folder is not None and folder[3] < self.target_bytes:
+                    group.append(folder)
+                    continue
+                if len(group) > 1 or (group and group[0][4] > 1):
+                    self._merge(name, schema, key, group)
+                group = []
+
+    def _merge(self, name: str, schema: str, key: str, group: list[tuple[int, int, str, int, int]]) -> None:
+        first, last = group[0][0], group[-1][1]
+        if first == last:
+            return
+        pieces = max(1, math.ceil(sum(g[3] for g in group) / self.target_bytes))
+        self.spark.read.schema(schema).parquet(*[g[2] for g in group]).repartition(pieces, key).write.mode("overwrite").parquet(f"{self.out}/{name}/batch={first}-{last}")
+        for g in group:
+            if (g[0], g[1]) != (first, last):
+                delete_path(self.spark, g[2])
+
+    def sizes(self, name: str = "sections") -> list[tuple[int, int]]:
+        """(bytes, files) of each folder of a table."""
+        return [(size, files) for _, _, _, size, files in self._folders(name)]
 
     def sections(self) -> DataFrame:
-        return self._read("sections", "section_id string, tn string, path string, rows array<string>").select("section_id", "tn", "path", "rows")
+        return self._read("sections", SECTION)
 
     def members(self) -> DataFrame:
-        return self._read("members", "input_id bigint, section_id string").select("input_id", "section_id").distinct()
+        return self._read("members", MEMBER).distinct()
 
 
-def compact_table(spark: SparkSession, path: str, **options: int) -> Compactor:
-    """Compact the shards of the Parquet table at ``path`` into a fresh folder below the shared one."""
-    compactor = Compactor(spark, scratch_path(spark, "compact"), **options)
-    compactor.run(compactor.table_source(path))
+def compact_table(spark: SparkSession, shards: DataFrame, **options: int) -> Compactor:
+    """Write the bodies of a table to tiny files below the shared folder and compact them there; the tiny files are removed again."""
+    out = scratch_path(spark, "compact")
+    write_files(shards, f"{out}/files")
+    compactor = Compactor(spark, out, **options)
+    fs, path = hadoop_path(spark, f"{out}/files")
+    if fs.exists(path):
+        compactor.run(compactor.folder_source(f"{out}/files", F.regexp_extract("_metadata.file_name", "^(-?[0-9]+)[.]", 1).try_cast("bigint")))
+        compactor.consolidate()
+        delete_path(spark, f"{out}/files")
     return compactor
 
 
 def input_classes(members: DataFrame) -> DataFrame:
-    """Inputs with exactly the same sections form a class: input_id, class_id (its smallest input), size."""
+    """Inputs with exactly the same sections form a class: input_id, class_id (its smallest input), size, sections."""
     signature = members.groupBy("input_id").agg(F.md5(F.array_join(F.array_sort(F.collect_set("section_id")), "")).alias("signature"), F.count("*").alias("sections"))
     classes = signature.groupBy("signature").agg(F.min("input_id").alias("class_id"), F.count("*").alias("size"))
     return signature.join(classes, "signature").select("input_id", "class_id", "size", "sections")
 
 
+def _pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b), a < b, for items of the same group, with repeats; groups beyond BLOCK items are cut into blocks that meet pairwise.
+
+    No key of the join holds more than about BLOCK items of a side, whatever the size of the group.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = placed.select(group, F.col("own").alias("i"), F.col("other").alias("j"), F.col(item).alias("a"))
+    right = placed.select(group, F.col("other").alias("i"), F.col("own").alias("j"), F.col(item).alias("b"))
+    return left.join(right, [group, "i", "j"]).filter("a < b").select("a", "b")
+
+
+def class_links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """class_a < class_b for any two classes that share a whole section, each pair once."""
+    keys = members.join(classes.filter("input_id = class_id").select("input_id"), "input_id", "left_semi")
+    return _pairs_within(keys, "section_id", "input_id").distinct().select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def linked_inputs(members: DataFrame) -> DataFrame:
+    """input_id, class_id, size, sections, links: per input its class of identical inputs and with how many others it shares a section."""
+    classes = input_classes(members)
+    sizes = classes.filter("input_id = class_id").select("class_id", "size")
+    links = class_links(members, classes)
+    both = reduce(DataFrame.unionByName, [links.select(F.col(x).alias("class_id"), F.col(y).alias("other")) for x, y in (("class_a", "class_b"), ("class_b", "class_a"))])
+    counted = both.join(sizes.select(F.col("class_id").alias("other"), F.col("size").alias("n")), "other").groupBy("class_id").agg(F.sum("n").alias("linked"))
+    return classes.join(counted, "class_id", "left").select("input_id", "class_id", "size", "sections", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+
+
 def shared_pairs(members: DataFrame) -> DataFrame:
     """input_a < input_b for any two inputs that share a whole section, each pair once.
 
@@ -127,11 +250,12 @@ def shared_pairs(members: DataFrame) -> DataFrame:
     the join of sections. Inputs without sections (null and empty bodies) have no pair.
     """
     classes = input_classes(members)
-    keys = members.join(classes.filter("input_id = class_id").select("input_id"), "input_id", "left_semi")
-    left, right = keys.select(F.col("input_id").alias("ca"), "section_id"), keys.select(F.col("input_id").alias("cb"), "section_id")
-    links = left.join(right, "section_id").filter("ca < cb").select("ca", "cb").distinct()
-    within = classes.filter("size > 1 AND input_id = class_id").select(F.col("class_id").alias("ca"), F.col("class_id").alias("cb"))
-    a = classes.select(F.col("class_id").alias("ca"), F.col("input_id").alias("a"))
-    b = classes.select(F.col("class_id").alias("cb"), F.col("input_id").alias("b"))
-    pairs = links.union(within).join(a, "ca").join(b, "cb").filter((F.col("ca") != F.col("cb")) | (F.col("a") < F.col("b")))
-    return pairs.select(F.least("a", "b").alias("input_a"), F.greatest("a", "b").alias("input_b"))
+    links = class_links(members, classes)
+    blocks = classes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("input_id"), F.col("blocks")).cast("int"))
+    a = blocks.select(F.col("class_id").alias("class_a"), F.col("input_id").alias("a"))
+    b = blocks.select(F.col("class_id").alias("class_b"), "block", F.col("input_id").alias("b"))
+    wide = blocks.filter("input_id = class_id").select(F.col("class_id").alias("class_b"), "blocks")
+    spread = links.join(wide, "class_b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    across = spread.join(a, "class_a").join(b, ["class_b", "block"]).select("a", "b")
+    within = _pairs_within(classes.filter("size > 1"), "class_id", "input_id")
+    return across.unionByName(within).select(F.least("a", "b").alias("input_a"), F.greatest("a", "b").alias("input_b"))
