@@ -1,6 +1,7 @@
 """Compaction of many tiny tracefiles into few well-sized files by a checkpointed stream.
 
-Every file is discovered once (the stream's checkpoint), the available files form batches, and each batch is written
+Workers list the folders and write the paths that no earlier round has seen into manifests; the driver never holds a path. The
+manifests are the files of a checkpointed stream, one manifest a batch, whose tiny files are read by the workers. Each batch is written
 under its batch id in overwrite mode, so a retried batch replaces what it had written and never doubles it. Finished batches
 are merged into runs of well-sized files.
 """
@@ -58,17 +59,42 @@ def section_rows(shards: DataFrame) -> DataFrame:
 FOLDERS = 64
 #: Inputs of a section, or of a class, that are paired in one key of a join; larger groups are cut into blocks of this size.
 BLOCK = 1024
-#: What opening a small file counts for when files are packed into read tasks.
-OPEN_COST = 64 << 10
-SECTION, MEMBER = "section_id string, tn string, path string, rows array<string>", "input_id bigint, section_id string"
+SECTION, MEMBER, MANIFEST = "section_id string, tn string, path string, rows array<string>", "input_id bigint, section_id string", "path string"
 
 
 def _filesystem(folder: str):
+    """(file system, path in it) of a URI or of a local path."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder) if ":" in folder else "file://" + folder)
 
 
+def _list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of the files of (folder, recursive), as they are named within their file system."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder, recursive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            filesystem, base = _filesystem(folder)
+            found = [x.path for x in filesystem.get_file_info(fs.FileSelector(base, recursive=recursive)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+
+def _reader(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _filesystem(folder)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                bodies = []
+                for path in part.column(0).to_pylist():
+                    with filesystem.open_input_stream(path) as f:
+                        bodies.append(f.read().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bodies, pa.string())], ["path", "body"])
+
+    return read
+
+
 def write_files(shards: DataFrame, folder: str, id_col: str = "input_id", body_col: str = "body") -> int:
     """Write each body of a table to a file ``<folder>/<n>/<id>.info`` from the workers and tell how many there are.
 
@@ -95,6 +121,10 @@ def write_files(shards: DataFrame, folder: str, id_col: str = "input_id", body_c
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+#: The id that ``write_files`` named a file after.
+FILE_ID = "try_cast(regexp_extract(path, '(-?[0-9]+)[.]info$', 1) AS BIGINT)"
+
+
 class Compactor:
     """Streams tracefiles into ``<out>/sections`` (each section once) and ``<out>/members`` (which input holds which).
 
@@ -106,10 +136,18 @@ class Compactor:
     def __init__(self, spark: SparkSession, out: str, target_bytes: int = 128 << 20, files_per_batch: int = 25_000):
         self.spark, self.out, self.target_bytes, self.files_per_batch = spark, out.rstrip("/"), target_bytes, files_per_batch
 
-    def folder_source(self, path: str, input_id: Column | None = None) -> DataFrame:
-        """Tracefiles in a folder, one input per file; the id is a 64-bit hash of the file's path unless one is given."""
-        stream = self.spark.readStream.option("maxFilesPerTrigger", self.files_per_batch).text(path, wholetext=True, recursiveFileLookup=True)
-        return stream.select((F.xxhash64("_metadata.file_path") if input_id is None else input_id).alias("input_id"), F.col("value").alias("body"))
+    def discover(self, folder: str) -> None:
+        """List ``folder`` with its sub-folders on the workers and write manifests of the files that no earlier round has seen."""
+        from pyarrow import fs
+
+        filesystem, base = _filesystem(folder)
+        top = filesystem.get_file_info(fs.FileSelector(base)) if filesystem.get_file_info(base).type == fs.FileType.Directory else []
+        root = folder.rstrip("/")
+        places = [(root, False), *((f"{root}/{x.base_name}", True) for x in top if x.type == fs.FileType.Directory and not x.base_name.startswith(("_", ".")))] if top else []
+        listed = self.spark.createDataFrame(places, "folder string, recursive boolean").repartition(max(1, len(places))).mapInArrow(_list_files, MANIFEST)
+        new = listed.join(self._read("discovered", MANIFEST), "path", "left_anti")
+        rounds = len(self._folders("discovered"))
+        new.hint("rebalance").write.option("maxRecordsPerFile", self.files_per_batch).mode("overwrite").parquet(f"{self.out}/discovered/batch={rounds}")
 
     def _folders(self, name: str) -> list[tuple[int, int, str, int, int]]:
         """(first, last, path, bytes, files) of the finished folders of a table, without those whose batches a run has taken over."""
@@ -144,40 +182,35 @@ class Compactor:
         first.join(again, "section_id", "left_anti").hint("rebalance").write.mode("overwrite").parquet(f"{self.out}/sections/batch={batch_id}")
         delete_path(session, staged)
 
-    def run(self, source: DataFrame) -> None:
-        """Process everything available, then stop."""
-        # tiny files are packed by the thousand into a task, for listing as for reading
+    def run(self, folder: str, input_id: str = "xxhash64(path)") -> None:
+        """Process every file of ``folder`` that wasn't there before, then stop.
+
+        ``input_id`` is a SQL expression over ``path``, the file's path within its file system.
+        """
+        self.discover(folder)
         tasks = 4 * self.spark.sparkContext.defaultParallelism
-        settings = {"spark.sql.files.openCostInBytes": str(OPEN_COST), "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks)}
-        before = {key: self.spark.conf.get(key) for key in settings}
-        try:
-            for key, value in settings.items():
-                self.spark.conf.set(key, value)
-            query = source.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
-        finally:
-            for key, value in before.items():
-                self.spark.conf.set(key, value)
+        paths = self.spark.readStream.schema(MANIFEST).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{self.out}/discovered")
+        source = paths.repartition(tasks).mapInArrow(_reader(folder), "path string, body string").select(F.expr(input_id).alias("input_id"), "body")
+        query = source.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
 
     def consolidate(self) -> None:
         """Merge neighbouring folders below the target size into runs, so that few well-sized files are left.
 
-        A folder is rewritten only while it is smaller than the target; the run is read once it is complete, and what it took over is then removed.
+        A folder is rewritten only while it, or twice its mean file, is smaller than the target; the run is read once it is complete, and what it took over is then removed.
         """
         for name, schema, key in (("sections", SECTION, "section_id"), ("members", MEMBER, "input_id")):
             group: list[tuple[int, int, str, int, int]] = []
             for folder in [*self._folders(name), None]:
-                if folder is not None and folder[3] < self.target_bytes:
+                if folder is not None and (folder[3] < self.target_bytes or folder[3] < folder[4] * self.target_bytes // 2):
                     group.append(folder)
                     continue
-                if len(group) > 1 or (group and group[0][4] > 1):
+                if len(group) > 1:
                     self._merge(name, schema, key, group)
                 group = []
 
     def _merge(self, name: str, schema: str, key: str, group: list[tuple[int, int, str, int, int]]) -> None:
         first, last = group[0][0], group[-1][1]
-        if first == last:
-            return
         pieces = max(1, math.ceil(sum(g[3] for g in group) / self.target_bytes))
         self.spark.read.schema(schema).parquet(*[g[2] for g in group]).repartition(pieces, key).write.mode("overwrite").parquet(f"{self.out}/{name}/batch={first}-{last}")
         for g in group:
@@ -200,11 +233,9 @@ def compact_table(spark: SparkSession, shards: DataFrame, **options: int) -> Com
     out = scratch_path(spark, "compact")
     write_files(shards, f"{out}/files")
     compactor = Compactor(spark, out, **options)
-    fs, path = hadoop_path(spark, f"{out}/files")
-    if fs.exists(path):
-        compactor.run(compactor.folder_source(f"{out}/files", F.regexp_extract("_metadata.file_name", "^(-?[0-9]+)[.]", 1).try_cast("bigint")))
-        compactor.consolidate()
-        delete_path(spark, f"{out}/files")
+    compactor.run(f"{out}/files", FILE_ID)
+    compactor.consolidate()
+    delete_path(spark, f"{out}/files")
     return compactor
 
 
