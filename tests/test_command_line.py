@@ -84,7 +84,7 @@ def test_malformed_shard_is_not_taken_in(spark, tmp_path):
     stream.run(str(folder))
     (folder / "1.info").write_text(mended.replace("DA:2,3", "DA:2,x"))
     for _ in range(2):
-        with pytest.raises(Exception, match="1.info:3: invalid DA"):
+        with pytest.raises(Exception, match="1.info:3: bad DA"):
             stream.run(str(folder))
         assert {r.path for r in stream.merged().collect()} == {"/a.c"}
     (folder / "1.info").write_text(mended)

@@ -137,8 +137,8 @@ def ordered_lines(merged: DataFrame, summaries: DataFrame) -> DataFrame:
 def diagnostics(records: DataFrame, merged: DataFrame, options: Options) -> DataFrame:
     """Warnings: joined boundaries and (on demand) unknown records by place, differing checksums and expressions by merged key."""
     kind, place = F.col("kind"), F.concat_ws(":", "path", F.col("a").cast("string"))
-    notes = records.filter(F.col("note").isNotNull() & (F.lit(options.warn_unknown) | ~F.col("note").startswith("preserved"))).select("input_id", "origin_line", F.col("note").alias("message"))
-    text = F.when(kind == DA, F.concat(F.lit("checksum mismatch for "), place)).otherwise(F.concat(F.lit("MC/DC expression mismatch for "), place, F.lit(" group "), F.col("b").cast("string"), F.lit(" index "), F.col("c").cast("string")))
+    notes = records.filter(F.col("note").isNotNull() & (F.lit(options.warn_unknown) | ~F.col("note").startswith("kept"))).select("input_id", "origin_line", F.col("note").alias("message"))
+    text = F.when(kind == DA, F.concat(F.lit("differing checksums at "), place)).otherwise(F.concat(F.lit("differing expressions at "), place, F.lit(" group "), F.col("b").cast("string"), F.lit(" index "), F.col("c").cast("string")))
     differing = merged.filter(kind.isin(DA, MCDC) & F.col("conflict")).select(F.lit(None).cast("bigint").alias("input_id"), F.lit(None).cast("bigint").alias("origin_line"), text.alias("message"))
     return notes.unionByName(differing)
 
@@ -187,7 +187,7 @@ class Merge:
         if first:
             raise TraceError(first.error, first.input_id, first.origin_line)
         if self.options.strict_checksum and not self.merged.filter((F.col("kind") == DA) & F.col("conflict")).isEmpty():
-            raise TraceError("checksum mismatch")
+            raise TraceError("differing checksums")
 
 
 def plan_merge(spark: SparkSession, inputs: list[str], options: Options = Options(), **reader: int) -> Merge:

@@ -105,7 +105,7 @@ class Section:
         index, count, name = (*fields.split(",", 2), None, None)[:3]
         at, hits = number(index), number(count)
         if name is None or self.current is None or self.current[0] != at:
-            raise Malformed("invalid FNA record or missing matching FNL")
+            raise Malformed("FNA that doesn't follow its FNL")
         _, start, end = self.current
         return (GROUP, start, end, at, 0, "", "", NEW), (FN, start, end, at, hits, name, "", NEW)
 
@@ -124,7 +124,7 @@ class Section:
         return ((FNDA, 0, 0, 0, number(count), name, name, 0),)
 
     def brda(self, fields: str) -> tuple:
-        line, block, rest = (*fields.split(",", 2), "")[:3]
+        line, block, rest = (*fields.split(",", 2), "", "")[:3]
         branch, comma, count = rest.rpartition(",")
         if not comma:
             raise Malformed
@@ -163,7 +163,7 @@ def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions:
         at, pos = pos, pos + len(raw) + 1
         error = None
         if len(raw) > MAX_LINE + (raw[-1:] == b"\r"):
-            yield (input_id, at, None, *blank, "line exceeds 1 MiB", None)
+            yield (input_id, at, None, *blank, "a line of more than 1 MiB", None)
             return
         if raw[-1:] == b"\r":
             raw = raw[:-1]
@@ -174,17 +174,17 @@ def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions:
         except UnicodeDecodeError:
             line = "\0"
         if "\0" in line:
-            yield (input_id, at, None, *blank, "binary or invalid UTF-8 data", None)
+            yield (input_id, at, None, *blank, "a line that isn't UTF-8 text", None)
             return
         tag, colon, payload = line.partition(":")
         if line == "end_of_record":
             if not inside:
-                yield (input_id, at, None, *blank, "end_of_record without SF", None)
+                yield (input_id, at, None, *blank, "end_of_record with no open source", None)
                 return
             inside = False
             continue
         if inside and tag in ("end_of_recordSF", "end_of_recordKF") and colon:
-            yield (input_id, at, path, *blank, None, "recovered joined end_of_record boundary")
+            yield (input_id, at, path, *blank, None, "a section began on the line that ended the one before")
             inside, tag = False, tag[-2:]
         if tag in ("SF", "KF") and colon:
             if payload and payload not in cache:
@@ -192,7 +192,7 @@ def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions:
                 cache[payload] = (rewritten, bool(rewritten) and rules.selects(rewritten))
             path, keep = cache.get(payload, ("", False))
             if inside or not path:
-                yield (input_id, at, None, *blank, "SF inside an open section" if inside else "empty source path", None)
+                yield (input_id, at, None, *blank, "a source begins while another is still open" if inside else "a source without a path", None)
                 return
             inside, section.current = True, None
             if keep:
@@ -204,25 +204,25 @@ def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions:
             if tag == "TN" and colon and tn is None:
                 tn = payload
                 continue
-            yield (input_id, at, None, *blank, "more than one TN before SF" if tag == "TN" and colon else "record outside an SF section", None)
+            yield (input_id, at, None, *blank, "a second TN for the next source" if tag == "TN" and colon else "a record before a source", None)
             return
         parse = section.parsers.get(tag) if colon else None
         try:
             if parse is not None:
                 rows = parse(payload)
                 if keep and tag == "FNA" and rows and not rows[1][5]:
-                    raise Malformed("empty FNA function name")
+                    raise Malformed("FNA without a name")
             elif tag in SUMMARIES and colon:
                 number(payload)
                 continue
             elif not colon or not tag or tag == "TN":
-                raise Malformed("unrecognized record")
+                raise Malformed("no record of a section")
             else:
                 rows = ((EXT, 0, 0, 0, 0, line, "", 0),)
                 if keep and tag != "VER":
-                    yield (input_id, at, path, *blank, None, f"preserved unknown record {tag}")
+                    yield (input_id, at, path, *blank, None, f"kept an unknown record {tag}")
         except Malformed as e:
-            error = str(e) or f"invalid {'summary' if tag in SUMMARIES else tag} record"
+            error = str(e) or f"bad {tag} record"
         if error:
             yield (input_id, at, None, *blank, error, None)
             return

@@ -31,10 +31,10 @@ class Problem(Exception):
 
 def whole(text: str) -> int:
     if not text.isascii() or not text.isdigit():
-        raise Problem("format", "invalid numeric field")
+        raise Problem("format", "no whole number")
     text = text.lstrip("0") or "0"
     if len(text) > 20 or int(text) > U64_MAX:
-        raise Problem("count", "numeric field overflow")
+        raise Problem("count", "a number beyond 64 bits")
     return int(text)
 
 
@@ -44,9 +44,9 @@ def count_of(text: str) -> int:
         digits = digits.lstrip("0") or "0"
         return min(int(digits[:20]), I64_MAX) if len(digits) < 20 else I64_MAX
     if not _FLOAT.fullmatch(text) or abs(number := float(text)) == float("inf"):
-        raise Problem("format", "invalid coverage count")
+        raise Problem("format", "no count")
     if number < 0:
-        raise Problem("negative", "negative coverage count", zero=True)
+        raise Problem("negative", "a count below zero", zero=True)
     return min(int(number), I64_MAX)
 
 
@@ -58,7 +58,7 @@ def testcase_name(payload: str) -> str:
 
 def _positive(value: int, what: str, kind: str = "format") -> int:
     if not value:
-        raise Problem(kind, f"{what} must be positive")
+        raise Problem(kind, f"{what} of zero")
     return value
 
 
@@ -66,48 +66,48 @@ def _fields(tag: str, payload: str, keep_sums: bool, counted) -> dict:
     """The columns of one record; ``counted`` parses a count and may turn a negative one into 0."""
     if tag == "DA":
         parts = payload.split(",")
-        line = _positive(whole(parts[0]), "DA line")
+        line = _positive(whole(parts[0]), "a line")
         hits = counted(parts[1] if len(parts) > 1 else "")
         if len(parts) > 3 or (len(parts) == 3 and (not parts[2] or any(c.isspace() for c in parts[2]))):
-            raise Problem("format", "malformed DA record")
+            raise Problem("format", "bad DA record")
         return {"line": line, "hits": hits, "checksum": parts[2] if keep_sums and len(parts) == 3 else None}
     if tag == "FN":
         parts = payload.split(",", 2)
         if len(parts) < 2:
-            raise Problem("format", "malformed FN record")
+            raise Problem("format", "bad FN record")
         if len(parts) == 3 and parts[1].isascii() and parts[1].isdigit():
             return {"line": whole(parts[0]), "stop": whole(parts[1]), "name": parts[2]}
         return {"line": whole(parts[0]), "name": ",".join(parts[1:])}
     if tag == "FNDA":
         text, comma, name = payload.partition(",")
         if not comma:
-            raise Problem("format", "malformed FNDA record")
+            raise Problem("format", "bad FNDA record")
         # a negative count drops the row and leaves the declaration without hits
         return {"hits": count_of(text), "name": name}
     if tag == "FNL":
         parts = payload.split(",")
         if len(parts) not in (2, 3):
-            raise Problem("format", "malformed FNL record")
+            raise Problem("format", "bad FNL record")
         return {"idx": whole(parts[0]), "line": whole(parts[1]), "stop": whole(parts[2]) if len(parts) == 3 else None}
     if tag == "FNA":
         parts = payload.split(",", 2)
         if len(parts) < 3 or not parts[2]:
-            raise Problem("format", "malformed FNA record")
+            raise Problem("format", "bad FNA record")
         return {"idx": whole(parts[0]), "hits": counted(parts[1]), "name": parts[2]}
     if tag == "BRDA":
         parts = payload.split(",", 2)
         expression, comma, count = (parts[2] if len(parts) == 3 else "").rpartition(",")
         if not comma or not expression:
-            raise Problem("format", "malformed BRDA record")
-        line = _positive(whole(parts[0]), "branch line", "branch")
+            raise Problem("format", "bad BRDA record")
+        line = _positive(whole(parts[0]), "a branch line", "branch")
         kind = parts[1][:1] if parts[1][:1] in ("e", "f") else "v"
         rest = parts[1][kind != "v":]
         return {"line": line, "block": whole(rest.removeprefix("U")), "kind": kind, "unreachable": rest.startswith("U"), "hits": None if count == "-" else counted(count), "name": expression}
     parts = payload.split(",", 5)
     if len(parts) < 6 or parts[2] not in ("t", "f") or not parts[5]:
-        raise Problem("format", "malformed MCDC record")
-    line = _positive(whole(parts[0]), "MC/DC line")
-    return {"line": line, "block": _positive(whole(parts[1].removeprefix("U")), "MC/DC group size"), "kind": parts[2], "unreachable": parts[1].startswith("U"), "hits": counted(parts[3]), "idx": whole(parts[4]), "name": parts[5]}
+        raise Problem("format", "bad MCDC record")
+    line = _positive(whole(parts[0]), "a condition line")
+    return {"line": line, "block": _positive(whole(parts[1].removeprefix("U")), "a condition group"), "kind": parts[2], "unreachable": parts[1].startswith("U"), "hits": counted(parts[3]), "idx": whole(parts[4]), "name": parts[5]}
 
 
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
@@ -124,32 +124,32 @@ def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[st
             return at | {"problem": kind, "message": message}
 
         if len(raw) > MAX_LINE + 1:
-            yield problem("format", "line exceeds 1 MiB")
+            yield problem("format", "a line of more than 1 MiB")
             continue
         try:
             line = raw.decode("utf-8").rstrip(" \t\n\x0b\x0c\r")
         except UnicodeDecodeError:
-            yield problem("format", "invalid UTF-8 record")
+            yield problem("format", "a line that isn't UTF-8 text")
             continue
         if "\0" in line:
-            yield problem("format", "NUL byte in record")
+            yield problem("format", "a NUL byte")
             continue
         if not line or line.startswith("#"):
             continue
         tag, colon, payload = line.partition(":")
         if tag == "TN" and colon:
             if inside:
-                yield problem("format", "TN inside a section")
+                yield problem("format", "a test name while a source is open")
             else:
                 testcase = testcase_name(payload)
             continue
         if tag in ("SF", "KF") and colon:
             if inside:
-                yield problem("format", "SF inside an open section")
+                yield problem("format", "a source begins while another is still open")
             inside, section, source = True, section + 1, None
             current = "" if forget else testcase
             if not payload:
-                yield problem("format", "empty file name")
+                yield problem("format", "a source without a path")
                 continue
             rewritten = rules.rewrite(payload)
             if rules.selects(rewritten):
@@ -158,11 +158,11 @@ def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[st
             continue
         if line.startswith("end_of_record"):
             if not inside:
-                yield problem("format", "end_of_record outside a section")
+                yield problem("format", "end_of_record with no open source")
             inside, source = False, None
             continue
         if not inside:
-            yield problem("format", "record outside a section")
+            yield problem("format", "a record before a source")
             continue
         if source is None or (tag in SUMMARIES and colon):
             continue
@@ -170,7 +170,7 @@ def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[st
         if tag == "VER" and colon:
             yield own | {"name": payload}
         elif tag not in FAMILIES or not colon:
-            yield problem("format", "unexpected record inside a section")
+            yield problem("format", "no record of a section")
         elif tag in families:
             negative = []
 
