@@ -78,11 +78,11 @@ def test_counts_of_any_length(spark, tmp_path):
 
     texts = list(COUNTS)
     spark.createDataFrame([(i, f"1,1,0,v,0,{t},x") for i, t in enumerate(texts)] + [(98, "1,2"), (99, None)], "row_id bigint, raw string").coalesce(1).write.parquet(f"{tmp_path}/branch_rows.parquet")
-    got = {r.row_id: (r.hits, r.value) for r in coverage.QUERIES["parse_count_all"](spark, str(tmp_path)).collect()}
+    got = {r.row_id: (r.hits, r.value) for r in coverage.QUERIES["parse_count"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(COUNTS.items()))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW branch_rows AS SELECT * FROM '{tmp_path}/branch_rows.parquet/*.parquet'")
-    assert {r[0]: r[1:] for r in con.execute(coverage.ORACLE["parse_count_all"]).fetchall()} == got
+    assert {r[0]: r[1:] for r in con.execute(coverage.ORACLE["parse_count"]).fetchall()} == got
 
 
 def test_round_trip_counts_every_kind(spark, tmp_path):
@@ -90,12 +90,12 @@ def test_round_trip_counts_every_kind(spark, tmp_path):
 
     section = "SF:/a.c\nFN:1,f\nFNDA:2,f\nBRDA:1,0,x == 1,-\nBRDA:1,0,1,3\nDA:1,2\nend_of_record\n"
     spark.createDataFrame([(1, "TN:t\n" + section), (2, "TN:t\n" + section.replace("DA:1,2", "DA:1,2\nDA:4,0")), (3, "TN:u\n" + section.replace("/a.c", "/b.c").replace(",-", ",5"))], "input_id bigint, body string").coalesce(1).write.parquet(f"{tmp_path}/shards.parquet")
-    got = {(r.side, r.tag): (r.n, r.hits) for r in coverage.QUERIES["lcov_roundtrip_all"](spark, str(tmp_path)).collect()}
+    got = {(r.side, r.tag): (r.n, r.hits) for r in coverage.QUERIES["lcov_roundtrip"](spark, str(tmp_path)).collect()}
     assert got == {("shards", t): (n, h) for t, n, h in (("TN", 3, None), ("SF", 3, None), ("group", 3, None), ("FN", 3, None), ("FNDA", 3, "6"), ("BRDA", 4, "14"), ("BRDA-", 2, None), ("DA", 4, "6"))} | {
         ("rendered", t): (n, h) for t, n, h in (("TN", 2, None), ("SF", 2, None), ("group", 2, None), ("FN", 2, None), ("FNDA", 2, "6"), ("BRDA", 3, "14"), ("BRDA-", 1, None), ("DA", 3, "6"))}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW shards AS SELECT * FROM '{tmp_path}/shards.parquet/*.parquet'")
-    assert {r[:2]: r[2:] for r in con.execute(coverage.ORACLE["lcov_roundtrip_all"]).fetchall()} == got
+    assert {r[:2]: r[2:] for r in con.execute(coverage.ORACLE["lcov_roundtrip"]).fetchall()} == got
 
 
 def test_text_operators_are_optional():

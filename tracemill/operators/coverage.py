@@ -9,11 +9,12 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.numbers import I64_MAX, U64_MAX, saturated_sum
+from tracemill.functions.numbers import I64_MAX, NUMBER, U64_MAX, saturated_sum
 
 
 # -- aggregations ----------------------------------------------------------------------------------------------------
@@ -48,9 +49,10 @@ def first_by(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str
     return known.groupBy(*keys).agg(best.alias("_first"), (F.min(value) != F.max(value)).alias("conflict")).select(*keys, F.col(f"_first.{value}").alias(value), "conflict")
 
 
-def group_hits(df: DataFrame, keys: Sequence[str], hits: str, end: str) -> DataFrame:
-    """Per function group: whether any alias was hit, the largest end, whether known ends differ."""
-    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(hits) > 0), F.lit(False)).alias("hit"), F.max(end).alias(end), F.coalesce(F.min(end) != F.max(end), F.lit(False)).alias("conflict"))
+def group_hits(df: DataFrame, keys: Sequence[str], hits: str, end: str, *every: str) -> DataFrame:
+    """Per function group: whether any alias was hit, the largest end, whether known ends differ, and for ``every`` flag whether all aliases have it."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(hits) > 0), F.lit(False)).alias("hit"), F.max(end).alias(end), F.coalesce(F.min(end) != F.max(end), F.lit(False)).alias("conflict"),
+                                 *[F.coalesce(F.bool_and(c), F.lit(False)).alias(c) for c in every])
 
 
 def eligibility(lines: DataFrame, keys: Sequence[str], testcase: str) -> DataFrame:
@@ -67,23 +69,47 @@ def rollup_summary(points: DataFrame, key: str, count: str) -> DataFrame:
 
 # -- windows ---------------------------------------------------------------------------------------------------------
 
-def latest_declaration(events: DataFrame, group: Sequence[str], order: str, declared: str) -> DataFrame:
-    """Each row with the last non-null ``declared`` at or before it in its group, as ``current`` (as-of)."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("current", F.last(declared, ignorenulls=True).over(w))
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal keys of two aliased tables, nulls equal."""
+    return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
+def first_declaration(events: DataFrame, group: Sequence[str], order: str, declared: str) -> DataFrame:
+    """Each row with the first non-null ``declared`` of its group if that is at or before it, as ``current``, and its place as ``declared_at``.
+
+    Null group values are equal; a null order comes before all others. One grouping and a join, so a group with most rows isn't ordered in one task.
+    """
+    first = events.filter(F.col(declared).isNotNull()).groupBy(*group).agg(F.min(F.struct(F.col(order).alias("at"), F.col(declared).alias("value"))).alias("_first"))
+    joined = events.alias("_e").join(first.alias("_d"), _same("_e", "_d", group), "left")
+    reached = F.col("_d._first").isNotNull() & (F.col("_d._first.at").isNull() | F.coalesce(F.col("_d._first.at") <= F.col(f"_e.{order}"), F.lit(False)))
+    return joined.select("_e.*", F.when(reached, F.col("_d._first.value")).alias("current"), F.when(reached, F.col("_d._first.at")).alias("declared_at"))
+
+
+#: Lines whose hits are ordered together.
+SPAN = 1024
 
 
 def first_hit_in_range(lines: DataFrame, ranges: DataFrame, keys: Sequence[str], line: str, count: str, start: str, end: str) -> DataFrame:
     """Each range with the first line in [start, end] that was hit, or null.
 
-    Lines and range starts share one ordered window, read from its end: no range join. ``lines`` may repeat; ranges keep their columns.
+    No range join: distinct hit lines and range starts share ordered windows of SPAN lines; a range whose span holds no later hit takes
+    the first one of the next span that has any. No task orders all lines of a source. ``lines`` may repeat; ranges keep their columns; null keys are equal.
     """
-    hit = lines.filter(F.col(count) > 0).select(*keys, F.col(line).alias("_at"), F.lit(None).cast(_struct(ranges)).alias("_range"), F.col(line).alias("_hit"))
-    asked = ranges.select(*keys, F.col(start).alias("_at"), F.struct(*ranges.columns).alias("_range"), F.lit(None).cast(lines.schema[line].dataType).alias("_hit"))
+    span = lambda c: F.floor(F.col(c) / SPAN).alias("_span")
+    kind = lines.schema[line].dataType
+    distinct = lines.filter(F.col(count) > 0).select(*keys, F.col(line).alias("_at")).distinct()
+    hit = distinct.select(*keys, span("_at"), "_at", F.lit(None).cast(ranges.schema.simpleString()).alias("_range"), F.col("_at").alias("_hit"))
+    asked = ranges.select(*keys, F.floor(F.col(start) / SPAN).alias("_span"), F.col(start).alias("_at"), F.struct(*ranges.columns).alias("_range"), F.lit(None).cast(kind).alias("_hit"))
     # ranges come first among rows at the same place, so a hit on the first line counts
-    w = Window.partitionBy(*keys).orderBy("_at", F.col("_hit").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    nearest = hit.unionByName(asked).withColumn("_next", F.first("_hit", ignorenulls=True).over(w)).filter("_range IS NOT NULL")
-    return nearest.select("_range.*", F.when(F.col("_next") <= F.col(f"_range.{end}"), F.col("_next")).alias("first_hit"))
+    w = Window.partitionBy(*keys, "_span").orderBy("_at", F.col("_hit").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = hit.unionByName(asked)
+    nearest = both.withColumn("_next", F.first("_hit", ignorenulls=True).over(w)).filter("_range IS NOT NULL")
+    spans = both.groupBy(*keys, "_span").agg(F.min("_hit").alias("_hit"))
+    after = Window.partitionBy(*keys).orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
+    later = spans.withColumn("_later", F.first("_hit", ignorenulls=True).over(after))
+    joined = nearest.alias("_n").join(later.alias("_l"), _same("_n", "_l", [*keys, "_span"]), "left")
+    first = F.coalesce("_n._next", "_l._later")
+    return joined.select("_n._range.*", F.when(first <= F.col(f"_n._range.{end}"), first).alias("first_hit"))
 
 
 def derived_ends(starts: DataFrame, lines: DataFrame, keys: Sequence[str], start: str, line: str) -> DataFrame:
@@ -96,10 +122,6 @@ def derived_ends(starts: DataFrame, lines: DataFrame, keys: Sequence[str], start
     return ends.withColumn("next_start", F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
 
 
-def _struct(df: DataFrame) -> str:
-    return df.schema.simpleString()
-
-
 def block_signatures(branches: DataFrame, block: Sequence[str], order: str, kind: str) -> DataFrame:
     """Per block its kinds in order of appearance, ``v`` written as ``b``, and how many there are."""
     letters = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.when(F.col(kind) == "v", "b").otherwise(F.col(kind)).alias("k"))))
@@ -117,20 +139,38 @@ def occurrences(blocks: DataFrame, within: Sequence[str], block: str) -> DataFra
     return blocks.withColumn("occurrence", F.dense_rank().over(Window.partitionBy(*within, "signature").orderBy(block)) - 1)
 
 
+def placed_branches(rows: DataFrame, origin: Sequence[str], point: Sequence[str], block: str, order: str, kind: str, *kept: str) -> DataFrame:
+    """Branches with their position in their block, the block's signature and its occurrence among blocks with the same one.
+
+    The result has point, origin, order, kind, ``kept`` and those three. Rows at the same place in a block are ordered by kind and ``kept``.
+    One exchange on point and origin serves the grouping into blocks and the window over them.
+    """
+    near = rows.repartition(*point, *origin)
+    own = F.array_sort(F.collect_list(F.struct(order, kind, *kept))).alias("_rows")
+    letter = lambda x: F.when(x[kind] == "v", "b").otherwise(x[kind])
+    blocks = near.groupBy(*point, *origin, block).agg(own).withColumn("signature", F.array_join(F.transform("_rows", letter), ""))
+    ranked = occurrences(blocks, [*point, *origin], block)
+    return ranked.select(*point, *origin, "signature", "occurrence", F.posexplode("_rows").alias("position", "_row")).select(*point, *origin, "signature", "occurrence", "position", "_row.*")
+
+
+def folded_branches(placed: DataFrame, origin: Sequence[str], point: Sequence[str], order: str, hits: str, kept: Sequence[str] = (), flags: Sequence[str] = ()) -> DataFrame:
+    """Placed branches merged by signature, occurrence and position: point, block, position, hits, flags (of any) and ``kept`` (of the first producer).
+
+    Blocks are numbered from 0 per point by signature (length, then bytes) and occurrence; hits are a null-ignoring saturating sum.
+    """
+    folded = placed.groupBy(*point, "signature", "occurrence", "position").agg(
+        saturated_sum(F.col(hits), I64_MAX).alias(hits), *[F.bool_or(c).alias(c) for c in flags], F.min(F.struct(*origin, order, *kept)).alias("_first"))
+    rank = F.dense_rank().over(Window.partitionBy(*point).orderBy(F.length("signature"), "signature", "occurrence")) - 1
+    return folded.select(*point, rank.alias("block"), "position", hits, *flags, *[F.col(f"_first.{c}").alias(c) for c in kept])
+
+
 def canonical_branches(rows: DataFrame, origin: Sequence[str], point: Sequence[str], block: str, order: str, kind: str, hits: str, expr: str) -> DataFrame:
     """Branches merged by block signature, occurrence and position instead of block id.
 
-    ``origin`` names what produced a block (input, section), ``point`` the merged place (source, testcase, line). Blocks are numbered
-    from 0 per place by signature and occurrence; hits are a null-ignoring sum, the expression is that of the first producer.
-    Rows at the same place in a block are ordered by kind, expression and hits.
+    ``origin`` names what produced a block (input, section), ``point`` the merged place (source, testcase, line). Rows at the same
+    place in a block are ordered by kind, expression and hits.
     """
-    key = [*point, *origin, block]
-    signatures = block_signatures(rows, key, order, kind)
-    ranked = occurrences(signatures, [*point, *origin], block)
-    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(order, kind, expr, F.asc_nulls_first(hits))) - 1).join(ranked, key)
-    folded = placed.groupBy(*point, "signature", "occurrence", "position").agg(saturated_sum(F.col(hits), I64_MAX).alias(hits), F.min(F.struct(*origin, order, expr)).alias("_first"))
-    rank = F.dense_rank().over(Window.partitionBy(*point).orderBy(F.length("signature"), "signature", "occurrence")) - 1
-    return folded.select(*point, rank.alias("block"), "position", hits, F.col(f"_first.{expr}").alias(expr))
+    return folded_branches(placed_branches(rows, origin, point, block, order, kind, expr, hits), origin, point, order, hits, [expr])
 
 
 def renumber(df: DataFrame, within: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
@@ -149,10 +189,12 @@ def lacking(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_anti")
 
 
-def complete_senses(conditions: DataFrame, key: Sequence[str], sense: str, hits: str) -> DataFrame:
-    """Every condition with both senses; a missing one has no hits. Null senses are neither and go."""
-    merged = conditions.filter(F.col(sense).isNotNull()).groupBy(*key).agg(*[saturated_sum(F.when(F.col(sense) == s, F.col(hits)), I64_MAX).alias(f"_{s}") for s in ("t", "f")])
-    both = F.array(*[F.struct(F.lit(s).alias(sense), F.coalesce(f"_{s}", F.lit(0)).alias(hits), F.col(f"_{s}").isNull().alias("added")) for s in ("t", "f")])
+def complete_senses(conditions: DataFrame, key: Sequence[str], sense: str, hits: str, *flags: str) -> DataFrame:
+    """Every condition with both senses; a missing one has no hits and no flags. Null senses are neither and go."""
+    of = lambda s, c: F.when(F.col(sense) == s, F.col(c))
+    sides = [x for s in "tf" for x in (saturated_sum(of(s, hits), I64_MAX).alias(f"_{s}"), F.count_if(F.col(sense) == s).alias(f"_n{s}"), *[F.max(of(s, c)).alias(f"_{s}{c}") for c in flags])]
+    merged = conditions.filter(F.col(sense).isNotNull()).groupBy(*key).agg(*sides)
+    both = F.array(*[F.struct(F.lit(s).alias(sense), F.coalesce(f"_{s}", F.lit(0).cast(NUMBER)).alias(hits), (F.col(f"_n{s}") == 0).alias("added"), *[F.coalesce(f"_{s}{c}", F.lit(False)).alias(c) for c in flags]) for s in "tf"])
     return merged.select(*key, F.explode(both).alias("_b")).select(*key, "_b.*")
 
 
@@ -184,9 +226,9 @@ def branch_line_state(lines: DataFrame, branches: DataFrame, key: Sequence[str],
     return joined.select(*key, "hit_points", state.alias("state"), F.when(F.col("_lines").isNull(), F.col("hit_points")).alias("repaired"))
 
 
-def function_line_state(checked: DataFrame, hits: str) -> DataFrame:
-    """Ranges with ``first_hit``: whether function and lines agree on having been hit."""
-    return checked.withColumn("agrees", (F.col(hits) > 0) == F.col("first_hit").isNotNull())
+def function_line_state(checked: DataFrame, hit: str) -> DataFrame:
+    """Ranges with ``first_hit``: whether the function's flag ``hit`` and its lines agree on having been hit."""
+    return checked.withColumn("agrees", F.col(hit) == F.col("first_hit").isNotNull())
 
 
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

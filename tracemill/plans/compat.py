@@ -117,10 +117,7 @@ class CompatMerge:
         if note:
             self._note(first, F.col("names") > 1, "mismatch", "expressions of a condition differ")
         same = rows.join(first, point).filter(F.col("name") == F.col("first"))
-        sides = [F.max(F.when(F.col("kind") == s, F.col("unreachable"))).alias(f"u_{s}") for s in "tf"] + [saturated_sum(F.when(F.col("kind") == s, F.col("hits")), I64_MAX).alias(f"h_{s}") for s in "tf"]
-        merged = same.groupBy(*point).agg(F.first("first").alias("name"), *sides)
-        both = F.array(*[F.struct(F.lit(s).alias("kind"), F.coalesce(f"h_{s}", F.lit(0).cast(NUMBER)).alias("hits"), F.coalesce(f"u_{s}", F.lit(False)).alias("unreachable")) for s in "tf"])
-        return merged.select(*point, "name", F.explode(both).alias("b")).select(*point, "name", "b.*")
+        return op.complete_senses(same, [*point, "name"], "kind", "hits", "unreachable")
 
     def _conditions(self) -> None:
         if not self.options.mcdc:
@@ -129,7 +126,8 @@ class CompatMerge:
         rows = op.having(self._family("MCDC"), self.alive, ["source", "input_id"])
         public = op.having(rows, self.has_da, ["source", "input_id", "testcase"])
         self.master_conditions = materialize(self._fold_conditions(rows, ["source", "input_id"], True), "conditions")
-        self.conditions = self._fold_conditions(public, ["source", "testcase"], True).withColumn("idx", F.dense_rank().over(Window.partitionBy("source", "testcase", "line", "block").orderBy("idx")) - 1)
+        self.conditions = self._fold_conditions(public, ["source", "testcase"], True)
+        self.conditions = op.renumber(self.conditions, ["source", "testcase", "line", "block"], ["idx"], "idx")
         key = ["source", "input_id", "line"]
         reachable = self.master_conditions.withColumn("hits", F.when(~F.col("unreachable"), F.col("hits")))
         lines = op.synthesized_lines(reachable, self.da, key, "hits").withColumn("count", F.col("count").cast(NUMBER))
@@ -143,12 +141,10 @@ class CompatMerge:
         family = F.when(F.col("family").isin("FN", "FNDA"), "old").otherwise("new")
         symbol = F.when(family == "old", F.col("name")).otherwise(F.col("idx").cast("string"))
         rows = self._family("FN", "FNDA", "FNL", "FNA").withColumn("declares", F.col("family").isin("FN", "FNL")).withColumn("old", family == "old").withColumn("symbol", symbol)
-        w = Window.partitionBy("source", "testcase", "input_id", "section", "old", "symbol").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-        place = F.when(F.col("declares"), F.struct("line", "stop"))
-        linked = rows.withColumn("place", F.first(place, ignorenulls=True).over(w))
-        again = F.col("declares") & ~F.col("place").eqNullSafe(F.struct("line", "stop"))
-        second = F.col("declares") & ~F.col("old") & (F.count(place).over(w) > 1)
-        linked = materialize(linked.withColumn("again", again).withColumn("second", second), "linked")
+        rows = rows.withColumn("declared", F.when(F.col("declares"), F.struct("line", "stop")))
+        linked = op.first_declaration(rows, ["source", "testcase", "input_id", "section", "old", "symbol"], "ordinal", "declared").withColumnRenamed("current", "place")
+        later = F.col("declares") & (F.col("ordinal") > F.col("declared_at"))
+        linked = materialize(linked.withColumn("again", later & ~F.col("place").eqNullSafe(F.struct("line", "stop"))).withColumn("second", later & ~F.col("old")), "linked")
         self._note(linked, ~F.col("declares") & F.col("place").isNull(), "mismatch", "hits of a function that isn't declared")
         self._note(linked, F.col("second"), "format", "a function index is declared twice")
         self._note(linked, F.col("again") & F.col("old"), "inconsistent", "a function is declared again elsewhere")
@@ -172,15 +168,16 @@ class CompatMerge:
         self._note(own, F.lit(o.consistency) & (F.col("last_line") < F.col("line")), "inconsistent", "a function starts after the last line")
         if derive:
             self._note(own, F.col("stop").isNull() & _is("source", ENDS_DERIVED), "inconsistent", "the end of a function can't be derived")
-        checked = materialize(op.first_hit_in_range(lines, own.filter(usable), owner, "line", "count", "first", "stop"), "checked")
-        wrong = F.col("hit") != F.col("first_hit").isNotNull()
+        found = op.first_hit_in_range(lines, own.filter(usable), owner, "line", "count", "first", "stop")
+        checked = materialize(op.function_line_state(found, "hit"), "checked")
+        wrong = ~F.col("agrees")
         self._note(checked, F.lit(o.consistency) & wrong, "inconsistent", "a function and its lines disagree on having been hit")
         at = lines.select(*owner, F.col("line").alias("first_hit"), F.col("count").alias("addition"))
         added = checked.filter(F.lit(o.consistency) & wrong & ~F.col("hit")).join(at, [*owner, "first_hit"]).select(*owner, "line", "addition")
         return own.select(*owner, "line", "stop").join(added, [*owner, "line"], "left").withColumn("addition", F.coalesce("addition", F.lit(0).cast(NUMBER)))
 
     def _grouped(self, rows: DataFrame, owner: list[str]) -> DataFrame:
-        return rows.groupBy(*owner, "line").agg(F.bool_or(F.col("hits") > 0).alias("hit"), F.bool_and(_lambda()).alias("lambda"), F.max("stop").alias("stop"), (F.min("stop") != F.max("stop")).alias("conflict"))
+        return op.group_hits(rows.withColumn("lambda", _lambda()), [*owner, "line"], "hits", "stop", "lambda")
 
     def _functions_by_input(self) -> None:
         linked = op.having(self._linked(), self.alive, ["source", "input_id"])
@@ -218,7 +215,7 @@ class CompatMerge:
             ends = op.derived_ends(final.select("source", "testcase", "line"), self.da, ["source", "testcase"], "line", "line").select("source", "testcase", "line", "derived_end")
             final = final.join(ends, ["source", "testcase", "line"], "left").withColumn("stop", F.coalesce("stop", F.when(_is("source", ENDS_DERIVED), F.col("derived_end")))).drop("derived_end")
         alias = F.min("name").over(Window.partitionBy("source", "testcase", "line"))
-        final = final.withColumn("alias", alias).withColumn("idx", F.dense_rank().over(Window.partitionBy("source", "testcase").orderBy("line", "alias", F.asc_nulls_first("stop"))) - 1)
+        final = op.renumber(final.withColumn("alias", alias), ["source", "testcase"], ["line", "alias", "stop"], "idx")
         self.final_functions = materialize(final, "final-functions")
 
     # -- branches ----------------------------------------------------------------------------------------------------
@@ -229,15 +226,15 @@ class CompatMerge:
             return
         o, origin = self.options, ["input_id", "section"]
         rows = op.having(self._family("BRDA"), self.alive, ["source", "input_id"]).select("source", "testcase", *origin, "ordinal", "line", "block", "kind", "unreachable", "hits", "name")
-        block = ["source", "testcase", *origin, "line", "block"]
-        ranked = op.occurrences(op.block_signatures(rows, block, "ordinal", "kind"), ["source", "testcase", *origin, "line"], "block")
-        placed = materialize(rows.withColumn("position", F.row_number().over(Window.partitionBy(*block).orderBy("ordinal")) - 1).join(ranked, block), "branches")
+        point = ["source", "testcase", "line"]
+        placed = materialize(op.placed_branches(rows, origin, point, "block", "ordinal", "kind", "unreachable", "hits", "name"), "branches")
         own = ["source", "input_id", "line"]
         present = op.merge_counts(_union(self.da.select(*own, "count"), self.condition_lines.select(*own, "count")), own, limit=I64_MAX)
         points = placed.groupBy(*own, "signature", "occurrence", "position").agg(F.max("hits").alias("hits"))
         state = materialize(op.branch_line_state(present, points, own, "count", "hits"), "branch-lines")
         testcases = placed.groupBy(*own).agg(F.count_distinct("testcase").alias("testcases"), F.min("testcase").alias("testcase"))
         self._branch_notes(state)
+        self.branch_states = state
         repaired = state.filter((F.col("state") == "no line") & F.lit(o.consistency)).join(testcases, own).select(*own, "testcase", F.col("repaired").cast(NUMBER).alias("count"), (F.col("testcases") == 1).alias("serialized"))
         repaired = materialize(repaired, "repaired")
         self.unserialized_lines = repaired.filter("NOT serialized")
@@ -246,10 +243,7 @@ class CompatMerge:
         merged_points = placed.groupBy("source", "line", "signature", "occurrence", "position").agg(F.max("hits").alias("hits"))
         self._branch_notes(op.branch_line_state(merged_lines, merged_points, ["source", "line"], "count", "hits"))
         public = op.having(placed, self.has_da, ["source", "input_id", "testcase"])
-        folded = public.groupBy("source", "testcase", "line", "signature", "occurrence", "position").agg(
-            _sum("hits").alias("hits"), F.bool_or("unreachable").alias("unreachable"), F.min(F.struct("input_id", "section", "ordinal", "kind", "name")).alias("first"))
-        number = F.dense_rank().over(Window.partitionBy("source", "testcase", "line").orderBy(F.length("signature"), "signature", "occurrence")) - 1
-        self.branches = folded.select("source", "testcase", "line", number.alias("block"), "position", "hits", "unreachable", F.col("first.kind").alias("kind"), F.col("first.name").alias("name"))
+        self.branches = op.folded_branches(public, origin, point, "ordinal", "hits", ["kind", "name"], ["unreachable"])
         self.master_branches = placed
 
     def _branch_notes(self, state: DataFrame) -> None:

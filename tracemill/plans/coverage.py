@@ -6,13 +6,17 @@ parsed records already and goes through the same merge that reads tracefiles.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import numbers, paths
 from tracemill.operators import coverage as op
 from tracemill.plans import native
+from tracemill.plans.compat import CompatMerge, Options
 from tracemill.session import materialize, table
+from tracemill.sources.lcov import records_from_table
 
 LINES = """SELECT concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 3 AS BIGINT) AS input_id,
  l_orderkey AS section, CAST(l_linenumber + 7 * (l_orderkey % 9) AS BIGINT) AS line, CASE WHEN l_discount < 0.03 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS count,
@@ -187,28 +191,14 @@ ORACLE |= {
 }
 
 
-def lcov_roundtrip(spark, d):
-    """Records parsed from the tracefiles in ``shards``, by kind."""
-    from tracemill.sources.lcov import records_from_table
-
-    return records_from_table(table(spark, d, "shards")).filter("kind = 8 OR kind = 5").groupBy(F.when(F.col("kind") == 8, "DA").otherwise("FNDA").alias("tag")).agg(F.count("*").alias("n"), F.sum("value").cast("bigint").alias("hits"))
-
-
-QUERIES["lcov_roundtrip"] = lcov_roundtrip
-ORACLE["lcov_roundtrip"] = r"""WITH l AS (SELECT unnest(string_split(replace(body, chr(13), ''), chr(10))) AS x FROM shards)
-SELECT string_split(x, ':')[1] AS tag, count(*) AS n, sum(CAST(CASE WHEN x[1:3] = 'DA:' THEN string_split(x, ',')[2] ELSE string_split(x[6:], ',')[1] END AS BIGINT))::BIGINT AS hits FROM l WHERE x[1:3] = 'DA:' OR x[1:5] = 'FNDA:' GROUP BY 1"""
-
-
 _TAGS = {1: "TN", 2: "SF", 3: "group", 4: "FN", 5: "FNDA", 6: "BRDA", 7: "MCDC", 8: "DA", 9: "other"}
 
 
-def lcov_roundtrip_all(spark, d):
+def lcov_roundtrip(spark, d):
     """Records of the tracefiles in ``shards``, and those parsed again from the lines of their merge, by kind.
 
     ``n`` counts named TN rows only; ``hits`` is null for kinds without a count. BRDA rows with ``-`` and malformed lines are kinds of their own.
     """
-    from tracemill.sources.lcov import records_from_table
-
     records = materialize(records_from_table(table(spark, d, "shards")), "roundtrip")
     merged = native.merge_records(records.filter("kind IS NOT NULL"))
     line = F.struct(*native.ORDER[1:], "line")
@@ -224,8 +214,8 @@ def lcov_roundtrip_all(spark, d):
     return counted.groupBy("side", tag.alias("tag")).agg(F.count("*").alias("n"), F.sum(hits).cast("string").alias("hits"))
 
 
-QUERIES["lcov_roundtrip_all"] = lcov_roundtrip_all
-ORACLE["lcov_roundtrip_all"] = r"""WITH l AS (SELECT input_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT input_id, string_split(replace(body, chr(13), ''), chr(10)) AS ls FROM shards)),
+QUERIES["lcov_roundtrip"] = lcov_roundtrip
+ORACLE["lcov_roundtrip"] = r"""WITH l AS (SELECT input_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT input_id, string_split(replace(body, chr(13), ''), chr(10)) AS ls FROM shards)),
 w AS (SELECT x, string_split(x, ':')[1] AS tag, last_value(CASE WHEN x[1:3] IN ('SF:', 'KF:') THEN x[4:] END IGNORE NULLS) OVER f AS section, lead(x[4:]) OVER f AS coming FROM l WHERE x <> '' AND x[1] <> '#' WINDOW f AS (PARTITION BY input_id ORDER BY i)),
 r AS (SELECT section AS path, tag, CASE tag WHEN 'DA' THEN string_split(x[4:], ',')[1] WHEN 'FNDA' THEN regexp_replace(x[6:], '^[^,]*,', '') ELSE regexp_replace(x[6:], ',[^,]*$', '') END AS key,
   TRY_CAST(CASE tag WHEN 'DA' THEN string_split(x[4:], ',')[2] WHEN 'FNDA' THEN string_split(x[6:], ',')[1] ELSE regexp_extract(x, ',([^,]*)$', 1) END AS HUGEINT) AS value FROM w WHERE tag IN ('DA', 'FNDA', 'BRDA')
@@ -254,14 +244,17 @@ def path_glob(spark, d):
     return paths.apply_rules(_paths(spark, d), "path", paths.PathRules(includes=("*/hub/*_1.c", "*/hub/*_1?.c"), excludes=("*lab-[0-4]*",)))
 
 
-@query("SELECT kind::INTEGER AS kind, count(*) AS n FROM records WHERE kind NOT IN (3, 4, 5) AND path IS NOT NULL GROUP BY kind")
+@query(r"""SELECT CASE WHEN x[1:3] = 'KF:' THEN 'SF' ELSE string_split(x, ':')[1] END AS tag, count(*) AS n FROM (SELECT unnest(string_split(replace(body, chr(13), ''), chr(10))) AS x FROM shards)
+ WHERE regexp_matches(x, '^(DA|SF|KF):') GROUP BY 1""")
 def family_filter(spark, d):
-    return table(spark, d, "records").filter("kind NOT IN (3, 4, 5) AND path IS NOT NULL").groupBy(F.col("kind").cast("int").alias("kind")).agg(F.count("*").alias("n"))
+    """Records of ``shards`` read without functions and branches."""
+    records = records_from_table(table(spark, d, "shards"), functions=False, branches=False).filter("kind IS NOT NULL AND kind <> 1")
+    return records.groupBy(F.element_at(F.create_map(*[F.lit(x) for pair in _TAGS.items() for x in pair]), F.col("kind").cast("int")).alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, last_value(declared IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS current FROM sym")
+@query("""SELECT event_id, first_value(declared IGNORE NULLS) OVER w AS current FROM sym WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def asof_declaration(spark, d):
-    return op.latest_declaration(_sql(spark, d, SYMBOLS, "events"), ["user_id"], "event_id", "declared").select("event_id", "current")
+    return op.first_declaration(_sql(spark, d, SYMBOLS, "events"), ["user_id"], "event_id", "declared").select("event_id", "current")
 
 
 @query("SELECT f.source, f.start, f.stop, f.name, f.input_id, f.hits, (SELECT min(line) FROM cov_da l WHERE l.source = f.source AND l.count > 0 AND l.line BETWEEN f.start AND f.stop) AS first_hit FROM cov_fn f")
@@ -272,7 +265,7 @@ def range_first_hit(spark, d):
 @query("SELECT source, start, name, first_hit, (hits > 0) = (first_hit IS NOT NULL) AS agrees FROM (SELECT f.*, (SELECT min(line) FROM cov_da l WHERE l.source = f.source AND l.count > 0 AND l.line BETWEEN f.start AND f.stop) AS first_hit FROM cov_fn f)")
 def function_line_check(spark, d):
     checked = op.first_hit_in_range(lines(spark, d), functions(spark, d), ["source"], "line", "count", "start", "stop")
-    return op.function_line_state(checked, "hits").select("source", "start", "name", "first_hit", "agrees")
+    return op.function_line_state(checked.withColumn("hit", F.col("hits") > 0), "hit").select("source", "start", "name", "first_hit", "agrees")
 
 
 @query("""SELECT s.source, s.start, (SELECT max(line) FROM cov_da l WHERE l.source = s.source AND l.line >= s.start AND (s.next_start IS NULL OR l.line < s.next_start)) AS derived_end, next_start
@@ -403,19 +396,11 @@ def testcase_normalize(spark, d):
     return table(spark, d, "records").filter("tn IS NOT NULL").select("tn").distinct().select("tn", numbers.normalized_testcase(F.col("tn")).alias("clean"))
 
 
-@query(r"""SELECT row_id, hits, CASE WHEN regexp_full_match(hits, '[+]?[0-9]+') THEN least(CAST(ltrim(hits, '+') AS HUGEINT), 9223372036854775807)::BIGINT WHEN regexp_full_match(hits, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
- THEN CAST(greatest(trunc(CAST(hits AS DOUBLE)), 0) AS BIGINT) END AS value FROM (SELECT row_id, string_split(raw, ',')[6] AS hits FROM branch_rows) WHERE hits IS NOT NULL AND length(hits) BETWEEN 1 AND 17 AND NOT regexp_matches(hits, '[eE][+]?[0-9]{2,}')""")
-def parse_count(spark, d):
-    hits = F.get(F.split("raw", ","), F.lit(5)).alias("hits")
-    rows = table(spark, d, "branch_rows").select("row_id", hits).filter(F.col("hits").isNotNull() & F.length("hits").between(1, 17) & ~F.col("hits").rlike("[eE][+]?[0-9]{2,}"))
-    return rows.select("row_id", "hits", numbers.lenient_count(F.col("hits"))["value"].cast("bigint").alias("value"))
-
-
 @query(r"""SELECT row_id, hits, CASE WHEN regexp_full_match(hits, '[+]?[0-9]+') THEN CASE WHEN length(digits) > 19 THEN 9223372036854775807 ELSE least(CAST(digits AS HUGEINT), 9223372036854775807)::BIGINT END
  WHEN isfinite(number) THEN CASE WHEN number >= 9223372036854775808::DOUBLE THEN 9223372036854775807 ELSE CAST(greatest(trunc(number), 0) AS BIGINT) END END AS value
  FROM (SELECT row_id, hits, CASE WHEN regexp_full_match(hits, '[+]?[0-9]+') THEN regexp_replace(ltrim(hits, '+'), '^0+([0-9])', '\1') END AS digits,
   CASE WHEN regexp_full_match(hits, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(hits AS DOUBLE) END AS number FROM (SELECT row_id, string_split(raw, ',')[6] AS hits FROM branch_rows)) WHERE hits IS NOT NULL""")
-def parse_count_all(spark, d):
+def parse_count(spark, d):
     """The lenient count of every sixth field, of any length and exponent."""
     rows = table(spark, d, "branch_rows").select("row_id", F.get(F.split("raw", ","), F.lit(5)).alias("hits")).filter("hits IS NOT NULL")
     return rows.select("row_id", "hits", numbers.lenient_count(F.col("hits"))["value"].cast("bigint").alias("value"))
@@ -428,16 +413,12 @@ def order_check(spark, d):
 
 def compat_lines(spark, d):
     """Lines of the testcase-preserving merge of the tracefiles in ``shards``."""
-    from tracemill.plans.compat import CompatMerge, Options
-
     plan = CompatMerge(spark, table(spark, d, "shards"), Options(functions=False, keep_going=True))
     return plan.lines.select("source", "testcase", F.col("line").cast("bigint").alias("line"), F.col("count").cast("bigint").alias("count"))
 
 
 def compat_render(spark, d):
     """The whole testcase-preserving merge of ``shards``, as ordered lines."""
-    from tracemill.plans.compat import CompatMerge, Options
-
     return CompatMerge(spark, table(spark, d, "shards"), Options(branches=True, keep_going=True)).ordered()
 
 
@@ -450,3 +431,125 @@ l AS (SELECT regexp_extract(part, '^([^
 ]*)
 ', 1) AS source, unnest(string_split(part, chr(10))) AS x FROM parts)
 SELECT source, testcase, CAST(string_split(x[4:], ',')[1] AS BIGINT) AS line, sum(CAST(string_split(x[4:], ',')[2] AS BIGINT))::BIGINT AS count FROM l WHERE x[1:3] = 'DA:' GROUP BY ALL"""
+
+
+# -- the testcase-preserving merge, stage by stage, on tracefiles written from the star schema -------------------------------
+
+_PLACE = "concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 97 AS BIGINT) AS input_id, l_orderkey AS k1, CAST(l_linenumber AS BIGINT) AS k2"
+FILES = {
+    "DA": f"SELECT {_PLACE}, CAST(l_linenumber + 7 * (l_orderkey % 9) AS BIGINT) AS line, CASE WHEN l_discount < 0.03 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS count FROM lineitem WHERE l_returnflag <> 'R' OR l_orderkey % 7 < 5",
+    "BRDA": f"SELECT {_PLACE}, CAST(l_linenumber + 7 * (l_orderkey % 13) AS BIGINT) AS line, CAST(l_suppkey % 3 AS BIGINT) AS block, CASE l_partkey % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'e' ELSE 'f' END AS kind, l_partkey % 9 = 0 AS unreachable,"
+            " CASE WHEN l_tax < 0.02 THEN NULL ELSE CAST(l_quantity AS BIGINT) % 5 END AS hits, concat('x', l_partkey % 10) AS name FROM lineitem WHERE l_orderkey % 3 = 0",
+    "MCDC": f"SELECT {_PLACE}, CAST(l_linenumber + 7 * (l_orderkey % 12) AS BIGINT) AS line, CAST(1 + l_suppkey % 2 AS BIGINT) AS block, CAST(2 * (l_partkey % 5) AS BIGINT) AS idx, CASE WHEN l_tax < 0.05 THEN 't' ELSE 'f' END AS kind, l_partkey % 11 = 0 AS unreachable,"
+            " CAST(l_quantity AS BIGINT) % 3 AS hits, concat('c', l_partkey % 5, CASE WHEN l_tax > 0.07 THEN '!' ELSE '' END) AS name FROM lineitem WHERE l_orderkey % 3 = 1",
+    "FN": "SELECT concat('/src/pkg', p_partkey % 4, '/file_', p_partkey % 50, '.c') AS source, CASE WHEN p_partkey % 5 = 0 THEN 'N' ELSE 'A' END AS testcase, CAST(p_partkey % 97 AS BIGINT) AS input_id, CAST(p_partkey AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2,"
+          " CAST(p_size AS BIGINT) AS line, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + p_partkey % 6 AS BIGINT) END AS stop, concat('fn_', p_partkey % 7) AS name, CAST(floor(p_retailprice) AS BIGINT) % 4 AS hits FROM part",
+}
+_TEXTS = {
+    "FN": "concat('FN:', line, ',', CASE WHEN stop IS NULL THEN '' ELSE concat(stop, ',') END, name, '\\nFNDA:', hits, ',', name)",
+    "BRDA": "concat('BRDA:', line, ',', CASE kind WHEN 'v' THEN '' ELSE kind END, CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', name, ',', coalesce(CAST(hits AS STRING), '-'))",
+    "MCDC": "concat('MCDC:', line, ',', CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', kind, ',', hits, ',', idx, ',', name)",
+    "DA": "concat('DA:', line, ',', count)",
+}
+
+
+def tracefiles(spark, d) -> DataFrame:
+    """input_id, body: tracefiles with one section per source and testcase, written from the star schema."""
+    parts = [_sql(spark, d, f"SELECT input_id, source, testcase, {k} AS part, k1, k2, {_TEXTS[tag]} AS text FROM ({FILES[tag]})", "lineitem", "part") for k, tag in enumerate(_TEXTS)]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "k1", "k2", "text"))), lambda x: x["text"]), "\n")
+    sections = rows.groupBy("input_id", "source", "testcase").agg(F.concat(F.lit("TN:"), "testcase", F.lit("\nSF:"), "source", F.lit("\n"), lines, F.lit("\nend_of_record\n")).alias("text"))
+    return sections.groupBy("input_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "testcase", "text"))), lambda x: x["text"]), "").alias("body"))
+
+
+def _compat(spark, d, **families) -> CompatMerge:
+    return CompatMerge(spark, tracefiles(spark, d), Options(**({"functions": False} | families), keep_going=True))
+
+
+_CTX = ", ".join(f"c_{tag.lower()} AS ({sql})" for tag, sql in FILES.items()) + """, has_da AS (SELECT DISTINCT source, input_id, testcase FROM c_da), alive AS (SELECT DISTINCT source, input_id FROM c_da)"""
+_CTX_MC = """, mc AS (SELECT m.* FROM c_mcdc m SEMI JOIN alive USING (source, input_id)), mc_public AS (SELECT m.* FROM mc m SEMI JOIN has_da USING (source, input_id, testcase)),
+mc_first AS (SELECT source, input_id, line, block, idx, arg_min(name, (testcase, k1, k2)) AS name FROM mc GROUP BY ALL),
+mc_points AS (SELECT m.source, m.input_id, m.line, m.block, m.idx, m.kind, bool_or(m.unreachable) AS unreachable, sum(m.hits) AS hits FROM mc m JOIN mc_first f USING (source, input_id, line, block, idx, name) GROUP BY ALL),
+mc_lines AS (SELECT p.source, p.input_id, p.line, count(*) FILTER (NOT unreachable AND hits > 0) AS count FROM mc_points p ANTI JOIN c_da d ON d.source = p.source AND d.input_id = p.input_id AND d.line = p.line GROUP BY ALL)"""
+_CTX_BR = """, br AS (SELECT b.* FROM c_brda b SEMI JOIN alive USING (source, input_id)),
+br_blocks AS (SELECT source, testcase, input_id, line, block, string_agg(CASE kind WHEN 'v' THEN 'b' ELSE kind END, '' ORDER BY k1, k2) AS signature FROM br GROUP BY ALL),
+br_ranked AS (SELECT *, dense_rank() OVER (PARTITION BY source, testcase, input_id, line, signature ORDER BY block) - 1 AS occurrence FROM br_blocks),
+br_placed AS (SELECT b.*, r.signature, r.occurrence, row_number() OVER (PARTITION BY source, testcase, input_id, line, block ORDER BY k1, k2) - 1 AS position FROM br b JOIN br_ranked r USING (source, testcase, input_id, line, block)),
+br_points AS (SELECT source, input_id, line, signature, occurrence, position, max(hits) AS hits FROM br_placed GROUP BY ALL), br_hit AS (SELECT source, input_id, line, count(*) FILTER (hits > 0) AS hit_points FROM br_points GROUP BY ALL),
+present AS (SELECT source, input_id, line FROM c_da UNION SELECT source, input_id, line FROM mc_lines),
+repaired AS (SELECT h.source, h.input_id, h.line, h.hit_points AS count, t.testcases, t.testcase FROM br_hit h JOIN (SELECT source, input_id, line, count(DISTINCT testcase) AS testcases, min(testcase) AS testcase FROM br_placed GROUP BY ALL) t USING (source, input_id, line)
+  ANTI JOIN present p ON p.source = h.source AND p.input_id = h.input_id AND p.line = h.line)"""
+
+
+def _stage(sql: str, *contexts: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE[f.__name__] = f"WITH {_CTX}{''.join(contexts)} {sql}"
+        return f
+
+    return register
+
+
+@_stage("""SELECT source, testcase, line, block, dense_rank() OVER (PARTITION BY source, testcase, line, block ORDER BY old)::INTEGER - 1 AS idx, kind, hits, unreachable, name FROM (
+ SELECT k.source, k.testcase, k.line, k.block, k.idx AS old, s.kind, coalesce(m.hits, 0)::BIGINT AS hits, coalesce(m.unreachable, false) AS unreachable, k.name FROM (SELECT source, testcase, line, block, idx, arg_min(name, (input_id, k1, k2)) AS name FROM mc_public GROUP BY ALL) k, (VALUES ('t'), ('f')) s(kind)
+ LEFT JOIN (SELECT source, testcase, line, block, idx, name, kind, sum(hits) AS hits, bool_or(unreachable) AS unreachable FROM mc_public GROUP BY ALL) m
+  ON m.source = k.source AND m.testcase = k.testcase AND m.line = k.line AND m.block = k.block AND m.idx = k.idx AND m.name = k.name AND m.kind = s.kind)""", _CTX_MC)
+def compat_conditions(spark, d):
+    """Conditions of every testcase with lines: first expression, both senses, renumbered."""
+    return _whole(_compat(spark, d, mcdc=True).conditions, "line", "block", "hits").select("source", "testcase", "line", "block", "idx", "kind", "hits", "unreachable", "name")
+
+
+@_stage("""SELECT source, testcase, line, (dense_rank() OVER (PARTITION BY source, testcase, line ORDER BY length(signature), signature, occurrence) - 1)::INTEGER AS block, position::INTEGER AS position, hits, unreachable, kind, name FROM (
+ SELECT source, testcase, line, signature, occurrence, position, sum(hits)::BIGINT AS hits, bool_or(unreachable) AS unreachable, arg_min(kind, (input_id, k1, k2)) AS kind, arg_min(name, (input_id, k1, k2)) AS name
+ FROM (SELECT b.* FROM br_placed b SEMI JOIN has_da USING (source, input_id, testcase)) GROUP BY ALL)""", _CTX_MC, _CTX_BR)
+def compat_branches(spark, d):
+    """Branches of every testcase with lines, matched by the signatures of their blocks."""
+    return _whole(_compat(spark, d, branches=True).branches, "line", "hits").select("source", "testcase", "line", "block", "position", "hits", "unreachable", "kind", "name")
+
+
+@_stage("""SELECT source, testcase, line, sum(count)::BIGINT AS count FROM (SELECT source, testcase, line, count FROM c_da
+ UNION ALL SELECT l.source, m.testcase, l.line, l.count FROM mc_lines l JOIN (SELECT DISTINCT source, input_id, line, testcase FROM mc_public) m USING (source, input_id, line)
+ UNION ALL SELECT r.source, r.testcase, r.line, r.count FROM repaired r SEMI JOIN has_da USING (source, input_id, testcase) WHERE r.testcases = 1) GROUP BY ALL""", _CTX_MC, _CTX_BR)
+def compat_repaired_lines(spark, d):
+    """Lines of the merge with those made up for conditions and for branches without a line."""
+    return _whole(_compat(spark, d, branches=True, mcdc=True).lines, "line", "count").select("source", "testcase", "line", "count")
+
+
+@_stage("""SELECT source, input_id, line, CASE WHEN n IS NULL THEN 'no line' WHEN n = 0 AND hit_points > 0 THEN 'hit branch on unhit line' WHEN n > 0 AND hit_points = 0 THEN 'hit line without hit branch' ELSE 'ok' END AS state, hit_points
+ FROM br_hit LEFT JOIN (SELECT source, input_id, line, sum(count) AS n FROM (SELECT source, input_id, line, count FROM c_da UNION ALL SELECT * FROM mc_lines) GROUP BY ALL) USING (source, input_id, line)""", _CTX_MC, _CTX_BR)
+def compat_branch_lines(spark, d):
+    """How the branches of a line in an input agree with its count."""
+    return _whole(_compat(spark, d, branches=True, mcdc=True).branch_states, "line").select("source", "input_id", "line", "state", "hit_points")
+
+
+_CTX_FN = """, fn_named AS (SELECT source, input_id, testcase, name, arg_min(line, k1) AS line, arg_min({'s': stop}, k1).s AS stop, sum(hits)::BIGINT AS hits FROM c_fn SEMI JOIN alive USING (source, input_id) GROUP BY ALL),
+fn_groups AS (SELECT source, input_id, line, bool_or(hits > 0) AS hit, max(stop) AS stop FROM fn_named GROUP BY ALL), da AS (SELECT source, input_id, line, sum(count) AS count FROM c_da GROUP BY ALL), last AS (SELECT source, input_id, max(line) AS last_line FROM c_da GROUP BY ALL),
+fn_next AS (SELECT *, lead(line) OVER (PARTITION BY source, input_id ORDER BY line) AS next FROM fn_groups),
+fn_ended AS (SELECT g.source, g.input_id, g.line, g.hit, coalesce(g.stop, (SELECT max(d.line) FROM da d WHERE d.source = g.source AND d.input_id = g.input_id AND d.line >= g.line AND (g.next IS NULL OR d.line < g.next))) AS stop FROM fn_next g),
+fn_seen AS (SELECT e.*, l.last_line, CASE WHEN e.stop >= e.line AND l.last_line >= e.line THEN (SELECT min(d.line) FROM da d WHERE d.source = e.source AND d.input_id = e.input_id AND d.count > 0 AND d.line BETWEEN e.line AND e.stop) END AS first_hit FROM fn_ended e JOIN last l USING (source, input_id)),
+fn_fixed AS (SELECT s.*, CASE WHEN NOT s.hit AND first_hit IS NOT NULL THEN (SELECT d.count FROM da d WHERE d.source = s.source AND d.input_id = s.input_id AND d.line = s.first_hit) ELSE 0 END AS addition FROM fn_seen s),
+fn_input AS (SELECT n.source, n.input_id, n.testcase, n.name, n.line, coalesce(f.stop, n.stop) AS stop, (n.hits + f.addition)::BIGINT AS hits FROM fn_named n JOIN fn_fixed f USING (source, input_id, line))"""
+
+
+@_stage("SELECT * FROM fn_input", _CTX_FN)
+def compat_functions(spark, d):
+    """Functions of every input: hits at their first declaration, ends derived, hits corrected by the lines."""
+    return _whole(_compat(spark, d, functions=True).functions, "line", "stop", "hits").select("source", "input_id", "testcase", "name", "line", "stop", "hits")
+
+
+@_stage("""SELECT source, testcase, name, line, stop, hits, (dense_rank() OVER (PARTITION BY source, testcase ORDER BY line, alias, stop NULLS FIRST) - 1)::INTEGER AS idx FROM (
+ SELECT *, min(name) OVER (PARTITION BY source, testcase, line) AS alias FROM fn_final)""", _CTX_FN, """, fn_public AS (SELECT f.* FROM fn_input f SEMI JOIN has_da USING (source, input_id, testcase)),
+fn_merged AS (SELECT source, testcase, name, arg_min(line, (input_id, line, coalesce(stop, -1))) AS line, arg_min({'s': stop}, (input_id, line, coalesce(stop, -1))).s AS stop, sum(hits) AS hits FROM fn_public GROUP BY ALL),
+fn_unified AS (SELECT source, testcase, name, line, max(stop) OVER (PARTITION BY source, testcase, line) AS stop, hits FROM fn_merged),
+all_lines AS (SELECT source, line, sum(count) AS count FROM c_da GROUP BY ALL), all_last AS (SELECT source, max(line) AS last_line FROM c_da GROUP BY ALL),
+everyone AS (SELECT source, line, stop, hits FROM fn_unified UNION ALL SELECT f.source, f.line, f.stop, f.hits FROM fn_input f ANTI JOIN has_da h ON h.source = f.source AND h.input_id = f.input_id AND h.testcase = f.testcase),
+every_group AS (SELECT source, line, bool_or(hits > 0) AS hit, max(stop) AS stop FROM everyone GROUP BY ALL),
+every_seen AS (SELECT g.*, CASE WHEN g.stop >= g.line AND l.last_line >= g.line THEN (SELECT min(d.line) FROM all_lines d WHERE d.source = g.source AND d.count > 0 AND d.line BETWEEN g.line AND g.stop) END AS first_hit FROM every_group g JOIN all_last l USING (source)),
+additions AS (SELECT s.source, s.line, d.count AS addition FROM every_seen s JOIN all_lines d ON d.source = s.source AND d.line = s.first_hit WHERE NOT s.hit),
+fn_added AS (SELECT u.source, u.testcase, u.name, u.line, u.stop, (u.hits + coalesce(a.addition, 0))::BIGINT AS hits FROM fn_unified u LEFT JOIN additions a USING (source, line)),
+fn_starts AS (SELECT *, lead(line) OVER (PARTITION BY source, testcase ORDER BY line) AS next FROM (SELECT DISTINCT source, testcase, line FROM fn_added)),
+fn_final AS (SELECT f.source, f.testcase, f.name, f.line, coalesce(f.stop, (SELECT max(d.line) FROM c_da d WHERE d.source = f.source AND d.testcase = f.testcase AND d.line >= f.line AND (s.next IS NULL OR d.line < s.next))) AS stop, f.hits
+  FROM fn_added f JOIN fn_starts s USING (source, testcase, line))""")
+def compat_final_functions(spark, d):
+    """Functions of every testcase merged over the inputs, corrected by all lines and renumbered."""
+    return _whole(_compat(spark, d, functions=True).final_functions, "line", "stop", "hits").select("source", "testcase", "name", "line", "stop", "hits", "idx")

@@ -301,14 +301,14 @@ def load_records(spark: SparkSession, names: list[str], rules: PathRules = PathR
     return spark.read.format("lcov").option("inputs", json.dumps([os.path.abspath(n) for n in names])).option("rules", given).option("rangeBytes", str(range_bytes)).load()
 
 
-def records_from_table(df: DataFrame, id_col: str = "input_id", body_col: str = "body", rules: PathRules = PathRules()) -> DataFrame:
+def records_from_table(df: DataFrame, id_col: str = "input_id", body_col: str = "body", rules: PathRules = PathRules(), functions: bool = True, branches: bool = True) -> DataFrame:
     """Records of tracefiles held in a column; null and empty bodies are empty files."""
 
     def parse(batches):
         for batch in batches:
             rows: list[tuple] = []
             for input_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(tokenize((body or "").encode("utf-8"), 0, input_id, rules))
+                rows.extend(tokenize((body or "").encode("utf-8"), 0, input_id, rules, functions, branches))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
