@@ -24,7 +24,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["da_merge", "record_merge", "record_summary", "branch_canonical", "range_first_hit", "derive_end", "compat_lines", "p4_found", "p5_found"])
+@pytest.mark.parametrize("name", ["da_merge", "record_merge", "record_summary", "branch_canonical", "range_first_hit", "derive_end", "lcov_render", "compat_lines", "compat_texts", "compat_final_functions", "p4_found", "p5_found"])
 def test_same_as_sql(spark, con, name):
     module = coverage if name in coverage.QUERIES else preparation
     df = module.QUERIES[name](spark, DATA)
@@ -36,7 +36,7 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_query_but_the_unordered_has_sql():
-    assert set(coverage.QUERIES) - set(coverage.ORACLE) == {"lcov_render", "compat_render"}
+    assert set(coverage.QUERIES) - set(coverage.ORACLE) == {"compat_render"}
     assert set(preparation.QUERIES) == set(preparation.ORACLE)
 
 

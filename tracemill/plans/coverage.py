@@ -152,7 +152,8 @@ _NAME = "CASE WHEN kind IN (4, 5, 9) OR (kind = 6 AND flags & 1 = 0) THEN coales
 _MERGED = f"""m AS (SELECT path, kind::INTEGER AS kind, a, b, CASE WHEN kind = 6 AND flags & 1 = 0 THEN 0 ELSE coalesce(c, 0) END AS c, {_NAME} AS name,
  CASE WHEN kind = 6 THEN flags & 59 WHEN kind = 7 THEN flags & 192 WHEN kind IN (3, 4) THEN flags & 1 ELSE 0 END AS bits,
  CASE WHEN sum(CASE WHEN kind = 6 AND flags & 4 <> 0 THEN NULL ELSE coalesce(value, 0)::HUGEINT END) > 18446744073709551615 THEN 18446744073709551615::HUGEINT ELSE sum(CASE WHEN kind = 6 AND flags & 4 <> 0 THEN NULL ELSE coalesce(value, 0)::HUGEINT END) END AS value, count(*) AS copies,
- coalesce(min(CASE WHEN kind IN (1, 7) THEN coalesce(text, '') WHEN kind = 8 THEN nullif(extra, '') END), '') AS chosen FROM records WHERE path IS NOT NULL GROUP BY ALL)"""
+ coalesce(min(CASE WHEN kind IN (1, 7) THEN coalesce(text, '') WHEN kind = 8 THEN nullif(extra, '') END), '') AS chosen,
+ coalesce(max(CASE WHEN kind IN (1, 7) THEN coalesce(text, '') WHEN kind = 8 THEN nullif(extra, '') END), '') AS most FROM records WHERE path IS NOT NULL GROUP BY ALL)"""
 
 
 def _merged(spark, d):
@@ -174,9 +175,9 @@ def record_totals(spark, d):
 
 
 def lcov_render(spark, d):
-    """The merged tracefile's lines in order."""
+    """The merged tracefile's lines in order, each with its source and its place among the kinds of lines."""
     merged = _merged(spark, d)
-    return native.ordered_lines(merged, native.source_summaries(merged))
+    return native.rendered_lines(merged, native.source_summaries(merged)).orderBy(*native.ORDER).select("path", "rank", "line")
 
 
 _SUMMARY = """, s AS (SELECT path, count(*) FILTER (kind = 3) AS fnf, count(DISTINCT CASE WHEN kind = 4 AND bits & 1 <> 0 AND value > 0 THEN (a, b, c) END) + count(*) FILTER (kind = 5 AND value > 0) AS fnh,
@@ -188,6 +189,14 @@ ORACLE |= {
     "record_merge": f"WITH {_MERGED} SELECT path, kind, a::VARCHAR AS a, b::VARCHAR AS b, c::VARCHAR AS c, name, bits, value::VARCHAR AS value, copies, chosen FROM m",
     "record_summary": f"WITH {_MERGED}{_SUMMARY} SELECT * FROM s",
     "record_totals": f"WITH {_MERGED}{_SUMMARY} SELECT {_TOTALS} FROM s",
+    "lcov_render": f"""WITH {_MERGED}{_SUMMARY}, texts AS (SELECT path, CASE kind WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 4 - (bits & 1) WHEN 4 THEN 4 - (bits & 1) WHEN 5 THEN 5 WHEN 8 THEN 6 WHEN 6 THEN 7 WHEN 7 THEN 8 ELSE 9 END AS rank, copies, kind, CASE
+ WHEN kind = 1 AND chosen = most AND chosen <> '' THEN 'TN:' || chosen WHEN kind = 2 THEN 'SF:' || path WHEN kind = 3 AND bits & 1 = 1 THEN 'FNL:' || c::VARCHAR || ',' || a::VARCHAR || CASE WHEN b <> 0 THEN ',' || b::VARCHAR ELSE '' END
+ WHEN kind = 4 AND bits & 1 = 1 THEN 'FNA:' || c::VARCHAR || ',' || value::VARCHAR || ',' || name WHEN kind = 4 THEN 'FN:' || a::VARCHAR || CASE WHEN b <> 0 THEN ',' || b::VARCHAR ELSE '' END || ',' || name WHEN kind = 5 THEN 'FNDA:' || value::VARCHAR || ',' || name
+ WHEN kind = 6 THEN 'BRDA:' || a::VARCHAR || ',' || CASE WHEN bits & 8 <> 0 THEN 'e' ELSE '' END || CASE WHEN bits & 16 <> 0 THEN 'f' ELSE '' END || CASE WHEN bits & 32 <> 0 THEN 'U' ELSE '' END || b::VARCHAR || ',' || CASE WHEN bits & 1 <> 0 THEN c::VARCHAR ELSE name END || ',' || coalesce(value::VARCHAR, '-')
+ WHEN kind = 7 THEN 'MCDC:' || a::VARCHAR || ',' || CASE WHEN bits & 128 <> 0 THEN 'U' ELSE '' END || b::VARCHAR || ',' || CASE WHEN bits & 64 <> 0 THEN 't' ELSE 'f' END || ',' || value::VARCHAR || ',' || c::VARCHAR || ',' || chosen
+ WHEN kind = 8 THEN 'DA:' || a::VARCHAR || ',' || value::VARCHAR || CASE WHEN chosen <> '' THEN ',' || chosen ELSE '' END WHEN kind = 9 THEN name END AS line FROM (SELECT * REPLACE (coalesce(a, 0) AS a, coalesce(b, 0) AS b) FROM m))
+SELECT path, rank::INTEGER AS rank, line FROM (SELECT path, rank, line, unnest(range(CASE WHEN kind = 9 THEN copies ELSE 1 END)) FROM texts WHERE line IS NOT NULL)
+UNION ALL SELECT path, 10, {" || chr(10) || ".join(f"'{c.upper()}:' || {c}::VARCHAR" for c in native.SUMMARY_ORDER)} || chr(10) || 'end_of_record' FROM s""",
 }
 
 
@@ -435,7 +444,7 @@ SELECT source, testcase, CAST(string_split(x[4:], ',')[1] AS BIGINT) AS line, su
 
 # -- the testcase-preserving merge, stage by stage, on tracefiles written from the star schema -------------------------------
 
-_PLACE = "concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 97 AS BIGINT) AS input_id, l_orderkey AS k1, CAST(l_linenumber AS BIGINT) AS k2"
+_PLACE = "concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 97 AS BIGINT) AS input_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS k1, CAST(l_partkey AS BIGINT) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS k2"
 FILES = {
     "DA": f"SELECT {_PLACE}, CAST(l_linenumber + 7 * (l_orderkey % 9) AS BIGINT) AS line, CASE WHEN l_discount < 0.03 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS count FROM lineitem WHERE l_returnflag <> 'R' OR l_orderkey % 7 < 5",
     "BRDA": f"SELECT {_PLACE}, CAST(l_linenumber + 7 * (l_orderkey % 13) AS BIGINT) AS line, CAST(l_suppkey % 3 AS BIGINT) AS block, CASE l_partkey % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'e' ELSE 'f' END AS kind, l_partkey % 9 = 0 AS unreachable,"
@@ -445,7 +454,10 @@ FILES = {
     "FN": "SELECT concat('/src/pkg', p_partkey % 4, '/file_', p_partkey % 50, '.c') AS source, CASE WHEN p_partkey % 5 = 0 THEN 'N' ELSE 'A' END AS testcase, CAST(p_partkey % 97 AS BIGINT) AS input_id, CAST(p_partkey AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2,"
           " CAST(p_size AS BIGINT) AS line, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + p_partkey % 6 AS BIGINT) END AS stop, concat('fn_', p_partkey % 7) AS name, CAST(floor(p_retailprice) AS BIGINT) % 4 AS hits FROM part",
 }
+FILES["VER"] = ("SELECT concat('/src/pkg', l_suppkey % 4, '/file_', l_partkey % 50, '.c') AS source, l_returnflag AS testcase, CAST(l_orderkey % 97 AS BIGINT) AS input_id, CAST(max(l_orderkey) AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2,"
+                " concat('v', max(l_orderkey) % 3) AS name FROM lineitem GROUP BY 1, 2, 3")
 _TEXTS = {
+    "VER": "concat('VER:', name)",
     "FN": "concat('FN:', line, ',', CASE WHEN stop IS NULL THEN '' ELSE concat(stop, ',') END, name, '\\nFNDA:', hits, ',', name)",
     "BRDA": "concat('BRDA:', line, ',', CASE kind WHEN 'v' THEN '' ELSE kind END, CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', name, ',', coalesce(CAST(hits AS STRING), '-'))",
     "MCDC": "concat('MCDC:', line, ',', CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', kind, ',', hits, ',', idx, ',', name)",
@@ -553,3 +565,26 @@ fn_final AS (SELECT f.source, f.testcase, f.name, f.line, coalesce(f.stop, (SELE
 def compat_final_functions(spark, d):
     """Functions of every testcase merged over the inputs, corrected by all lines and renumbered."""
     return _whole(_compat(spark, d, functions=True).final_functions, "line", "stop", "hits").select("source", "testcase", "name", "line", "stop", "hits", "idx")
+
+
+@_stage("SELECT source, arg_min(name, (input_id, testcase)) AS name, min(name) <> max(name) AS conflict FROM c_ver SEMI JOIN alive USING (source, input_id) GROUP BY source")
+def compat_versions(spark, d):
+    """The version of every source: the first one, and whether others occur."""
+    return _compat(spark, d).versions.select("source", "name", "conflict")
+
+
+_FINAL = {name: ORACLE[name][ORACLE[name].rindex(start):] for name, start in (("compat_branches", "SELECT source, testcase, line, (dense_rank()"), ("compat_conditions", "SELECT source, testcase, line, block, dense_rank()"), ("compat_repaired_lines", "SELECT source, testcase, line, sum(count)"))}
+
+
+@_stage(f"""SELECT source, testcase, rank::INTEGER AS rank, line FROM (
+ SELECT DISTINCT source, testcase, 0 AS rank, 'TN:' || testcase || chr(10) || 'SF:' || source AS line FROM ln UNION ALL SELECT DISTINCT source, testcase, 1, 'VER:' || name FROM ln JOIN (SELECT source, arg_min(name, (input_id, testcase)) AS name FROM c_ver SEMI JOIN alive USING (source, input_id) GROUP BY source) USING (source)
+ UNION ALL SELECT source, testcase, 4, concat('BRDA:', line, ',', CASE kind WHEN 'v' THEN '' ELSE kind END, CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', name, ',', coalesce(hits::VARCHAR, '-')) FROM bf
+ UNION ALL SELECT source, testcase, 5, concat('BRF:', count(*), chr(10), 'BRH:', count(*) FILTER (hits > 0)) FROM bf WHERE NOT unreachable GROUP BY source, testcase
+ UNION ALL SELECT source, testcase, 6, concat('MCDC:', line, ',', CASE WHEN unreachable THEN 'U' ELSE '' END, block, ',', kind, ',', hits, ',', idx, ',', name) FROM cf
+ UNION ALL SELECT source, testcase, 7, concat('MCF:', count(*), chr(10), 'MCH:', count(*) FILTER (hits > 0)) FROM cf GROUP BY source, testcase
+ UNION ALL SELECT source, testcase, 8, concat('DA:', line, ',', count) FROM ln
+ UNION ALL SELECT source, testcase, 9, concat('LF:', count(*), chr(10), 'LH:', count(*) FILTER (count > 0), chr(10), 'end_of_record') FROM ln GROUP BY source, testcase)""", _CTX_MC, _CTX_BR,
+        f", ln AS ({_FINAL['compat_repaired_lines']}), bf AS ({_FINAL['compat_branches']}), cf AS ({_FINAL['compat_conditions']})")
+def compat_texts(spark, d):
+    """The lines of the merged tracefile with branches and conditions, by section."""
+    return _compat(spark, d, branches=True, mcdc=True).rendered().select("source", "testcase", "rank", "line")
