@@ -239,13 +239,41 @@ def test_globs(spark):
     ("end_of_record\n", 1, "no open source"), ("SF:/k\nFNA:4,2,f\n", 2, "FNL"), ("SF:/k\nFNL:4,2\nFNA:5,2,f\n", 3, "FNL"), ("SF:/k\nFNL:4,2\nFNA:4,2,\n", 3, "name"), ("SF:/k\nMCDC:3,2,T,1,0,e\n", 2, "bad MCDC"), ("SF:/k\nBRDA:3,4,5\n", 2, "bad BRDA"),
     ("SF:/k\nBRH:-1\n", 2, "bad BRH"), ("SF:/k\nKF:/m\n", 2, "still open"), ("TN:p\nTN:q\n", 2, "second TN"), ("SF:\n", 1, "without a path"), (f"SF:/k\nDA:3,{LIMIT + 1}\n", 2, "bad DA"), ("SF:/k\nno colon\n", 2, "no record"), ("SF:/k\nTN:p\n", 2, "no record")])
 def test_malformed(content, line, message):
-    from tracemill.sources.lcov import tokenize
+    from tracemill.sources.lcov import lines_of, tokenize
 
     data = content if isinstance(content, bytes) else content.encode()
-    *_, last = tokenize(data, 0, 0, PathRules())
+    *_, last = tokenize(lines_of(data), 0, PathRules())
     assert message in last[-2] and data[: last[1]].count(b"\n") + 1 == line
 
 
+def test_lines_of_ranges():
+    import io
+
+    from tracemill.sources.inputs import numbered_lines
+
+    rng = random.Random(1)
+    for _ in range(300):
+        data = b"\n".join(b"x" * rng.choice([0, 1, 3, 9, 40]) for _ in range(rng.randrange(1, 9)))
+        cuts = sorted(rng.randrange(len(data) + 1) for _ in range(3))
+        got = [x for a, b in zip([0, *cuts], [*cuts, len(data)]) for x in numbered_lines(io.BytesIO(data), a, b, 5, piece=rng.choice([1, 3, 100]))]
+        at, expected = 0, []
+        for line in data.split(b"\n"):
+            expected.append((at, line[:6]))
+            at += len(line) + 1
+        assert got == (expected[:-1] if not expected[-1][1] else expected)
+
+
+def test_ranges_within_one_section(spark, files):
+    rows = [f"FNL:{k},{k + 1}\nFNA:{k},1,f{k}\nDA:{k},1" for k in range(300)]
+    text = "TN:t\n" + plain("/one.c", *rows) + "TN:u\nSF:/two.c\nDA:1,1\nend_of_recordSF:/three.c\nDA:2,1\n" + "\n".join(f"BRDA:{k},0,0,-" for k in range(100)) + "\nend_of_record\n"
+    small = [plain(f"/s{k % 5}.c", f"DA:{k % 3},1") for k in range(40)]
+    names = files([text, *small])
+    whole = merged(spark, names)
+    assert whole.count("DA:") == 300 + 2 + 100 + 15
+    for size in (40, 333, 4000):
+        assert merged(spark, names, range_bytes=size) == whole
+
+
 def test_sources_left_out_are_checked(spark, files):
     with pytest.raises(TraceError):
         merged(spark, files([plain("/left/out.c", "BRDA:3")]), Options(PathRules(includes=("*.h",))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -80,12 +81,83 @@ def stage_stdin(names: Sequence[str], stream=None) -> list[str]:
     return staged
 
 
+def filesystem_of(name: str):
+    """(file system, path in it) of a URI (of any file system that Arrow knows) or of a local path."""
+    from pyarrow import fs
+
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:/", name):
+        return fs.LocalFileSystem(), os.path.abspath(name)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+
+
+def file_sizes(names: Sequence[str]) -> list[int]:
+    """Sizes of regular files, asked for in one call per file system."""
+    from pyarrow import fs
+
+    placed = [filesystem_of(name) for name in names]
+    sizes = [0] * len(names)
+    for kind in {f.type_name for f, _ in placed}:
+        mine = [k for k, (f, _) in enumerate(placed) if f.type_name == kind]
+        for k, info in zip(mine, placed[mine[0]][0].get_file_info([placed[k][1] for k in mine]), strict=True):
+            if info.type != fs.FileType.File:
+                raise InputError(f"{names[k]}: no such file" if info.type == fs.FileType.NotFound else f"{names[k]}: not a regular file", 3)
+            sizes[k] = info.size
+    return sizes
+
+
 def check_regular(names: Sequence[str]) -> None:
-    for name in names:
-        if not os.path.isfile(name):
-            raise InputError(f"{name}: not a regular file" if os.path.exists(name) else f"{name}: no such file", 3)
+    file_sizes(names)
 
 
 def byte_ranges(size: int, piece: int) -> list[tuple[int, int]]:
-    """Ranges of about ``piece`` bytes; readers move their ends to the next end of a section."""
+    """Ranges of at most ``piece`` bytes; a reader takes the lines that begin in its range."""
     return [(at, min(size, at + piece)) for at in range(0, size, piece)] or [(0, 0)]
+
+
+def packed(sizes: Sequence[int], piece: int, most: int = 10_000) -> list[list[int]]:
+    """The places of files in tasks of about ``piece`` bytes and at most ``most`` files, in order."""
+    found: list[list[int]] = []
+    room = 0
+    for k, size in enumerate(sizes):
+        # opening a file counts like reading a few pages
+        cost = size + (32 << 10)
+        if not found or room < cost or len(found[-1]) >= most:
+            found.append([])
+            room = piece
+        found[-1].append(k)
+        room -= cost
+    return found
+
+
+def numbered_lines(stream, start: int, end: int | None, limit: int, piece: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
+    """(position, line without LF) of the lines that begin in [start, end), read in pieces.
+
+    A line of more than ``limit`` bytes comes cut to ``limit`` + 1 bytes, whatever its length.
+    """
+    at = start
+    if start:
+        stream.seek(start - 1)
+        at = start - 1
+    rest, skipping, long = b"", start > 0, False
+    while True:
+        data = stream.read(piece)
+        lines = (rest + data).split(b"\n")
+        last = lines.pop()
+        for line in lines:
+            if skipping:
+                skipping = False
+            elif end is not None and at >= end:
+                return
+            else:
+                yield (at, line[: limit + 1])
+            at += len(line) + 1 + (long or 0)
+            long = 0
+        rest = last
+        if len(rest) > 2 * limit:
+            # only what tells that the line is too long is kept of it
+            long = (long or 0) + len(rest) - limit - 1
+            rest = rest[: limit + 1]
+        if not data:
+            break
+    if rest and not skipping and (end is None or at < end):
+        yield (at, rest[: limit + 1])

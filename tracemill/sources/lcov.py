@@ -1,12 +1,13 @@
 """A Spark data source for tracefiles: one row per parsed record.
 
 What is sequential within a file (sections, pending test names, the current function line, the first error) is settled
-where the file is read; rows leave in Arrow batches. Large files are read in ranges that end at the ends of sections.
+where the file is read; rows leave in Arrow batches. Large files are read in ranges of lines, each primed with the few lines that
+set the state it begins in; small ones share a task. Lines are streamed, so no file or section is held as a whole.
 """
 
 from __future__ import annotations
 
-import gzip
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracemill.functions.paths import PathRules
-from tracemill.sources.inputs import byte_ranges
+from tracemill.sources.inputs import byte_ranges, file_sizes, filesystem_of, numbered_lines, packed
 
 RECORDS = (
     "input_id bigint, origin_line bigint, path string, kind tinyint, a decimal(20,0), b decimal(20,0), c decimal(20,0), "
@@ -34,35 +35,48 @@ SUMMARIES = frozenset(("FNF", "FNH", "LF", "LH", "BRF", "BRH", "MCF", "MCH"))
 
 @dataclass
 class TraceRange(InputPartition):
-    input_id: int
-    name: str
-    start: int
-    end: int
-
-
-def _aligned(f, at: int) -> int:
-    """The first position at or after ``at`` that follows a line ``end_of_record``; the file's end if there is none."""
-    if at == 0:
-        return 0
-    f.seek(max(0, at - 1))
-    if at > 1:
-        f.readline()
-    while line := f.readline():
-        if line.rstrip(b"\r\n") == b"end_of_record":
-            return f.tell()
-    return f.tell()
-
-
-def read_range(name: str, start: int, end: int, size: int) -> tuple[bytes, int]:
-    """The bytes of the sections that begin in a range, and where they begin."""
-    if name.lower().endswith(".gz"):
-        with gzip.open(name) as g:
-            return g.read(), 0
-    with open(name, "rb") as f:
-        first = _aligned(f, start)
-        last = size if end >= size else _aligned(f, end)
-        f.seek(first)
-        return f.read(max(0, last - first)), first
+    """Ranges of files read by one task: (input_id, name, start, end, lines that set the state the range begins in)."""
+
+    ranges: list[tuple[int, str, int, int, list[str]]]
+
+
+def last_marks(lines: Iterator[tuple[int, bytes]]) -> tuple[bool, list[bytes]]:
+    """Whether a section begins or ends in a range, and the lines that a reader of what follows has to have seen.
+
+    Those are the last start of a section that is still open with its last FNL, or the last TN outside of one.
+    """
+    closed, marks = False, []
+    for _, raw in lines:
+        if raw[:1] in b"SKe" and raw.startswith((b"SF:", b"KF:", b"end_of_record")):
+            joined = raw.removeprefix(b"end_of_record")
+            closed, marks = True, [joined] if joined.startswith((b"SF:", b"KF:")) else []
+        elif raw.startswith((b"FNL:", b"TN:")):
+            marks = [m for m in marks if m[:3] != raw[:3]] + [raw]
+    return closed, marks
+
+
+def range_states(spark: SparkSession, ranges: list[tuple[int, str, int, int]]) -> dict[tuple[int, int], list[str]]:
+    """(input_id, start) -> the lines that set the state of each range of large files; every range is scanned once, on the workers."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for input_id, name, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                filesystem, path = filesystem_of(name)
+                with filesystem.open_input_file(path) as f:
+                    closed, marks = last_marks(numbered_lines(f, start, end, MAX_LINE))
+                yield pa.RecordBatch.from_arrays([pa.array([input_id], pa.int64()), pa.array([start], pa.int64()), pa.array([closed]), pa.array([[m.decode("utf-8", "replace") for m in marks]], pa.list_(pa.string()))], ["input_id", "start", "closed", "marks"])
+
+    asked = spark.createDataFrame(ranges, "input_id bigint, name string, start bigint, stop bigint").repartition(len(ranges))
+    states, before, current = {}, [], None
+    for row in sorted(asked.mapInArrow(scan, "input_id bigint, start bigint, closed boolean, marks array<string>").collect()):
+        if row.input_id != current:
+            current, before = row.input_id, []
+        states[row.input_id, row.start] = before
+        tags = {m[:3] for m in row.marks}
+        before = row.marks if row.closed else [m for m in before if m[:3] not in tags] + row.marks
+    return states
 
 
 class Malformed(Exception):
@@ -147,20 +161,26 @@ class Section:
         return ((MCDC, number(line), number(group.removeprefix("U")), number(index), number(count), expression, "", flags),)
 
 
-def tokenize(data: bytes, base: int, input_id: int, rules: PathRules, functions: bool = True, branches: bool = True) -> Iterator[tuple]:
-    """Record rows of whole sections. The first error ends the file: its row has only an error.
+def lines_of(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The lines of a whole file with their positions."""
+    at = 0
+    for raw in data.split(b"\n"):
+        yield at, raw
+        at += len(raw) + 1
+
+
+def tokenize(lines: Iterator[tuple[int, bytes]], input_id: int, rules: PathRules, functions: bool = True, branches: bool = True) -> Iterator[tuple]:
+    """Record rows of numbered lines. The first error ends the file: its row has only an error.
 
     Rows of unselected sources are checked but not given. A row with only a note is a warning. ``origin_line`` is a byte position.
     """
     path = tn = None
     inside = keep = False
-    pos = base
     cache: dict[str, tuple[str, bool]] = {}
     section = Section(functions, branches)
     blank = (None,) * 8
 
-    for raw in data.split(b"\n"):
-        at, pos = pos, pos + len(raw) + 1
+    for at, raw in lines:
         error = None
         if len(raw) > MAX_LINE + (raw[-1:] == b"\r"):
             yield (input_id, at, None, *blank, "a line of more than 1 MiB", None)
@@ -255,28 +275,39 @@ class LcovReader(DataSourceReader):
 
         self.functions, self.branches = given.get("functions", True), given.get("branches", True)
 
+        self.states = {(input_id, start): lines for input_id, start, lines in json.loads(options.get("states", "[]"))}
+
     def partitions(self) -> list[TraceRange]:
+        sizes = file_sizes(self.names)
         found = []
-        for input_id, name in enumerate(self.names):
-            size = os.path.getsize(name)
-            ranges = [(0, size)] if name.lower().endswith(".gz") else byte_ranges(size, self.piece)
-            found += [TraceRange(input_id, name, a, b) for a, b in ranges]
+        for group in packed(sizes, self.piece):
+            if len(group) == 1:
+                k = group[0]
+                found += [TraceRange([(k, self.names[k], a, b, self.states.get((k, a), []))]) for a, b in byte_ranges(sizes[k], self.piece)]
+            else:
+                found.append(TraceRange([(k, self.names[k], 0, sizes[k], []) for k in group]))
         return found
 
     def read(self, partition: TraceRange) -> Iterator:
-        data, base = read_range(partition.name, partition.start, partition.end, os.path.getsize(partition.name))
         rows: list[tuple] = []
-        for row in tokenize(data, base, partition.input_id, self.rules, self.functions, self.branches):
-            rows.append(row)
-            if len(rows) >= 20_000:
-                yield _batch(rows)
-                rows.clear()
+        for input_id, name, start, end, state in partition.ranges:
+            filesystem, path = filesystem_of(name)
+            with filesystem.open_input_file(path) as f:
+                # lines at position -1 only set the state
+                lines = itertools.chain(((-1, x.encode()) for x in state), numbered_lines(f, start, end, MAX_LINE + 1))
+                for row in tokenize(lines, input_id, self.rules, self.functions, self.branches):
+                    if row[1] < 0:
+                        continue
+                    rows.append(row)
+                    if len(rows) >= 20_000:
+                        yield _batch(rows)
+                        rows.clear()
         if rows:
             yield _batch(rows)
 
 
 class LcovSource(DataSource):
-    """Format ``lcov``; options ``inputs`` (a JSON list: a file named twice counts twice), ``rules`` and ``rangeBytes``."""
+    """Format ``lcov``; options ``inputs`` (a JSON list: a file named twice counts twice), ``rules``, ``rangeBytes`` and ``states`` (of ``range_states``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -297,8 +328,11 @@ def load_records(spark: SparkSession, names: list[str], rules: PathRules = PathR
     if not names:
         return spark.createDataFrame([], RECORDS)
     spark.dataSource.register(LcovSource)
+    names = [n if "://" in n else os.path.abspath(n) for n in names]
+    large = [(k, names[k], a, b) for k, size in enumerate(file_sizes(names)) if size > range_bytes for a, b in byte_ranges(size, range_bytes)]
+    states = [[*key, lines] for key, lines in range_states(spark, large).items() if lines] if large else []
     given = json.dumps({"rebases": rules.rebases, "strip": rules.strip, "includes": rules.includes, "excludes": rules.excludes, "functions": functions, "branches": branches})
-    return spark.read.format("lcov").option("inputs", json.dumps([os.path.abspath(n) for n in names])).option("rules", given).option("rangeBytes", str(range_bytes)).load()
+    return spark.read.format("lcov").option("inputs", json.dumps(names)).option("rules", given).option("states", json.dumps(states)).option("rangeBytes", str(range_bytes)).load()
 
 
 def records_from_table(df: DataFrame, id_col: str = "input_id", body_col: str = "body", rules: PathRules = PathRules(), functions: bool = True, branches: bool = True) -> DataFrame:
@@ -308,7 +342,7 @@ def records_from_table(df: DataFrame, id_col: str = "input_id", body_col: str =
         for batch in batches:
             rows: list[tuple] = []
             for input_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(tokenize((body or "").encode("utf-8"), 0, input_id, rules, functions, branches))
+                rows.extend(tokenize(lines_of((body or "").encode("utf-8")), input_id, rules, functions, branches))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []

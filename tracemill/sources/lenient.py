@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import gzip
 import itertools
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.functions.paths import PathRules
+from tracemill.sources.inputs import file_sizes, filesystem_of, numbered_lines, packed
 from tracemill.sources.lcov import MAX_LINE, SUMMARIES, U64_MAX
 
 ROWS = ("input_id bigint, section bigint, ordinal bigint, source string, testcase string, family string, line decimal(20,0), stop decimal(20,0), block decimal(20,0), idx decimal(20,0), "
@@ -18,6 +20,8 @@ ROWS = ("input_id bigint, section bigint, ordinal bigint, source string, testcas
 # fixed values: the record tags of this merge
 FAMILIES = ("DA", "FN", "FNDA", "FNL", "FNA", "BRDA", "MCDC")
 I64_MAX = 2**63 - 1
+#: Bytes of input files that a task takes; a larger file is a task of its own.
+TASK_BYTES = 32 << 20
 _FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 
 
@@ -113,11 +117,11 @@ def _fields(tag: str, payload: str, keep_sums: bool, counted) -> dict:
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
-def rows_of(data: bytes, input_id: int, rules: PathRules, families: frozenset[str], keep_sums: bool, forget: bool) -> Iterator[dict]:
+def rows_of(lines: Iterable[bytes], input_id: int, rules: PathRules, families: frozenset[str], keep_sums: bool, forget: bool) -> Iterator[dict]:
     """Rows of one input as if every problem were ignored; each problem is a row with its kind, in order."""
     testcase = current = ""
     source, inside, section = None, False, 0
-    for number, raw in enumerate(data.split(b"\n"), 1):
+    for number, raw in enumerate(lines, 1):
         at = {"input_id": input_id, "section": section, "ordinal": number}
 
         def problem(kind: str, message: str, at=at) -> dict:
@@ -207,13 +211,17 @@ def load_rows(spark: SparkSession, inputs: list[str], rules: PathRules, families
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for input_id, path in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                with (gzip.open if path.lower().endswith(".gz") else open)(path, "rb") as f:
-                    data = f.read()
-                yield from _batches(rows_of(data, input_id, rules, families, keep_sums, forget))
+            for group in part.column(0).to_pylist():
+                for one in group:
+                    filesystem, path = filesystem_of(one["path"])
+                    with filesystem.open_input_file(path) as f:
+                        stream = gzip.GzipFile(fileobj=f) if path.lower().endswith(".gz") else f
+                        yield from _batches(rows_of((raw for _, raw in numbered_lines(stream, 0, None, MAX_LINE + 1)), one["input_id"], rules, families, keep_sums, forget))
 
-    names = spark.createDataFrame(list(enumerate(inputs)), "input_id bigint, path string")
-    return names.repartition(max(1, min(len(inputs), 10_000)), "input_id").mapInArrow(read, ROWS)
+    names = [n if "://" in n else os.path.abspath(n) for n in inputs]
+    groups = [([(k, names[k]) for k in group],) for group in packed(file_sizes(names), TASK_BYTES)]
+    tasks = spark.createDataFrame(groups, "files array<struct<input_id: bigint, path: string>>")
+    return tasks.repartition(max(1, len(groups))).mapInArrow(read, ROWS)
 
 
 def rows_from_table(df: DataFrame, rules: PathRules, families: frozenset[str], keep_sums: bool = False, forget: bool = False) -> DataFrame:
@@ -222,6 +230,6 @@ def rows_from_table(df: DataFrame, rules: PathRules, families: frozenset[str], k
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             bodies = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-            yield from _batches(row for input_id, body in bodies for row in rows_of((body or "").encode(), input_id, rules, families, keep_sums, forget))
+            yield from _batches(row for input_id, body in bodies for row in rows_of((body or "").encode().split(b"\n"), input_id, rules, families, keep_sums, forget))
 
     return df.select(df["input_id"].cast("bigint"), df["body"]).mapInArrow(read, ROWS)
