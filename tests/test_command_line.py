@@ -21,6 +21,11 @@ def test_settings(tmp_path, monkeypatch):
         read_settings(str(tmp_path / "a"))
     with pytest.raises(InputError):
         compat_options(compat_parser().parse_args(["--ignore-errors", "path"]))
+    for flags, mcdc in ((["--no-mcdc-coverage", "--mcdc-coverage"], True), (["--mcdc-coverage", "--no-mcdc-coverage"], False), ([], False)):
+        assert compat_options(compat_parser().parse_args(flags)).mcdc is mcdc
+    assert not compat_options(compat_parser().parse_args(["--no-branch-coverage", "--branch-coverage"])).branches
+    with pytest.raises(InputError, match="omit_lines"):
+        compat_options(compat_parser().parse_args(["--rc", "omit_lines=x"]))
     assert size("8M") == 8 << 20 and interpolated("a$ENV{PLACE}") == "ax"
 
 

@@ -10,12 +10,13 @@ from pyspark.sql import SparkSession
 from tracemill import __version__
 from tracemill.functions.paths import PathRules
 from tracemill.plans import compat, native
-from tracemill.sources.config import boolean, discover, read_settings
+from tracemill.session import clear_scratch
+from tracemill.sources.config import boolean, discover, read_settings, refuse_unsupported
 from tracemill.sources.inputs import InputError, check_regular, expand_globs, stage_stdin
 
-#: Settings with a meaning here, and what they set.
+# fixed values: settings with a meaning here, and what they set
 SETTINGS = {"function_coverage": "functions", "branch_coverage": "branches", "mcdc_coverage": "mcdc", "checksum": "checksum", "check_data_consistency": "consistency",
-            "derive_function_end_line": "derive_ends", "forget_testcase_names": "forget_names", "stop_on_error": None, "ignore_errors": None, "include": None, "exclude": None}
+            "derive_function_end_line": "derive_ends", "forget_testcase_names": "forget_names", "ignore_errors": None, "include": None, "exclude": None}
 
 
 class Parser(argparse.ArgumentParser):
@@ -56,9 +57,12 @@ def compat_parser() -> Parser:
     p.add_argument("-o", "--output-file", "--output", dest="output", default="-")
     for name in ("--include", "--exclude", "--ignore-errors", "--rc"):
         p.add_argument(name, action="append", default=[])
-    for name in ("function", "branch", "mcdc"):
+    for name in ("function", "branch"):
         p.add_argument(f"--{name}-coverage", action="store_true")
         p.add_argument(f"--no-{name}-coverage", action="store_true")
+    # of these the last one counts
+    p.add_argument("--mcdc-coverage", action="store_true", default=None)
+    p.add_argument("--no-mcdc-coverage", action="store_false", dest="mcdc_coverage")
     p.add_argument("--checksum", action="store_true")
     p.add_argument("--no-checksum", action="store_true")
     for name in ("--forget-test-names", "--keep-going"):
@@ -76,28 +80,28 @@ def compat_options(a: argparse.Namespace) -> compat.Options:
     settings += [_pair(x) for x in a.rc]
     values: dict = {}
     lists: dict[str, list[str]] = {"include": [], "exclude": [], "ignore_errors": []}
-    keep_going = a.keep_going
     for key, value in settings:
+        refuse_unsupported(key)
         if key in lists:
             lists[key].append(value)
-        elif key == "stop_on_error":
-            keep_going = keep_going or not boolean(value)
         elif SETTINGS.get(key):
             values[SETTINGS[key]] = boolean(value)
     for key, given in (("include", a.include), ("exclude", a.exclude), ("ignore_errors", a.ignore_errors)):
         if given:
             lists[key] = given
-    for name, option in (("function_coverage", "functions"), ("branch_coverage", "branches"), ("mcdc_coverage", "mcdc"), ("checksum", "checksum")):
+    for name, option in (("function_coverage", "functions"), ("branch_coverage", "branches"), ("checksum", "checksum")):
         if getattr(a, name):
             values[option] = True
         if getattr(a, f"no_{name}"):
             values[option] = False
+    if a.mcdc_coverage is not None:
+        values["mcdc"] = a.mcdc_coverage
     if a.forget_test_names:
         values["forget_names"] = True
     ignored = frozenset(k.strip() for text in lists["ignore_errors"] for k in text.split(",") if k.strip())
     if unknown := ignored - compat.IGNORABLE:
         raise InputError(f"can't ignore: {', '.join(sorted(unknown))}", 1)
-    return compat.Options(PathRules(includes=tuple(lists["include"]), excludes=tuple(lists["exclude"])), ignore=ignored, keep_going=keep_going, **values)
+    return compat.Options(PathRules(includes=tuple(lists["include"]), excludes=tuple(lists["exclude"])), ignore=ignored, keep_going=a.keep_going, **values)
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
@@ -118,6 +122,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
                     sys.stdout.write(row.line + "\n")
             else:
                 native.write_ordered(plan.ordered(), a.output)
+            clear_scratch(spark)
             return 0
         a = native_parser().parse_args(argv)
         options = native.Options(PathRules(tuple(a.rebase), a.prefix_strip, tuple(a.include), tuple(a.exclude)), a.branch_coverage == "on", not a.no_function_data, a.strict_checksum, a.warn_unknown)

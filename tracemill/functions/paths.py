@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,7 +190,10 @@ def apply_rules(df: DataFrame, column: str, rules: PathRules) -> DataFrame:
         return df
     odd = F.col(column).contains("*") | F.col(column).contains("[")
     keep = F.coalesce(selected(F.col(column), rules.includes, rules.excludes), F.lit(not rules.includes))
-    exact = F.udf(rules.selects, "boolean")
-    # the rare texts with glob characters of their own take the exact matcher
-    usual = df.filter(~F.coalesce(odd, F.lit(False)) & keep)
-    return usual.unionByName(df.filter(odd).filter(exact(column)))
+
+    @F.pandas_udf("boolean")
+    def exact(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else rules.selects(t))
+
+    # the rare texts with glob characters of their own take the exact matcher; it sees nulls for all others
+    return df.filter(F.when(F.coalesce(odd, F.lit(False)), exact(F.when(odd, F.col(column)))).otherwise(keep))

@@ -10,6 +10,23 @@ from tracemill.sources.inputs import InputError
 MAX_DEPTH = 32
 _TRUE, _FALSE = ("1", "on", "yes", "true"), ("0", "off", "no", "false")
 
+# fixed values: settings of the format's tools that would change a merge and have no counterpart here
+REFUSED = frozenset("""
+memory memory_percentage source_directory build_directory substitute omit_lines erase_functions filter resolve_script context_script version_script compute_file_version sort_input case_insensitive path_style
+stop_on_error no_exception_branch derive_function_end_line_all_files trivial_function_threshold lcov_json_module lcov_excl_line lcov_excl_br_line lcov_excl_exception_br_line lcov_excl_start lcov_excl_stop
+lcov_excl_br_start lcov_excl_br_stop lcov_excl_exception_br_start lcov_excl_exception_br_stop lcov_unreachable_start lcov_unreachable_stop lcov_unreachable_line retain_unreachable_coverpoints_if_executed
+ignore_unreachable_flag max_message_count message_log expected_message_count treat_warning_as_error warn_once_per_file rtl_file_extensions c_file_extensions perl_file_extensions python_file_extensions
+java_file_extensions info_file_pattern filter_lookahead filter_bitwise_conditional filter_blank_aggressive profile max_fork_fails max_tasks_per_core dedicate_segment_threshold dedicate_segment_line_estimate
+parallel_parse_min_lines parallel_parse_chunks_per_worker fork_fail_timeout no_branch_coverage criteria_script unreachable_script criteria_callback_data criteria_callback_levels demangle_cpp
+excessive_count_threshold split_char cross_platform_read check_existence_before_callback fail_under_lines fail_under_branches lcov_filter_parallel lcov_filter_chunk_size
+""".split())
+
+
+def refuse_unsupported(key: str) -> None:
+    """Settings that would change the result may not be passed over in silence; unknown ones are ignored."""
+    if key in REFUSED:
+        raise InputError(f"the setting {key} isn't supported", 1)
+
 
 def boolean(text: str) -> bool:
     word = text.strip().lower()

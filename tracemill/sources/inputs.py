@@ -138,7 +138,7 @@ def numbered_lines(stream, start: int, end: int | None, limit: int, piece: int =
     if start:
         stream.seek(start - 1)
         at = start - 1
-    rest, skipping, long = b"", start > 0, False
+    rest, skipping, cut = b"", start > 0, 0
     while True:
         data = stream.read(piece)
         lines = (rest + data).split(b"\n")
@@ -150,12 +150,12 @@ def numbered_lines(stream, start: int, end: int | None, limit: int, piece: int =
                 return
             else:
                 yield (at, line[: limit + 1])
-            at += len(line) + 1 + (long or 0)
-            long = 0
+            at += len(line) + 1 + cut
+            cut = 0
         rest = last
         if len(rest) > 2 * limit:
             # only what tells that the line is too long is kept of it
-            long = (long or 0) + len(rest) - limit - 1
+            cut += len(rest) - limit - 1
             rest = rest[: limit + 1]
         if not data:
             break
