@@ -209,6 +209,28 @@ def test_rewriting_in_both_forms(spark):
     assert list(df.select(*columns).collect()[0]) == [e for _, _, e in REWRITES]
 
 
+def test_normalized_paths(spark):
+    import posixpath
+
+    from pyspark.sql import functions as F
+
+    from tracemill.functions.paths import normalized
+
+    rng = random.Random(5)
+    texts = ["", "/", "//", "///", ".", "..", "/..", "a\\..\\b"] + ["".join(rng.choice(["/", "..", ".", "a", "b", "\\"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, p string").select("k", normalized(F.col("p")).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: posixpath.normpath(t.replace("\\", "/")) for k, t in enumerate(texts)}
+
+
+def test_generated_shards(spark, tmp_path):
+    from tracemill.sources.generate import write_shards
+
+    write_shards(spark, str(tmp_path / "made"), 3, 4, 5, functions=2, branches=1)
+    names = sorted(str(p) for p in (tmp_path / "made").glob("part-*"))
+    text = merged(spark, names)
+    assert len(names) == 3 and text.count("DA:") == 4 * (5 + 2 + 1) and text.count("\nFN:") == 8 and merged(spark, names) == text
+
+
 def simple_glob(pattern, text):
     """Matching by trying everything, for ASCII texts without glob characters."""
     if not pattern or not text:

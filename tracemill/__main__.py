@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from tracemill import __version__
 from tracemill.functions.paths import PathRules
 from tracemill.plans import compat, native
-from tracemill.session import clear_scratch
+from tracemill.session import clear_scratch, scratch_path
 from tracemill.sources.config import boolean, discover, read_settings, refuse_unsupported
 from tracemill.sources.inputs import InputError, check_regular, expand_globs, stage_stdin
 
@@ -109,11 +109,12 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         if "--compat" in argv:
             a = compat_parser().parse_args([x for x in argv if x != "--compat"])
             options = compat_options(a)
-            names = stage_stdin(expand_globs([*a.add_tracefile, *a.inputs]))
+            names = expand_globs([*a.add_tracefile, *a.inputs])
             if not names:
                 raise InputError("no input", 1)
-            check_regular(names)
+            check_regular([x for x in names if x != "-"])
             spark = spark or SparkSession.builder.appName("tracemill").getOrCreate()
+            names = stage_stdin(names, folder=scratch_path(spark, "stdin"))
             plan = compat.CompatMerge(spark, names, options)
             for kind, message, n in plan.check():
                 sys.stderr.write(f"tracemill: ignored {kind}: {message} ({n})\n")

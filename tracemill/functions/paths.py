@@ -166,6 +166,22 @@ def stripped(path: Column, prefix: str) -> Column:
     return F.regexp_replace(path, _strip_pattern(prefix), "") if prefix else path
 
 
+def normalized(path: Column) -> Column:
+    """A path with ``/`` only, without empty and ``.`` parts, and with each ``..`` taken back as far as possible; an empty path is ``.``."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    # two slashes in front are kept, three and more are one
+    root = F.when(plain.rlike("^//(?!/)"), "//").when(plain.startswith("/"), "/").otherwise("")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = part == ".."
+        removable = (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+        return F.when(up & removable, F.slice(kept, 1, F.size(kept) - 1)).when(up & (root != ""), kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.filter(F.split(plain, "/"), lambda x: (x != "") & (x != "."))
+    joined = F.concat(root, F.array_join(F.reduce(parts, F.slice(parts, 1, 0), step), "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
 def selected(path: Column, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> Column:
     """Any include (or none given) and no exclude; right for paths without ``*`` and ``[``."""
     view, keep = bytes_view(path), F.lit(True)

@@ -248,6 +248,23 @@ def path_strip(spark, d):
     return paths.apply_rules(_paths(spark, d), "path", paths.PathRules(strip="/old/tree/hub"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '../' ELSE '/' END || 'old/f_' || doc_id % 20 || '.c' AS path FROM documents")
+def path_normalize(spark, d):
+    raw = F.expr("concat(CASE doc_id % 3 WHEN 0 THEN '..\\\\' WHEN 1 THEN '/' ELSE '/../' END, 'old/.//tree/', coalesce(nullif(replace(source, '/', ''), ''), 'none'), '\\\\../../f_', doc_id % 20, '.c')")
+    return table(spark, d, "documents").select("doc_id", paths.normalized(raw).alias("path"))
+
+
+@query()
+def parse_counters(spark, d):
+    shards = table(spark, d, "shards")
+    inputs = shards.select("input_id", F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint").alias("bytes"))
+    return native.parse_counters(records_from_table(shards), inputs)
+
+
+ORACLE["parse_counters"] = r"""WITH l AS (SELECT input_id, unnest(string_split(replace(body, chr(13), ''), chr(10))) AS x FROM shards), n AS (SELECT input_id, sum(CASE WHEN regexp_matches(x, '^(SF|KF|FN):') THEN 2 WHEN regexp_matches(x, '^(DA|FNDA|BRDA):') THEN 1 ELSE 0 END)::BIGINT AS records FROM l GROUP BY 1)
+ SELECT s.input_id, strlen(coalesce(body, ''))::BIGINT AS bytes, coalesce(records, 0) AS records, 0::BIGINT AS errors FROM shards s LEFT JOIN n USING (input_id)"""
+
+
 @query("SELECT doc_id, path FROM paths WHERE regexp_matches(path, '/hub/.*_1.?[.]c$') AND NOT regexp_matches(path, 'lab-[0-4]')")
 def path_glob(spark, d):
     return paths.apply_rules(_paths(spark, d), "path", paths.PathRules(includes=("*/hub/*_1.c", "*/hub/*_1?.c"), excludes=("*lab-[0-4]*",)))

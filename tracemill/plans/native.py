@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import NUMBER, saturated_sum
 from tracemill.functions.paths import PathRules
-from tracemill.sources.inputs import InputError, check_regular, expand_lists, stage_stdin
-from tracemill.sources.lcov import BRDA, DA, DASH, EXCEPTION, EXT, FALLTHROUGH, FN, FNDA, GROUP, MCDC, MCDC_UNREACHABLE, NEW, NUMERIC, SECTION, SENSE, TEXT, TN, UNREACHABLE, load_records
+from tracemill.session import clear_scratch, scratch_path
+from tracemill.sources.inputs import check_regular, expand_lists, filesystem_of, numbered_lines, stage_stdin
+from tracemill.sources.lcov import BRDA, DA, DASH, EXCEPTION, EXT, FALLTHROUGH, FN, FNDA, GROUP, MAX_LINE, MCDC, MCDC_UNREACHABLE, NEW, NUMERIC, SECTION, SENSE, TEXT, TN, UNREACHABLE, load_records
 
 #: Copies of an extension row made at a time.
 COPIES = 4096
@@ -74,6 +75,12 @@ def merge_records(records: DataFrame) -> DataFrame:
     return merged.select(*keys, "value", "copies", F.coalesce("least", F.lit("")).alias("chosen"), F.coalesce("most", F.lit("")).alias("most"), F.coalesce(F.col("least") != F.col("most"), F.lit(False)).alias("conflict"))
 
 
+def parse_counters(records: DataFrame, inputs: DataFrame) -> DataFrame:
+    """input_id, bytes, records, errors of every row of ``inputs`` (input_id, bytes); an input without records has none."""
+    counted = records.groupBy("input_id").agg(F.count("kind").alias("records"), F.count("error").alias("errors"))
+    return inputs.select("input_id", "bytes").join(counted, "input_id", "left").select("input_id", "bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "errors")])
+
+
 def source_summaries(merged: DataFrame) -> DataFrame:
     """path and the eight summary counts; a function group and each function name with hits count towards ``fnh``."""
     kind, flags, hit = F.col("kind"), F.col("flags"), F.coalesce(F.col("value") > 0, F.lit(False))
@@ -196,7 +203,8 @@ def plan_merge(spark: SparkSession, inputs: list[str], options: Options = Option
 
 def run(spark: SparkSession, inputs: list[str], output: str, options: Options = Options(), quiet: bool = False, stats: bool = False, stream=None) -> int:
     """Merge tracefiles into one; 0, or raises InputError or TraceError. ``-`` reads standard input or writes standard output."""
-    names = stage_stdin(expand_lists(inputs), stream)
+    given = expand_lists(inputs)
+    names = stage_stdin(given, stream, scratch_path(spark, "stdin"))
     check_regular(names)
     # read and parsed once for the check, the warnings and the output
     records = load_records(spark, names, options.rules, options.functions, options.branches).persist()
@@ -206,9 +214,10 @@ def run(spark: SparkSession, inputs: list[str], output: str, options: Options =
             merge.check()
         except TraceError as e:
             if e.input_id is not None:
-                with open(names[e.input_id], "rb") as f:
-                    line = f.read(e.pos).count(b"\n") + 1
-                raise TraceError(f"{names[e.input_id]}:{line}: {e}", e.input_id, e.pos) from None
+                filesystem, path = filesystem_of(names[e.input_id])
+                with filesystem.open_input_file(path) as f:
+                    line = sum(1 for _ in numbered_lines(f, 0, e.pos, MAX_LINE)) + 1
+                raise TraceError(f"{given[e.input_id]}:{line}: {e}", e.input_id, e.pos) from None
             raise
         if output == "-":
             for row in merge.lines().toLocalIterator():
@@ -223,4 +232,5 @@ def run(spark: SparkSession, inputs: list[str], output: str, options: Options =
             sys.stderr.write(f"stats LF={t.lf} LH={t.lh} FNF={t.fnf} FNH={t.fnh} BRF={t.brf} BRH={t.brh}\n")
     finally:
         records.unpersist()
+        clear_scratch(spark)
     return 0

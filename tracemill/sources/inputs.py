@@ -5,7 +5,6 @@ from __future__ import annotations
 import glob
 import os
 import re
-import shutil
 import sys
 import tempfile
 from collections.abc import Iterable, Sequence
@@ -67,16 +66,19 @@ def expand_globs(patterns: Iterable[str], recursive: bool = False, dedupe: bool
     return found
 
 
-def stage_stdin(names: Sequence[str], stream=None) -> list[str]:
-    """Replace ``-`` by a staged copy of standard input at the same position; it may be named once."""
+def stage_stdin(names: Sequence[str], stream=None, folder: str | None = None) -> list[str]:
+    """Replace ``-`` by a copy of standard input at the same position, in a ``folder`` that the workers see too; it may be named once."""
     if names.count("-") > 1:
         raise InputError("standard input may be named once", 1)
     staged = []
     for name in names:
         if name == "-":
-            fd, name = tempfile.mkstemp(suffix=".info")
-            with os.fdopen(fd, "wb") as f:
-                shutil.copyfileobj(stream or sys.stdin.buffer, f)
+            name = f"{folder or tempfile.mkdtemp()}/standard-input.info"
+            filesystem, path = filesystem_of(name)
+            filesystem.create_dir(os.path.dirname(path), recursive=True)
+            with filesystem.open_output_stream(path) as f:
+                while data := (stream or sys.stdin.buffer).read(1 << 20):
+                    f.write(data)
         staged.append(name)
     return staged
 
