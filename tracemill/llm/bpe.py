@@ -199,6 +199,9 @@ class Encoder:
             for p in new:
                 if len(p) > KEPT_LENGTH:
                     del self.pieces[p]
+            for w in words:
+                if len(w) > KEPT_LENGTH:
+                    del self.known_words[w]
             if len(self.pieces) > KEPT_PIECES:
                 self.pieces.clear()
             if len(self.known_words) > KEPT_PIECES:

@@ -1,4 +1,4 @@
-"""Registered queries of the text operators. They have no SQL form and are tested against brute force and held-out texts."""
+"""Registered queries of the text operators. What has no SQL form is tested against brute force, round trips and held-out texts."""
 
 from __future__ import annotations
 
@@ -41,4 +41,17 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_suites, p8_found, p8_profile)}
-ORACLE: dict[str, str] = {}
+#: Every run of an item's length in every document; JSON notebooks are unescaped as far as their words need it.
+_P7 = r"""
+WITH plain AS (SELECT doc_id, CASE WHEN nb_format = 'ipynb' THEN regexp_replace(regexp_replace(text, '\\[nrtbf"/]', ' ', 'g'), '\\u001b\[[0-9;]*m|\\u001[bB]\[[0-9;]*m', '', 'g') ELSE regexp_replace(text, '\x1b\[[0-9;?]*[ -/]*[@-~]', '', 'g') END AS t FROM documents),
+docs AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{L}\p{Nd}]+') AS w FROM plain),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items),
+passages AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[k:k + least(12, len(w)) - 1], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM passages),
+runs AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n))
+found AS (SELECT DISTINCT item_id, doc_id FROM passages JOIN runs USING (n, p))
+"""
+ORACLE = {
+    "p7_found": _P7 + "SELECT item_id, doc_id FROM found",
+    "p7_suites": _P7 + "SELECT suite, count(DISTINCT item_id) AS items, count(DISTINCT doc_id) AS documents FROM found JOIN eval_items USING (item_id) GROUP BY suite",
+}
