@@ -48,7 +48,7 @@ docs AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{L}\p{Nd}]+') AS w FROM
 items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items),
 passages AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[k:k + least(12, len(w)) - 1], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM passages),
-runs AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n))
+runs AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n)),
 found AS (SELECT DISTINCT item_id, doc_id FROM passages JOIN runs USING (n, p))
 """
 ORACLE = {
