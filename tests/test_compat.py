@@ -112,3 +112,6 @@ def test_versions_and_checksums(spark, tmp_path):
         run(spark, tmp_path, [text, text.replace("VER:77", "VER:78")], functions=False)
     with pytest.raises(CompatError, match="source"):
         run(spark, tmp_path, [text.replace("k.c", "gone.c")], **options)
+    source.write_bytes(b"long k;\nlong m;\n" + b"x" * (2 << 20) + b"\n")
+    with pytest.raises(CompatError, match="source"):
+        run(spark, tmp_path, [text], **options)

@@ -153,7 +153,7 @@ SHARDS = [
 
 
 def test_compaction(spark, tmp_path):
-    files = str(tmp_path / "files")
+    files = f"file:{tmp_path}/files"
     assert compactor.write_files(spark.createDataFrame(SHARDS, "input_id bigint, body string").repartition(4), files) == 10
     assert compactor.write_files(spark.createDataFrame(SHARDS[:3], "input_id bigint, body string"), files) == 3
     assert len(list((tmp_path / "files").glob("*/*.info"))) == 9
@@ -180,7 +180,7 @@ def test_compaction(spark, tmp_path):
     one.consolidate()
     assert one.sections().count() == 5 and len(one.sizes()) == 1 and (1, 50) in pairs(one)
     two = compactor.Compactor(spark, str(tmp_path / "out2"))
-    two.run(files)
+    two.run(str(tmp_path / "files"))
     assert two.sections().count() == 5
     three = compactor.Compactor(spark, str(tmp_path / "out3"))
     assert three.sections().count() == 0 and compactor.shared_pairs(three.members()).count() == 0

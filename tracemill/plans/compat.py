@@ -17,6 +17,8 @@ from tracemill.functions.numbers import I64_MAX, NUMBER, extension, saturated_su
 from tracemill.functions.paths import PathRules
 from tracemill.operators import coverage as op
 from tracemill.session import materialize
+from tracemill.sources.inputs import filesystem_of, numbered_lines
+from tracemill.sources.lcov import MAX_LINE
 from tracemill.sources.lenient import load_rows, rows_from_table
 
 # fixed values: kinds of problems that may be named to be ignored, and extensions with a special treatment
@@ -344,23 +346,38 @@ class CompatMerge:
 
 
 def source_digests(sources: DataFrame) -> DataFrame:
-    """source, line, digest of every line of the named files; one row with a null line for a file that can't be read."""
-    import base64
-    import hashlib
+    """source, line, digest of every line of the named files; a row with a null line for a file that can't be read.
 
-    def read(frames):
-        import pandas as pd
+    A file counts as unreadable, too, if a line is longer than 1 MiB or if it changes while it is read. Lines are streamed.
+    """
 
-        for frame in frames:
-            for source in frame["source"]:
-                try:
-                    with open(source, "rb") as f:
-                        rows = [(source, k, base64.b64encode(hashlib.md5(line.rstrip(b"\r\n")).digest()).decode().rstrip("=")) for k, line in enumerate(f, 1)]
-                except OSError:
-                    rows = [(source, None, None)]
-                yield pd.DataFrame(rows, columns=["source", "line", "digest"]).astype({"line": "Int64"})
+    def read(batches):
+        import base64
+        import hashlib
+        import itertools
+
+        import pyarrow as pa
 
-    return sources.mapInPandas(read, "source string, line bigint, digest string").withColumn("line", F.col("line").cast(NUMBER))
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                whole = True
+                try:
+                    filesystem, path = filesystem_of(source)
+                    before = filesystem.get_file_info(path)
+                    with filesystem.open_input_file(path) as f:
+                        lines = ((k, raw) for k, (_, raw) in enumerate(numbered_lines(f, 0, None, MAX_LINE + 1), 1))
+                        while part := list(itertools.islice(lines, 20_000)):
+                            whole = whole and all(len(raw) <= MAX_LINE + 1 for _, raw in part)
+                            digests = [base64.b64encode(hashlib.md5(raw.rstrip(b"\r\n")).digest()).decode().rstrip("=") for _, raw in part]
+                            yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array([k for k, _ in part], pa.int64()), pa.array(digests)], ["source", "line", "digest"])
+                    after = filesystem.get_file_info(path)
+                    whole = whole and (before.size, before.mtime_ns) == (after.size, after.mtime_ns)
+                except (OSError, pa.ArrowInvalid):
+                    whole = False
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([None], pa.int64()), pa.array([None], pa.string())], ["source", "line", "digest"])
+
+    return sources.mapInArrow(read, "source string, line bigint, digest string").withColumn("line", F.col("line").cast(NUMBER))
 
 
 def merge(spark: SparkSession, inputs: list[str], output: str, options: Options = Options()) -> list[tuple[str, str, int]]:

@@ -87,9 +87,11 @@ def filesystem_of(name: str):
     """(file system, path in it) of a URI (of any file system that Arrow knows) or of a local path."""
     from pyarrow import fs
 
-    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:/", name):
+    if name.startswith("file:/"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", name)
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+://", name):
         return fs.LocalFileSystem(), os.path.abspath(name)
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+    return fs.FileSystem.from_uri(name)
 
 
 def file_sizes(names: Sequence[str]) -> list[int]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import delete_path, hadoop_path, scratch_path
+from tracemill.sources.inputs import filesystem_of
 
 SUMMARY_TAGS = "FNF|FNH|BRF|BRH|MCF|MCH|LF|LH"
 _MARK = "\u0001\u001e\u0001"
@@ -62,27 +63,20 @@ BLOCK = 1024
 SECTION, MEMBER, MANIFEST = "section_id string, tn string, path string, rows array<string>", "input_id bigint, section_id string", "path string"
 
 
-def _filesystem(folder: str):
-    """(file system, path in it) of a URI or of a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder) if ":" in folder else "file://" + folder)
-
-
 def _list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths of the files of (folder, recursive), as they are named within their file system."""
     from pyarrow import fs
 
     for batch in batches:
         for folder, recursive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            filesystem, base = _filesystem(folder)
+            filesystem, base = filesystem_of(folder)
             found = [x.path for x in filesystem.get_file_info(fs.FileSelector(base, recursive=recursive)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
 
 
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _filesystem(folder)
+        filesystem, _ = filesystem_of(folder)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -103,7 +97,7 @@ def write_files(shards: DataFrame, folder: str, id_col: str = "input_id", body_c
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _filesystem(folder)
+        filesystem, base = filesystem_of(folder)
         made = set()
         for batch in batches:
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -140,7 +134,7 @@ class Compactor:
         """List ``folder`` with its sub-folders on the workers and write manifests of the files that no earlier round has seen."""
         from pyarrow import fs
 
-        filesystem, base = _filesystem(folder)
+        filesystem, base = filesystem_of(folder)
         top = filesystem.get_file_info(fs.FileSelector(base)) if filesystem.get_file_info(base).type == fs.FileType.Directory else []
         root = folder.rstrip("/")
         places = [(root, False), *((f"{root}/{x.base_name}", True) for x in top if x.type == fs.FileType.Directory and not x.base_name.startswith(("_", ".")))] if top else []
